@@ -181,3 +181,9 @@ def first_word_of(x: Column, words: list[str]) -> Column:
     for w in words:
         out = out | F.contains(x, F.lit(w))
     return out
+
+
+def with_previous(items: Column) -> Column:
+    """Array of (before, now): each entry with the one ahead of it, null for the first."""
+    before = F.slice(F.concat(F.array(F.lit(None)), items), F.lit(1), F.size(items))
+    return F.arrays_zip(before.alias("before"), items.alias("now"))

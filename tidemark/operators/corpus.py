@@ -46,27 +46,21 @@ def _with_keys(lines: Column) -> Column:
     return F.transform(lines, lambda s: F.struct(s.alias("line"), T.line_key(s).alias("key")))
 
 
-def _neighbours(items: Column) -> Column:
-    """Pairs of (previous, current) item; the first has a null previous."""
-    shifted = F.concat(F.array(F.lit(None)), F.slice(items, F.lit(1), F.greatest(F.size(items) - 1, F.lit(0))))
-    return F.arrays_zip(shifted.alias("before"), items.alias("item"))
-
-
 def collapse_blanks(lines: Column) -> Column:
     """Runs of empty lines cut to one."""
-    pairs = F.filter(_neighbours(lines), lambda p: ~((p["item"] == "") & (F.coalesce(p["before"], F.lit("x")) == "")))
-    return F.transform(pairs, lambda p: p["item"])
+    pairs = F.filter(T.with_previous(lines), lambda p: ~((p["now"] == "") & (F.coalesce(p["before"], F.lit("x")) == "")))
+    return F.transform(pairs, lambda p: p["now"])
 
 
 def drop_repeats_in_a_row(lines: Column) -> Column:
     """A line with the key of the line before it is dropped; empty lines stay."""
     pairs = F.filter(
-        _neighbours(_with_keys(lines)),
+        T.with_previous(_with_keys(lines)),
         lambda p: p["before"].isNull()
-        | (p["item"]["line"] == "")
-        | (p["item"]["key"] != p["before"]["key"]),
+        | (p["now"]["line"] == "")
+        | (p["now"]["key"] != p["before"]["key"]),
     )
-    return F.transform(pairs, lambda p: p["item"]["line"])
+    return F.transform(pairs, lambda p: p["now"]["line"])
 
 
 def tidy_lines(body: Column) -> Column:

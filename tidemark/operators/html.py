@@ -360,10 +360,8 @@ def page_markdown(pages: DataFrame) -> DataFrame:
         F.first("root").alias("root"), F.array_sort(F.collect_list(F.when(F.col("line_no") > 0, row))).alias("l")
     )
     # list items follow each other, other blocks are set apart by an empty line
-    shifted = F.concat(F.array(F.lit(None)), F.slice("l", F.lit(1), F.greatest(F.size("l") - 1, F.lit(0))))
-    pairs = F.arrays_zip(F.col("l").alias("now"), shifted.alias("before"))
     spaced = F.transform(
-        pairs,
+        T.with_previous(F.col("l")),
         lambda p: F.concat(
             F.when(p["before"].isNull(), F.lit(""))
             .when(p["before"]["item"] & p["now"]["item"], F.lit("\n"))

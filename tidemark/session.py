@@ -52,6 +52,9 @@ def ship_package(spark: SparkSession) -> SparkSession:
     if root.is_dir():
         target = Path(tempfile.mkdtemp(prefix="tidemark-zip-")) / "tidemark"
         sc.addPyFile(shutil.make_archive(str(target), "zip", root.parent, root.name))
+    # workers that Spark starts on the driver, as for stateful streams, see its paths only
+    paths = [str(root.parent), sc.environment.get("PYTHONPATH", "")]
+    sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in paths if p)
     sc._tidemark_shipped = True
     return spark
 

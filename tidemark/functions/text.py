@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from tidemark import fixed
 
 SPACE = r"[\s\x0b\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# the same characters one by one, for the native trim functions
+SPACES = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 WORD = r"\p{L}\p{N}_"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
 WORD_EDGE = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
@@ -38,15 +43,15 @@ def matches(x: str | Column, pattern: str) -> Column:
 
 
 def strip(x: str | Column) -> Column:
-    return F.regexp_replace(col(x), rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col(x), F.lit(SPACES))
 
 
 def rstrip(x: str | Column) -> Column:
-    return F.regexp_replace(col(x), rf"{SPACE}+$", "")
+    return F.rtrim(col(x), F.lit(SPACES))
 
 
 def lstrip(x: str | Column) -> Column:
-    return F.regexp_replace(col(x), rf"^{SPACE}+", "")
+    return F.ltrim(col(x), F.lit(SPACES))
 
 
 def collapse(x: str | Column) -> Column:
@@ -119,8 +124,8 @@ def clean_line(x: str | Column) -> Column:
 
 def line_key(x: str | Column) -> Column:
     """Comparison key of a line: edges, case and a trailing number do not count."""
-    s = F.lower(F.regexp_replace(collapse(x), r"^[ |:\-]+|[ |:\-]+$", ""))
-    return strip(F.regexp_replace(s, rf"{SPACE}+\p{{Nd}}+$", ""))
+    s = F.lower(F.btrim(collapse(x), F.lit(" |:-")))
+    return F.trim(F.regexp_replace(s, r" \p{Nd}+$", ""))
 
 
 def is_noise_line(x: str | Column) -> Column:

@@ -42,39 +42,38 @@ def drop_noise_lines(lines: Column) -> Column:
     )
 
 
-def _with_keys(lines: Column) -> Column:
-    return F.transform(lines, lambda s: F.struct(s.alias("line"), T.line_key(s).alias("key")))
-
-
 def collapse_blanks(lines: Column) -> Column:
     """Runs of empty lines cut to one."""
     pairs = F.filter(T.with_previous(lines), lambda p: ~((p["now"] == "") & (F.coalesce(p["before"], F.lit("x")) == "")))
     return F.transform(pairs, lambda p: p["now"])
 
 
-def drop_repeats_in_a_row(lines: Column) -> Column:
+def keyed_lines(lines: Column) -> Column:
+    return F.transform(lines, lambda s: F.struct(s.alias("line"), T.line_key(s).alias("key")))
+
+
+def drop_repeats_in_a_row(keyed: Column) -> Column:
     """A line with the key of the line before it is dropped; empty lines stay."""
     pairs = F.filter(
-        T.with_previous(_with_keys(lines)),
-        lambda p: p["before"].isNull()
-        | (p["now"]["line"] == "")
-        | (p["now"]["key"] != p["before"]["key"]),
+        T.with_previous(keyed),
+        lambda p: p["before"].isNull() | (p["now"]["line"] == "") | (p["now"]["key"] != p["before"]["key"]),
     )
     return F.transform(pairs, lambda p: p["now"]["line"])
 
 
-def tidy_lines(body: Column) -> Column:
-    """The cleaned lines of a markdown body."""
-    return drop_repeats_in_a_row(collapse_blanks(drop_noise_lines(T.split_lines(body))))
-
+def tidy_markdown(docs: DataFrame, body: str, name: str | None = None) -> DataFrame:
+    """Adds the clean body: noise lines, repeats and surplus blank lines removed, one final line end.
 
-def tidy_markdown(body: Column) -> Column:
-    """Clean body text: noise lines, repeats and surplus blank lines removed, one final line end."""
-    text = F.array_join(tidy_lines(body), "\n")
+    Each stage is a column of its own that the next one uses more than once, so Spark
+    keeps it as a projection instead of evaluating it again for every line.
+    """
+    staged = docs.withColumn("_l", drop_noise_lines(T.split_lines(F.col(body))))
+    staged = staged.withColumn("_l", collapse_blanks(F.col("_l"))).withColumn("_l", keyed_lines(F.col("_l")))
+    text = F.array_join(drop_repeats_in_a_row(F.col("_l")), "\n")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
     text = F.regexp_replace(text, r"[ \t]+\n", "\n")
     text = F.regexp_replace(text, r"\n{2,}(\| --- )", "\n$1")
-    return F.concat(T.strip(text), F.lit("\n"))
+    return staged.withColumn(name or body, F.concat(T.strip(text), F.lit("\n"))).drop("_l")
 
 
 def repeated_keys(lines: Column, page_count: Column) -> Column:
@@ -105,18 +104,14 @@ def drop_repeated(lines: Column, repeated: Column) -> Column:
 
 
 def clean_documents(docs: DataFrame, body: str = "body", page_count: str | None = None) -> DataFrame:
-    """Adds ``clean``: the body without repeated and noise lines.
-
-    Each stage is a column of its own that later stages use more than once, so Spark
-    keeps it as a projection instead of evaluating it again for every line.
-    """
+    """Adds ``clean``: the body without repeated and noise lines."""
     pages = F.col(page_count) if page_count else F.lit(1)
     staged = docs.withColumn("_lines", T.split_lines(F.col(body)))
     staged = staged.withColumn("_repeated", repeated_keys(F.col("_lines"), pages))
-    staged = staged.withColumn(
-        "_kept", F.when(F.size("_repeated") == 0, F.col("_lines")).otherwise(drop_repeated(F.col("_lines"), F.col("_repeated")))
-    )
-    return staged.withColumn("clean", tidy_markdown(F.array_join("_kept", "\n"))).drop("_lines", "_repeated", "_kept")
+    kept = drop_repeated(F.col("_lines"), F.col("_repeated"))
+    kept = F.when(F.size("_repeated") == 0, F.col("_lines")).otherwise(kept)
+    staged = staged.withColumn("clean", F.array_join(kept, "\n")).drop("_lines", "_repeated")
+    return tidy_markdown(staged, "clean")
 
 
 def source_documents(files: DataFrame) -> DataFrame:
@@ -209,7 +204,7 @@ def normalise_raw(raw: DataFrame, catalog: DataFrame, processed_at: Column) -> t
     found = joined.filter(F.col("_found"))
     docs = found.withColumn("metadata", M.raw_metadata(e, F.col("path"), F.col("source_id"), processed_at))
     titled = M.add_title(F.col("markdown"), F.col("metadata.title"))
-    docs = docs.withColumn("body", tidy_markdown(M.cut_contents(F.col("source_id"), titled)))
+    docs = tidy_markdown(docs.withColumn("body", M.cut_contents(F.col("source_id"), titled)), "body")
     return docs.select("source_id", "path", "metadata", "extra", "body"), errors
 
 

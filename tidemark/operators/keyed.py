@@ -126,3 +126,13 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, n
     """The first k rows per key; Spark cuts each map task to k rows per key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+
+
+def rows_of(df: DataFrame, keep: Sequence[str | Column], items: Column, position: str, name: str) -> DataFrame:
+    """One row per array entry, with its position.
+
+    A plain explode lets Spark infer a filter on the size of the array and evaluate the
+    whole array a second time below the stages that build it; the outer form does not.
+    """
+    rows = df.select(*keep, F.posexplode_outer(items).alias(position, name))
+    return rows.filter(F.col(position).isNotNull())

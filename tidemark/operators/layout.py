@@ -187,8 +187,9 @@ def document_bodies(elements: DataFrame) -> DataFrame:
     text = F.flatten(F.transform("_rows", lambda r: F.array(r["line"], F.lit(""))))
     staged = packed.withColumn("_lines", text).withColumn("_repeated", C.repeated_keys(F.col("_lines"), F.col("pages")))
     kept = F.filter(
-        C.drop_repeated(F.col("_lines"), F.col("_repeated")),
-        lambda s: ~F.lower(T.strip(s)).isin(*fixed.WATERMARKS),
+        C.drop_repeated(F.col("_lines"), F.col("_repeated")), lambda s: ~F.lower(T.strip(s)).isin(*fixed.WATERMARKS)
     )
-    staged = staged.withColumn("_kept", C.collapse_blanks(F.transform(kept, lambda s: F.when(T.is_blank(s), F.lit("")).otherwise(T.rstrip(s)))))
-    return staged.select("doc", "pages", "table_pages", C.tidy_markdown(F.array_join("_kept", "\n")).alias("markdown"))
+    kept = F.transform(kept, lambda s: F.when(T.is_blank(s), F.lit("")).otherwise(T.rstrip(s)))
+    staged = staged.withColumn("_kept", kept)
+    staged = staged.withColumn("markdown", F.array_join(C.collapse_blanks(F.col("_kept")), "\n"))
+    return C.tidy_markdown(staged, "markdown").select("doc", "pages", "table_pages", "markdown")

@@ -30,6 +30,7 @@ def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -
         b = (
             b.master(master)
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "8g"))
             .config("spark.sql.shuffle.partitions", os.environ.get("TIDEMARK_SHUFFLE", "8"))
         )

@@ -365,11 +365,11 @@ picked AS (
     ORDER BY CASE WHEN first THEN 0 ELSE 1 END, CASE WHEN first THEN place ELSE 0 END, s DESC, chunk_id) <= 8),
 evidence AS (
   SELECT p.request_id, row_number() OVER (PARTITION BY p.request_id ORDER BY s DESC, p.chunk_id) AS evidence_rank, c.* EXCLUDE (chunk_id),
-    p.chunk_id AS block_id, round(p.score, 3) AS score, left(c.text, 1400) AS excerpt
+    p.chunk_id AS block_id, round(p.score, 3) AS score, CAST(round(p.score * 10000) AS BIGINT) AS score_e4, left(c.text, 1400) AS excerpt
   FROM picked p JOIN chunks c USING (chunk_id))"""
 
 ORACLE["hybrid_evidence"] = f"""WITH {EVIDENCE}
-SELECT request_id, evidence_rank, doc_id, source_category, block_id, country_code, score, md5(excerpt) AS digest FROM evidence"""
+SELECT request_id, evidence_rank, doc_id, source_category, block_id, country_code, score_e4, md5(excerpt) AS digest FROM evidence"""
 ORACLE["fallback_ranking"] = f"""WITH {EVIDENCE}
 SELECT request_id, source_category, rank, chunk_id, CAST(score AS INT) AS score FROM lexical_top"""
 ORACLE["lexical_search"] = f"""WITH {KNOWLEDGE}, {REQUESTS},

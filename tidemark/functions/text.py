@@ -192,3 +192,23 @@ def with_previous(items: Column) -> Column:
     """Array of (before, now): each entry with the one ahead of it, null for the first."""
     before = F.slice(F.concat(F.array(F.lit(None)), items), F.lit(1), F.size(items))
     return F.arrays_zip(before.alias("before"), items.alias("now"))
+
+
+def to_fixed(x: Column, digits: int, ties_up: bool = False) -> Column:
+    """A double with a fixed number of decimals, rounded by its exact binary value.
+
+    Spark's own number formatting rounds the shortest decimal form, which differs where
+    that form ends in a five. Here the double is taken apart into whole numbers; an exact
+    tie goes to the even digit, or up.
+    """
+    size = F.abs(x.cast("double"))
+    unit = F.when(size < 4, F.lit(2.0**60)).when(size < 2**11, F.lit(2.0**51)).otherwise(F.lit(2.0**20))
+    whole = (size * unit).cast("bigint").cast("decimal(19,0)") * F.lit(10**digits).cast("decimal(4,0)")
+    base = unit.cast("bigint").cast("decimal(19,0)")
+    rest = whole % base
+    down = ((whole - rest) / base).cast("bigint")
+    twice = rest * F.lit(2).cast("decimal(1,0)")
+    tie = F.lit(True) if ties_up else down % 2 == 1
+    n = down + F.when((twice > base) | ((twice == base) & tie), 1).otherwise(0)
+    tail = F.lpad((n % 10**digits).cast("string"), digits, "0")
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), F.floor(n / 10**digits).cast("string"), F.lit("."), tail)

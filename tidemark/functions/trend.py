@@ -32,8 +32,8 @@ def view_count(x: str | Column) -> Column:
 def view_label(count: str | Column) -> Column:
     n = T.col(count)
     return (
-        F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000))
-        .when(n >= 1_000, F.format_string("%.1fK", n / 1_000))
+        F.when(n >= 1_000_000, F.concat(T.to_fixed(n / 1_000_000, 1), F.lit("M")))
+        .when(n >= 1_000, F.concat(T.to_fixed(n / 1_000, 1), F.lit("K")))
         .otherwise(n.cast("string"))
     )
 
@@ -192,7 +192,7 @@ def brief_text(query: Column, country: Column, platform: Column, answer: Column,
             number,
             F.lit(". "),
             F.when(title == "", F.concat(F.lit("Signal "), number)).otherwise(title),
-            F.when(h["score"].isNull(), F.lit("")).otherwise(F.format_string(" (score: %.2f)", h["score"])),
+            F.when(h["score"].isNull(), F.lit("")).otherwise(F.concat(F.lit(" (score: "), T.to_fixed(h["score"], 2), F.lit(")"))),
             F.when(content == "", F.lit("")).otherwise(F.concat(F.lit(" — "), content)),
             F.when(F.coalesce(h["url"], F.lit("")) == "", F.lit("")).otherwise(
                 F.concat(F.lit(" ["), h["url"], F.lit("]"))

@@ -26,7 +26,7 @@ def duration_label(ms: Column) -> Column:
     return (
         F.when(F.coalesce(ms, F.lit(0)) == 0, F.lit(""))
         .when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms")))
-        .otherwise(F.format_string("%.1fs", ms / 1000))
+        .otherwise(F.concat(T.to_fixed(ms / 1000, 1, ties_up=True), F.lit("s")))
     )
 
 

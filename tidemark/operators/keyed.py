@@ -136,3 +136,14 @@ def rows_of(df: DataFrame, keep: Sequence[str | Column], items: Column, position
     """
     rows = df.select(*keep, F.posexplode_outer(items).alias(position, name))
     return rows.filter(F.col(position).isNotNull())
+
+
+def keep_rows(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter by costly computed columns.
+
+    A plain filter is pushed below the projection that computes its columns, which then
+    are evaluated for the filter and once more for the rows. Here each row is kept or
+    dropped as a list of one or none, after its columns are there.
+    """
+    one = F.when(condition, F.array(F.struct(*df.columns)))
+    return df.select(F.explode_outer(one).alias("_row")).filter(F.col("_row").isNotNull()).select("_row.*")

@@ -9,7 +9,7 @@ from tidemark import fixed
 from tidemark.functions import text as T
 from tidemark.functions import trend as R
 from tidemark.functions import web
-from tidemark.operators.keyed import first_per_key, merge_rows, top_k
+from tidemark.operators.keyed import first_per_key, keep_rows, merge_rows, top_k
 
 
 def read_signals(hits: DataFrame, as_of: Column) -> DataFrame:
@@ -29,10 +29,9 @@ def read_signals(hits: DataFrame, as_of: Column) -> DataFrame:
 
 def viral_hits(hits: DataFrame, as_of: Column, days: int = 3, min_views: int = 100_000) -> DataFrame:
     """Hits with a URL that pass the freshness and reach thresholds."""
-    read = read_signals(hits, as_of).filter(F.col("url") != "")
-    return read.filter(
-        R.passes_viral_filter(F.col("age_days"), F.col("view_count"), F.col("score"), days, min_views)
-    )
+    read = read_signals(hits.filter(~T.is_blank("url")), as_of)
+    passes = R.passes_viral_filter(F.col("age_days"), F.col("view_count"), F.col("score"), days, min_views)
+    return keep_rows(read, passes)
 
 
 def platform_turn(platform: Column) -> Column:

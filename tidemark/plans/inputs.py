@@ -265,7 +265,7 @@ STORED = [
 LAYOUT = [
     "l_orderkey AS doc",
     "CAST(l_linenumber % 2 AS INT) AS page",
-    "CAST(l_linenumber AS INT) AS element_no",
+    "CAST(l_linenumber * 1000000 + l_partkey AS BIGINT) * 1000 + CAST(l_quantity AS BIGINT) AS element_no",
     "CASE WHEN l_partkey % 9 = 0 THEN 'table' ELSE 'text' END AS kind",
     "50.0 + (l_suppkey % 3) * 200 AS x0",
     "40.0 * l_linenumber AS y0",

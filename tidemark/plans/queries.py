@@ -444,7 +444,7 @@ def _served(spark: SparkSession, folder: str) -> DataFrame:
 def snapshot_latest(spark, folder):
     """Newest snapshot per module and scope."""
     rows = _snapshots(spark, folder)
-    return rows.select("module_name", "scope_key", "payload", F.unix_micros(F.col("updated_at").cast("timestamp")).alias("at"))
+    return rows.select("module_name", "scope_key", "payload", F.unix_micros(F.col("updated_at").cast("timestamp")).alias("at_us"))
 
 
 @query
@@ -452,7 +452,7 @@ def snapshot_serve(spark, folder):
     """What every module request gets: cached, fresh, stale or nothing."""
     rows = _served(spark, folder)
     at = F.unix_micros(F.col("cached_at").cast("timestamp"))
-    return rows.select("request_id", "module_name", "payload", "error", "from_cache", "stale", "store", at.alias("at"))
+    return rows.select("request_id", "module_name", "payload", "error", "from_cache", "stale", "store", at.alias("at_us"))
 
 
 @query
@@ -785,8 +785,7 @@ def idle_sessions(spark, folder):
 def step_durations(spark, folder):
     """Time from the start of a step to its completion, with its label."""
     rows = PR.step_durations(_events(spark, folder))
-    seconds = F.floor(F.col("duration_ms") / 1000)
-    return rows.select("run_id", "step", "event_no", seconds.alias("seconds"))
+    return rows.select("run_id", "step", "event_no", "duration_ms", W.duration_label(F.col("duration_ms")).alias("label"))
 
 
 @query

@@ -202,7 +202,10 @@ def to_fixed(x: Column, digits: int, ties_up: bool = False) -> Column:
     tie goes to the even digit, or up.
     """
     size = F.abs(x.cast("double"))
-    unit = F.when(size < 4, F.lit(2.0**60)).when(size < 2**11, F.lit(2.0**51)).otherwise(F.lit(2.0**20))
+    unit = F.when(size < 4, F.lit(2.0**60))
+    for top, bits in ((11, 51), (21, 41), (31, 31)):
+        unit = unit.when(size < 2**top, F.lit(2.0**bits))
+    unit = unit.otherwise(F.lit(1024.0))
     whole = (size * unit).cast("bigint").cast("decimal(19,0)") * F.lit(10**digits).cast("decimal(4,0)")
     base = unit.cast("bigint").cast("decimal(19,0)")
     rest = whole % base

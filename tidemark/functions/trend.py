@@ -12,55 +12,83 @@ from tidemark.functions import web
 
 
 def _group(x: Column, pattern: str, n: int) -> Column:
-    return F.nullif(F.regexp_extract(x, T.java_pattern(pattern), n), F.lit(""))
-
-
-def view_count(x: str | Column) -> Column:
-    """Views or plays named in a text; a plain number without unit or commas is not read."""
-    s = F.coalesce(T.col(x), F.lit(""))
-    number, unit = _group(s, fixed.UNIT_VIEWS_PATTERN, 1), F.lower(_group(s, fixed.UNIT_VIEWS_PATTERN, 2))
-    with_unit = number.cast("double") * F.when(unit == "m", 1_000_000).otherwise(1_000)
-    million = _group(s, fixed.MILLION_VIEWS_PATTERN, 1).cast("double") * 1_000_000
-    plain = F.replace(_group(s, fixed.COMMA_VIEWS_PATTERN, 1), F.lit(","), F.lit("")).cast("bigint")
-    low = F.lower(s)
-    bare = F.when(
-        F.contains(low, F.lit("million views")) | F.contains(low, F.lit("million plays")), F.lit(1_000_000)
+    return F.regexp_extract(x, T.java_pattern(pattern), n)
+
+
+def view_parts(x: Column) -> Column:
+    """What the view patterns find in a text, as a struct of texts (blank where nothing is found)."""
+    low = F.lower(x)
+    named = F.contains(low, F.lit("view")) | F.contains(low, F.lit("play"))
+    bare = F.contains(low, F.lit("million views")) | F.contains(low, F.lit("million plays"))
+    return F.when(
+        named,
+        F.struct(
+            _group(x, fixed.UNIT_VIEWS_PATTERN, 1).alias("number"),
+            F.lower(_group(x, fixed.UNIT_VIEWS_PATTERN, 2)).alias("unit"),
+            _group(x, fixed.MILLION_VIEWS_PATTERN, 1).alias("million"),
+            _group(x, fixed.COMMA_VIEWS_PATTERN, 1).alias("plain"),
+            bare.alias("bare"),
+        ),
     )
-    return F.coalesce(with_unit.cast("bigint"), million.cast("bigint"), plain, bare.cast("bigint"))
 
 
-def view_label(count: str | Column) -> Column:
-    n = T.col(count)
+def view_count(parts: Column) -> Column:
+    """Views or plays; a plain number without unit or commas is not read."""
+    unit = F.when(parts["unit"] == "m", 1_000_000).otherwise(1_000)
     return (
-        F.when(n >= 1_000_000, F.concat(T.to_fixed(n / 1_000_000, 1), F.lit("M")))
-        .when(n >= 1_000, F.concat(T.to_fixed(n / 1_000, 1), F.lit("K")))
-        .otherwise(n.cast("string"))
+        F.when(parts["number"] != "", (parts["number"].cast("double") * unit).cast("bigint"))
+        .when(parts["million"] != "", (parts["million"].cast("double") * 1_000_000).cast("bigint"))
+        .when(parts["plain"] != "", F.replace(parts["plain"], F.lit(","), F.lit("")).cast("bigint"))
+        .when(parts["bare"], F.lit(1_000_000).cast("bigint"))
     )
 
 
-def age_days(x: str | Column, as_of: Column) -> Column:
-    """Age in days named in a text, as seen on the day ``as_of``; future dates count too."""
-    s = F.coalesce(T.col(x), F.lit(""))
-    amount = _group(s, fixed.RELATIVE_AGE_PATTERN, 1).cast("int")
-    unit = F.lower(_group(s, fixed.RELATIVE_AGE_PATTERN, 2))
-    relative = F.when(unit == "h", 0).when(unit == "d", amount).when(unit == "w", amount * 7)
+def age_parts(x: Column) -> Column:
+    """What the date patterns find in a text, as a struct of texts (blank where nothing is found)."""
 
-    def away(day: Column) -> Column:
-        return F.abs(F.datediff(as_of, day))
+    def all_of(pattern: str) -> Column:
+        return F.regexp_extract(x, T.java_pattern(pattern), 0)
 
-    iso = F.concat_ws("-", *[_group(s, fixed.ISO_DATE_PATTERN, i) for i in (1, 2, 3)])
-    iso_day = F.try_to_date(F.nullif(iso, F.lit("")), "yyyy-M-d")
-    longs = [
-        F.try_to_date(
-            F.regexp_replace(F.regexp_extract(s, p, 1), r",\s*", ", "), "MMMM d, yyyy"
-        )
-        for p in fixed.LONG_DATE_PATTERNS
-    ]
-    short = F.concat_ws(
-        "-", F.year(as_of), _group(s, fixed.SHORT_DATE_PATTERN, 1), _group(s, fixed.SHORT_DATE_PATTERN, 2)
+    ago = F.contains(F.lower(x), F.lit("ago"))
+    longs = [F.regexp_replace(_group(x, p, 1), r",\s*", ", ") for p in fixed.LONG_DATE_PATTERNS]
+    return F.struct(
+        F.when(ago, _group(x, fixed.RELATIVE_AGE_PATTERN, 1)).otherwise("").alias("number"),
+        F.when(ago, F.lower(_group(x, fixed.RELATIVE_AGE_PATTERN, 2))).otherwise("").alias("unit"),
+        F.when(F.contains(x, F.lit("-")), all_of(fixed.ISO_DATE_PATTERN)).otherwise("").alias("iso"),
+        F.when(F.contains(x, F.lit(", ")), longs[0]).otherwise("").alias("long"),
+        F.when(F.contains(x, F.lit(",")), longs[1]).otherwise("").alias("loose"),
+        F.when(F.contains(x, F.lit("-")), _group(x, fixed.SHORT_DATE_PATTERN, 1)).otherwise("").alias("month"),
+        F.when(F.contains(x, F.lit("-")), _group(x, fixed.SHORT_DATE_PATTERN, 2)).otherwise("").alias("day"),
+    )
+
+
+def age_days(parts: Column, as_of: Column) -> Column:
+    """Age in days as seen on the day ``as_of``; an invalid date falls through, future dates count too."""
+
+    def away(found: Column, form: str) -> Column:
+        return F.when(found != "", F.abs(F.datediff(as_of, F.try_to_date(found, form))))
+
+    amount = parts["number"].cast("int")
+    relative = (
+        F.when(parts["unit"] == "h", 0).when(parts["unit"] == "d", amount).when(parts["unit"] == "w", amount * 7)
+    )
+    short = F.concat_ws("-", F.year(as_of).cast("string"), parts["month"], parts["day"])
+    return F.coalesce(
+        relative,
+        away(parts["iso"], "yyyy-M-d"),
+        away(parts["long"], "MMMM d, yyyy"),
+        away(parts["loose"], "MMMM d, yyyy"),
+        F.when(parts["month"] != "", away(short, "yyyy-M-d")),
+    )
+
+
+def view_label(count: str | Column) -> Column:
+    n = T.col(count)
+    return (
+        F.when(n >= 1_000_000, F.concat(T.to_fixed(n / 1_000_000, 1), F.lit("M")))
+        .when(n >= 1_000, F.concat(T.to_fixed(n / 1_000, 1), F.lit("K")))
+        .otherwise(n.cast("string"))
     )
-    short_day = F.when(_group(s, fixed.SHORT_DATE_PATTERN, 1).isNotNull(), F.try_to_date(short, "yyyy-M-d"))
-    return F.coalesce(relative, away(iso_day), *[away(d) for d in longs], away(short_day))
 
 
 def passes_viral_filter(age: Column, views: Column, score: Column, days: int, min_views: int) -> Column:

@@ -15,30 +15,31 @@ from tidemark.functions import scope as S
 from tidemark.functions import text as T
 
 
-def is_dropped_line(x: Column) -> Column:
-    """Lines that carry no content: page numbers, empty table rows, contents links, footers, marks."""
-    s = T.clean_line(x)
-    out = F.lower(s).isin("table of contents", *fixed.WATERMARKS)
-    for pattern in (
+_DROPPED = "|".join(
+    f"(?:{p.removeprefix('(?i)')})"
+    for p in (
         fixed.PAGE_NUMBER_PATTERN,
         fixed.EMPTY_TABLE_ROW_PATTERN,
         fixed.CONTENTS_LINK_PATTERN,
         fixed.FOOTER_SLOGAN_PATTERN,
-    ):
-        out = out | T.matches(s, pattern)
+    )
+)
+
+
+def is_dropped(clean: Column) -> Column:
+    """Cleaned lines that carry no content: page numbers, empty table rows, contents links, footers, marks."""
+    out = F.lower(clean).isin("table of contents", *fixed.WATERMARKS) | T.matches(clean, "(?i)" + _DROPPED)
     for prefix in fixed.DROPPED_PREFIXES:
-        out = out | s.startswith(prefix)
-    return out & (s != "")
+        out = out | clean.startswith(prefix)
+    return out & (clean != "")
 
 
 def drop_noise_lines(lines: Column) -> Column:
     """Noise dropped, line ends trimmed; a line without content becomes an empty string."""
-    kept = F.filter(lines, lambda s: ~is_dropped_line(s))
+    pairs = F.transform(lines, lambda s: F.struct(s.alias("line"), T.clean_line(s).alias("clean")))
     return F.transform(
-        kept,
-        lambda s: F.when(T.clean_line(s) == "", F.lit("")).otherwise(
-            T.rstrip(F.translate(T.rstrip(s), "\t", " "))
-        ),
+        F.filter(pairs, lambda p: ~is_dropped(p["clean"])),
+        lambda p: F.when(p["clean"] == "", F.lit("")).otherwise(T.rstrip(F.translate(T.rstrip(p["line"]), "\t", " "))),
     )
 
 

@@ -17,14 +17,16 @@ def read_signals(hits: DataFrame, as_of: Column) -> DataFrame:
     blob = F.array_join(
         F.filter(F.array("title", "content", "raw_content"), lambda p: F.coalesce(p, F.lit("")) != ""), " "
     )
-    staged = hits.withColumn("_blob", blob).withColumn("url", T.strip(F.coalesce("url", F.lit(""))))
-    return staged.withColumns(
+    staged = hits.withColumns({"_blob": blob, "url": T.strip(F.coalesce("url", F.lit("")))})
+    # each pattern runs once per hit; the values below only read its result
+    found = staged.withColumns({"_age": R.age_parts(F.col("_blob")), "_views": R.view_parts(F.col("_blob"))})
+    return found.withColumns(
         {
-            "age_days": R.age_days("_blob", as_of),
-            "view_count": R.view_count("_blob"),
+            "age_days": R.age_days(F.col("_age"), as_of),
+            "view_count": R.view_count(F.col("_views")),
             "platform_key": R.hit_platform(F.col("url"), F.col("platform")),
         }
-    ).drop("_blob")
+    ).drop("_blob", "_age", "_views")
 
 
 def viral_hits(hits: DataFrame, as_of: Column, days: int = 3, min_views: int = 100_000) -> DataFrame:

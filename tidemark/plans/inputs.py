@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import fixed
-from tidemark.sources.readers import table
+from tidemark.sources.readers import spread, table
 
 
 def pick(number: str, values: list[str]) -> str:
@@ -195,7 +195,7 @@ EVENTS = [
     f"{pick('event_id', fixed.GENERATE_STEPS + ['unknown'])} AS step",
     "CASE event_type WHEN 'view' THEN 'active' WHEN 'signup' THEN 'active' WHEN 'click' THEN 'completed' WHEN 'purchase' THEN 'skipped' ELSE 'error' END AS status",
     "CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type || ' ' || CAST(event_id % 13 AS VARCHAR(20)) END AS message",
-    "CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(value * 100 AS BIGINT) END AS duration_ms",
+    "CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(floor(value * 100) AS BIGINT) END AS duration_ms",
     "CASE WHEN event_type = 'error' AND event_id % 11 = 0 THEN 'error' WHEN event_id % 97 = 0 THEN 'complete' ELSE 'progress' END AS event",
     "CASE WHEN event_type = 'error' THEN 'workflow_error' END AS error_type",
     "ts",
@@ -285,7 +285,7 @@ CELLS = [
 
 
 def rows(spark: SparkSession, folder: str, name: str, exprs: list[str]) -> DataFrame:
-    return table(spark, folder, name).selectExpr(*exprs)
+    return spread(table(spark, folder, name)).selectExpr(*exprs)
 
 
 def sql(exprs: list[str], name: str) -> str:

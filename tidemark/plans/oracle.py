@@ -763,8 +763,8 @@ ORACLE["timed_out_runs"] = f"WITH {GAPS} SELECT run_id, CAST(floor(max(gap)) AS
 ORACLE["idle_sessions"] = f"""WITH {GAPS}, numbered AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 43200 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY ts, event_no) AS n FROM gaps)
 SELECT run_id, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, count(*) AS events FROM numbered GROUP BY run_id, n"""
 ORACLE["step_durations"] = f"""WITH {EVENTS}, lagged AS (SELECT *, lag(status) OVER w AS before, lag(ts) OVER w AS since FROM events_in WINDOW w AS (PARTITION BY run_id, step ORDER BY ts, event_no)),
-done AS (SELECT *, CAST(floor((epoch_us(ts) - epoch_us(since)) / 1000) AS BIGINT) AS duration_ms FROM lagged WHERE status = 'completed' AND before = 'active')
-SELECT run_id, step, event_no, duration_ms, CASE WHEN duration_ms = 0 THEN '' WHEN duration_ms < 1000 THEN duration_ms || 'ms' ELSE printf('%.1f', CAST(duration_ms AS DOUBLE) / 1000) || 's' END AS label FROM done"""
+done AS (SELECT *, CAST(floor((epoch_us(ts) - epoch_us(since)) / 1000) AS BIGINT) AS lapse FROM lagged WHERE status = 'completed' AND before = 'active')
+SELECT run_id, step, event_no, lapse AS duration_ms, CASE WHEN lapse = 0 THEN '' WHEN lapse < 1000 THEN lapse || 'ms' ELSE printf('%.1f', CAST(lapse AS DOUBLE) / 1000) || 's' END AS label FROM done"""
 ERRORS = {k: v.format(assistant="Assistant") for k, v in fixed.STEP_ERRORS.items()}
 ORACLE["step_errors"] = f"""WITH {EVENTS}, failed AS (SELECT *, lower(message || {I.pick('event_no', [' API timeout', ' boom', ' 429'])}) AS t FROM events_in WHERE status = 'error'),
 kinds AS (SELECT step, CASE WHEN step = 'trend_hunter' THEN 'search_timeout' WHEN step IN ('script_writer', 'rewriter', 'compliance_fix') AND {contains_any('t', fixed.LLM_BUSY_WORDS)} THEN 'llm_busy'

@@ -33,7 +33,7 @@ from tidemark.operators.keyed import last_per_key, rows_of, top_k
 from tidemark.plans import inputs as I
 from tidemark.session import cut_lineage, ship_package
 from tidemark.sources.readers import event_texts as decode_events
-from tidemark.sources.readers import table
+from tidemark.sources.readers import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -157,10 +157,11 @@ def repeated_lines(spark, folder):
 def noise_lines(spark, folder):
     """Noise lines per document source."""
     lines = _noisy_documents(spark, folder).select("source", F.explode(T.split_lines("body")).alias("line"))
+    lines = lines.withColumn("clean", T.clean_line("line"))
     return lines.groupBy("source").agg(
         F.count("*").alias("lines"),
         F.count(F.when(T.is_noise_line("line"), 1)).alias("block_noise"),
-        F.count(F.when(C.is_dropped_line(F.col("line")), 1)).alias("markdown_noise"),
+        F.count(F.when(C.is_dropped(F.col("clean")), 1)).alias("markdown_noise"),
     )
 
 
@@ -199,7 +200,7 @@ MD5 = E.HashEmbedder(digest="md5")
 @query
 def hash_embedding(spark, folder):
     """Non-zero entries of the hashed document vectors."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     rows = E.with_vectors(docs, embedder=MD5).select("doc_id", F.inline(E.sparse(F.col("vector"))))
     return rows.select("doc_id", "idx", F.round("val", 6).alias("val"))
 
@@ -298,7 +299,7 @@ def evidence_digest(spark, folder):
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages")
+    return spread(table(spark, folder, "pages"))
 
 
 @query

@@ -30,6 +30,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores, for work that is heavy per row.
+
+    A table with a split per core or more, as any large one, stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    sizes = df.inputFiles()
+    splits = df.rdd.getNumPartitions() if len(sizes) < cores else cores
+    return df.repartition(cores) if splits < cores else df
+
+
 def jdbc_table(spark: SparkSession, url: str, name: str, key: str, lower: int, upper: int, parts: int, **options: str) -> DataFrame:
     """A database table read in parallel key ranges (the driver jar comes with the cluster)."""
     return spark.read.jdbc(url, name, column=key, lowerBound=lower, upperBound=upper, numPartitions=parts, properties=options)

@@ -9,6 +9,7 @@ from tidemark import fixed
 from tidemark.functions import meta as M
 from tidemark.functions import text as T
 from tidemark.operators.keyed import first_per_key, last_per_key, merge_rows, replace_rows, top_k
+from tidemark.session import cut_lineage
 
 CATALOG_FIELDS = ["id", "title", "category", "region", "market", "platform", "language", "url", "crawl_mode", "priority", "notes"]
 
@@ -104,18 +105,70 @@ def split_id(x: Column) -> Column:
 
 
 def allocate_ids(uploads: DataFrame, taken: DataFrame) -> DataFrame:
-    """Adds ``source_id``: the id an upload is stored under.
+    """Adds ``source_id``: the id an upload is stored under, as if uploads came one by one.
 
     ``uploads``: upload_no, base, suffix. ``taken``: id, raw_suffixes (array), has_md,
     has_json, in_catalog, one row per id in use. A raw file may replace a raw file of its
     own kind, a text may replace a stored text; otherwise the first free number is used.
     Uploads of one kind under one base share an id, so at most three ids per base are
-    handed out, and only their first free numbers are looked for: the successors of
-    numbers in use, less the numbers in use.
+    handed out. Bases such as ``a`` and ``a_1`` may claim the same id; then claims are
+    settled up to the first one that loses, and the rest is claimed anew. Without such
+    names, the usual case, one round settles everything.
     """
     raw = F.col("suffix").isin(*fixed.RAW_SUFFIXES)
     kinds = uploads.withColumn("kind", F.when(raw, F.col("suffix")).otherwise(F.lit("text")))
-    firsts = kinds.groupBy("base", "kind").agg(F.min("upload_no").alias("first_no"))
+    open_claims = kinds.groupBy("base", "kind").agg(F.min("upload_no").alias("first_no"))
+    used = taken.select("id", "raw_suffixes", "has_md", "has_json")
+    settled = []
+    while True:
+        claims = cut_lineage(_claims(open_claims, used))
+        winners = claims.groupBy("source_id").agg(
+            F.min_by("kind", "first_no").alias("_kind"), F.countDistinct("kind").alias("_kinds")
+        )
+        lost = winners.filter("_kinds > 1").join(claims, "source_id").filter(F.col("kind") != F.col("_kind"))
+        edges = lost.groupBy(_family(F.col("base")).alias("family")).agg(F.min("first_no").alias("_edge"))
+        placed = claims.withColumn("family", _family(F.col("base"))).join(edges, "family", "left")
+        final = F.col("_edge").isNull() | (F.col("first_no") < F.col("_edge"))
+        settled.append(placed.filter(final).select("base", "kind", "source_id"))
+        rest = placed.filter(~final).select("base", "kind", "first_no")
+        if rest.isEmpty():
+            break
+        open_claims, used = rest, _with_claims(used, settled[-1])
+    given = settled[0]
+    for part in settled[1:]:
+        given = given.unionByName(part)
+    return kinds.join(given, ["base", "kind"]).drop("kind")
+
+
+def _family(base: Column) -> Column:
+    return F.regexp_replace(base, r"(_[1-9]\d*)+$", "")
+
+
+def _with_claims(used: DataFrame, settled: DataFrame) -> DataFrame:
+    is_text = F.col("kind") == "text"
+    new = settled.select(
+        F.col("source_id").alias("id"),
+        F.when(is_text, F.array().cast("array<string>")).otherwise(F.array("kind")).alias("raw_suffixes"),
+        is_text.alias("has_md"),
+        is_text.alias("has_json"),
+    )
+    return (
+        used.unionByName(new)
+        .groupBy("id")
+        .agg(
+            F.array_distinct(F.flatten(F.collect_set("raw_suffixes"))).alias("raw_suffixes"),
+            F.bool_or("has_md").alias("has_md"),
+            F.bool_or("has_json").alias("has_json"),
+        )
+    )
+
+
+def _claims(firsts: DataFrame, taken: DataFrame) -> DataFrame:
+    """The id each (base, kind) would get if only the ids in use stood in its way.
+
+    Only the first free numbers of a base are looked for: the successors of numbers in
+    use, less the numbers in use.
+    """
     wanted = firsts.select("base").distinct()
     names = taken.select(F.explode(split_id(F.col("id"))).alias("p"), "raw_suffixes", "has_md", "has_json")
     used = names.select("p.base", "p.n", "raw_suffixes", "has_md", "has_json").join(wanted, "base", "left_semi")
@@ -138,24 +191,23 @@ def allocate_ids(uploads: DataFrame, taken: DataFrame) -> DataFrame:
     plan = firsts.join(reuse, ["base", "kind"], "left").groupBy("base").agg(
         F.array_sort(F.collect_list(F.struct("first_no", "kind", "reuse_n"))).alias("asked")
     )
-    none = F.array().cast("array<struct<kind:string,n:bigint>>")
+    none = F.array().cast("array<struct<kind:string,first_no:bigint,n:bigint>>")
 
     def give(acc: Column, k: Column) -> Column:
         free_n = F.get(F.col("free"), acc["at"])
         old = k["reuse_n"].isNotNull() & (k["reuse_n"] < free_n)
-        got = F.struct(k["kind"].alias("kind"), F.when(old, k["reuse_n"]).otherwise(free_n).alias("n"))
+        n = F.when(old, k["reuse_n"]).otherwise(free_n)
+        got = F.struct(k["kind"].alias("kind"), k["first_no"].cast("bigint").alias("first_no"), n.alias("n"))
         return F.struct(
             F.when(old, acc["at"]).otherwise(acc["at"] + 1).alias("at"), F.concat(acc["out"], F.array(got)).alias("out")
         )
 
     given = plan.join(low, "base").select(
         "base",
-        F.inline(
-            F.aggregate("asked", F.struct(F.lit(0).alias("at"), none.alias("out")), give, lambda acc: acc["out"])
-        ),
+        F.inline(F.aggregate("asked", F.struct(F.lit(0).alias("at"), none.alias("out")), give, lambda acc: acc["out"])),
     )
     source_id = F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("n").cast("string")))
-    return kinds.join(given.select("base", "kind", source_id.alias("source_id")), ["base", "kind"]).drop("kind")
+    return given.select("base", "kind", "first_no", source_id.alias("source_id"))
 
 
 # --- uploads ------------------------------------------------------------------------------

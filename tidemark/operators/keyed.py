@@ -45,8 +45,10 @@ def replace_rows(base: DataFrame, changes: DataFrame, keys: Sequence[str]) -> Da
     )
 
 
-def slice_points(df: DataFrame, order: str, slices: int = SLICES) -> list[float]:
-    """At most ``slices`` cut points of a numeric column, from a sketch of its distribution."""
+def slice_points(df: DataFrame, order: str, slices: int | None = None) -> list[float]:
+    """Cut points of a numeric column, from a sketch of its distribution: 64 to 256, by the cores there are."""
+    if slices is None:
+        slices = min(4 * SLICES, max(SLICES, df.sparkSession.sparkContext.defaultParallelism))
     got = df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.005)
     return sorted(set(got))
 
@@ -60,7 +62,7 @@ def slice_of(order: Column, points: Sequence[float]) -> Column:
 
 
 def rank_in_key(
-    df: DataFrame, keys: Sequence[str], order: str, name: str = "rank", slices: int = SLICES
+    df: DataFrame, keys: Sequence[str], order: str, name: str = "rank", slices: int | None = None
 ) -> DataFrame:
     """1-based position of each row in its key by a numeric, unique ``order`` column."""
     points = slice_points(df, order, slices)
@@ -77,7 +79,7 @@ def rank_in_key(
     )
 
 
-def number_rows(df: DataFrame, order: str, name: str, start: int = 0, slices: int = SLICES) -> DataFrame:
+def number_rows(df: DataFrame, order: str, name: str, start: int = 0, slices: int | None = None) -> DataFrame:
     """Consecutive numbers from ``start + 1`` in the order of a numeric, unique column."""
     one = df.withColumn("_all", F.lit(1))
     ranked = rank_in_key(one, ["_all"], order, name, slices).drop("_all")

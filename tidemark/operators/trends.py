@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed
@@ -56,13 +56,14 @@ def viral_benchmarks(
     good = viral_hits(hits, as_of, days, min_views)
     single = F.col("wanted").isin(*fixed.VIRAL_PLATFORMS)
     good = good.withColumn("_own", ~single | (F.col("platform") == F.col("wanted")))
-    served = good.groupBy("request_id").agg(F.max("_own").alias("_served"))
-    kept = good.join(served, "request_id").filter(F.col("_own") | ~F.col("_served"))
     turn = [platform_turn(F.col("platform")), F.col("query_no"), F.col("hit_no")]
-    unique = first_per_key(kept.drop("_own", "_served"), ["request_id", "url"], turn)
     views = F.coalesce("view_count", F.lit(0))
     score = F.coalesce("score", F.lit(0.0))
-    best = top_k(unique, ["request_id"], [views.desc(), score.desc(), *turn, F.col("url")], most)
+    # own and other platforms are ranked apart, so that only their few best rows are compared
+    unique = first_per_key(good, ["request_id", "_own", "url"], turn)
+    best = top_k(unique, ["request_id", "_own"], [views.desc(), score.desc(), *turn, F.col("url")], most)
+    served = F.max("_own").over(Window.partitionBy("request_id"))
+    best = best.withColumn("_served", served).filter(F.col("_own") | ~F.col("_served"))
     image = F.get("images", F.col("hit_no")) if "images" in hits.columns else F.lit("")
     title = F.when(F.coalesce("title", F.lit("")) == "", T.lookup(F.col("platform_key"), fixed.PLATFORM_LABELS, F.lit(fixed.VIRAL_TITLE_DEFAULT)))
     return best.select(

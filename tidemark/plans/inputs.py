@@ -189,6 +189,8 @@ SERVED = [
     "event_type IN ('click', 'error') AS refresh",
 ]
 
+TREND_VISITS = [f"CAST({whole('event_id', 3)} AS VARCHAR(20)) AS request_id", *SERVED[1:]]
+
 EVENTS = [
     "CAST(user_id AS VARCHAR(20)) AS run_id",
     "event_id AS event_no",

@@ -587,6 +587,14 @@ ORACLE["module_meta"] = f"""WITH {SERVED}
 SELECT scope_key, coalesce(min_by(error, CAST(request_id AS BIGINT)) FILTER (WHERE error <> ''), '') AS error, bool_and(from_cache) AS from_cache,
   bool_or(stale) AS stale, max(at_us) AS cached_at FROM served GROUP BY scope_key"""
 
+VISITS = SERVED.replace(I.sql(I.SERVED, "events"), I.sql(I.TREND_VISITS, "events"))
+ORACLE["trend_results"] = f"""WITH {VISITS}
+SELECT request_id, max(payload) FILTER (WHERE module_name = 'topic_brief') AS trend_hunter, max(payload) FILTER (WHERE module_name = 'videos') AS benchmarks,
+  max(error) FILTER (WHERE module_name = 'videos') AS benchmarks_error,
+  CASE WHEN bool_or(module_name <> 'videos') THEN coalesce(min_by(error, module_name) FILTER (WHERE module_name <> 'videos' AND error <> ''), '') END AS industry_error,
+  bool_and(from_cache) FILTER (WHERE module_name <> 'videos') AS industry_cached, bool_or(stale) FILTER (WHERE module_name <> 'videos') AS industry_stale
+FROM served GROUP BY request_id"""
+
 # --- scripts as markdown ------------------------------------------------------------------
 
 SCRIPT_TEXTS = f"raw AS ({I.sql(I.SCRIPT_TEXTS, 'conversations')})"

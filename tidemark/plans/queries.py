@@ -434,11 +434,11 @@ def _snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return last_per_key(rows, TR.SNAPSHOT_KEYS, [F.col("updated_at"), F.col("event_id")]).drop("event_id")
 
 
-def _served(spark: SparkSession, folder: str) -> DataFrame:
+def _served(spark: SparkSession, folder: str, asked: list[str] = I.SERVED) -> DataFrame:
     old = _snapshots(spark, folder)
     loads = I.rows(spark, folder, "events", I.LOADS)
     loads = last_per_key(loads, TR.SNAPSHOT_KEYS, [F.col("event_id")]).drop("event_id")
-    return TR.serve_modules(I.rows(spark, folder, "events", I.SERVED), old, loads)
+    return TR.serve_modules(I.rows(spark, folder, "events", asked), old, loads)
 
 
 @query
@@ -464,6 +464,16 @@ def module_meta(spark, folder):
     return meta.withColumn("cached_at", F.unix_micros(F.col("cached_at").cast("timestamp")))
 
 
+@query
+def trend_results(spark, folder):
+    """The three modules of a trend request in one row."""
+    rows = TR.trend_result(_served(spark, folder, I.TREND_VISITS))
+    return rows.select(
+        "request_id", "trend_hunter", "benchmarks", "benchmarks_error", F.col("industry.error").alias("industry_error"),
+        F.col("industry.from_cache").alias("industry_cached"), F.col("industry.stale").alias("industry_stale"),
+    )
+
+
 # --- scripts as markdown ------------------------------------------------------------------
 
 

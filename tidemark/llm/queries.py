@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidemark.llm import jaccard, mixing, packing, recipes, repeats, sharding, warc
+from tidemark.llm import jaccard, mixing, packing, recipes, repeats, sharding, warc, winnow
 from tidemark.llm.common import table
 from tidemark.session import ship_package
 
@@ -44,6 +44,11 @@ from documents window w as (partition by coalesce(text, ''))
 """
 
 
+@register
+def op5_fingerprints(spark, folder):
+    return winnow.fingerprints(table(spark, folder, "documents"))
+
+
 @register
 def op7_ngram_jaccard(spark, folder):
     return jaccard.near_duplicates(table(spark, folder, "documents")).drop("row", "root")

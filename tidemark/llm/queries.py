@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidemark.llm import jaccard, mixing, packing, recipes, repeats, sharding, warc, winnow
+from tidemark.llm import jaccard, mixing, packing, recipes, repeats, sharding, toxicity, warc, winnow
 from tidemark.llm.common import table
 from tidemark.session import ship_package
 
@@ -32,6 +32,11 @@ def op2_sharding(spark, folder):
     return sharding.deal_shards(table(spark, folder, "documents"))
 
 
+@register
+def op3_toxicity(spark, folder):
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @register
 def op4_exact_dedup(spark, folder):
     return recipes.exact_groups(table(spark, folder, "documents")).drop("row")

@@ -98,6 +98,7 @@ def mix_sources(
     seed: int = SEED,
     size: Column | None = None,
     fit_words: int = FIT_WORDS,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per row of ``docs``: its size, its source's size and target, the copies and the words that are taken.
 
@@ -108,7 +109,8 @@ def mix_sources(
 
     A null text has no words; documents without words are taken e times. Null is a source of its own. Equal ids with
     equal texts share their hash, and which of them goes in makes no difference. An empty table gives no rows.
-    Other columns are not read. The same rows give the same result, however they are laid out.
+    Other columns than these and ``carry`` are not read. The same rows give the same result, however they are laid
+    out.
     """
     words = size if size is not None else word_count(F.col(text_col))
     rows = cut_lineage(
@@ -117,6 +119,7 @@ def mix_sources(
             F.col(source_col).cast("string").alias("source"),
             words.cast("long").alias("size"),
             hash63(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col)).alias("_order"),
+            *carry,
         )
     )
     count = rows.count()
@@ -160,6 +163,7 @@ def mix_sources(
         (F.col("size") * copies).alias("taken"),
         copies.alias("copies"),
         "source",
+        *carry,
     )
 
 
@@ -180,10 +184,12 @@ def _weighted(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; all its columns."""
+    """The rows of ``docs``, each as often as the mix takes it; all its columns.
+
+    ``docs`` must be a stored table, as its rows are numbered by their place in two scans.
+    """
     columns = docs.columns
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    quota = mix_sources(numbered, "_row", text_col, source_col)
-    quota = quota.filter("copies > 0").select(F.col("doc_id").alias("_row"), F.col("copies").cast("int").alias("_copies"))
-    joined = numbered.join(quota, "_row")
+    quota = mix_sources(numbered, id_col, text_col, source_col, carry=("_row",)).filter("copies > 0")
+    joined = numbered.join(quota.select("_row", F.col("copies").cast("int").alias("_copies")), "_row")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidemark.llm import jaccard, mixing, packing, recipes, repeats, sharding, toxicity, warc, winnow
+from tidemark.llm import jaccard, mixing, packing, pseudo_lm, recipes, repeats, sharding, toxicity, warc, winnow
 from tidemark.llm.common import table
 from tidemark.session import ship_package
 
@@ -54,6 +54,11 @@ def op5_fingerprints(spark, folder):
     return winnow.fingerprints(table(spark, folder, "documents"))
 
 
+@register
+def op6_lm_scoring(spark, folder):
+    return pseudo_lm.score_documents(table(spark, folder, "documents"))
+
+
 @register
 def op7_ngram_jaccard(spark, folder):
     return jaccard.near_duplicates(table(spark, folder, "documents")).drop("row", "root")

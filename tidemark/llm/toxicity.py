@@ -21,7 +21,8 @@ PARTS, HELD, CALIBRATE = 4, 2, 3
 #: A document counts as toxic from this score on.
 THRESHOLD = 0.3
 #: Words of a window; longer words are cut.
-WORDS, WORD_CHARS = 6, 40
+WORDS, WORD_CHARS = 8, 40
+TAIL = "\n" * 8
 #: Bytes of the dictionaries, code points of the pieces that set toxic text apart, and how clearly they must.
 TOXIC_BYTES, ORDINARY_BYTES = 1024, 16384
 PIECE, EXCESS, EVIDENCE = 5, 20.0, 25.0
@@ -40,9 +41,12 @@ def words(text: str) -> list[str]:
 
 
 def windows(text: str) -> list[bytes]:
-    """The words of a text, a few at a time, with blanks around them."""
+    """The words of a text, a few at a time, with blanks around them.
+
+    The compressor looks for no match in the last eight bytes; so many more stand behind the last word.
+    """
     ws = words(text)
-    return [f" {' '.join(ws[i : i + WORDS])} ".encode("utf-8", "replace") for i in range(0, len(ws), WORDS)]
+    return [f" {' '.join(ws[i : i + WORDS])} {TAIL}".encode("utf-8", "replace") for i in range(0, len(ws), WORDS)]
 
 
 def _pieces(text: str) -> set[str]:
@@ -112,7 +116,7 @@ class Distance:
             window_log=17,
             chain_log=17,
             hash_log=16,
-            min_match=6,
+            min_match=5,
             strategy=zstd.STRATEGY_DFAST,
             write_content_size=False,
             write_checksum=False,
@@ -183,8 +187,8 @@ class Model:
             x = (x - self.mean) / self.scale
             self.weights = fit_logistic(x, y)
             logits = self.weights[0] + x @ self.weights[1:]
-            # the best cut gets the score that counts as toxic
-            self.shift = math.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(logits, y)
+            # the best cut gets the score that counts as toxic, unless it is less sure than that score says
+            self.shift = min(0.0, math.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(logits, y))
         else:
             # nothing to learn from: no text is toxic, or all are
             self.weights[0] = 4.0 if len(y) and y.all() else -4.0

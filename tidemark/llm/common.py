@@ -114,6 +114,14 @@ def number_in_key(
     return out.select(*df.columns, F.col(name).cast("long").alias(name))
 
 
+def with_row_number(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a number of each row by its place in the scan, in a column whose name it does not have yet."""
+    name = "_row_number"
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return df.withColumn(name, F.monotonically_increasing_id()), name
+
+
 def hash63(*columns: Column | str) -> Column:
     """A well spread, non-negative 63-bit number of some columns."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 1)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import gram_hashes, hash63, mix64, number_in_key, slices, word_hashes, words_of
+from tidemark.llm.common import gram_hashes, hash63, mix64, number_in_key, slices, with_row_number, word_hashes, words_of
 from tidemark.llm.graph import components
 from tidemark.session import cut_lineage
 
@@ -285,6 +285,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     classes = near_duplicates(docs, id_col, text_col, **options).select("row", "root", "doc_id")
     classes = cut_lineage(classes)
     first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-    gone = classes.join(first, "root").filter("row <> first.row").select(F.col("row").alias("_row"))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(gone, "_row", "left_anti").drop("_row")
+    numbered, row = with_row_number(docs)
+    gone = classes.join(first, "root").filter("row <> first.row").select(F.col("row").alias(row))
+    return numbered.join(gone, row, "left_anti").drop(row)

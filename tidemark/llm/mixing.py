@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hash63, number_in_key
+from tidemark.llm.common import hash63, number_in_key, with_row_number
 from tidemark.session import cut_lineage
 
 #: Weights by rank of the source, again and again.
@@ -188,8 +188,11 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     ``docs`` must be a stored table, as its rows are numbered by their place in two scans.
     """
-    columns = docs.columns
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    quota = mix_sources(numbered, id_col, text_col, source_col, carry=("_row",)).filter("copies > 0")
-    joined = numbered.join(quota.select("_row", F.col("copies").cast("int").alias("_copies")), "_row")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    numbered, row = with_row_number(docs)
+    quota = mix_sources(numbered, id_col, text_col, source_col, carry=(row,)).filter("copies > 0")
+    times = quota.select(F.col(row).alias("_taken_row"), F.col("copies").cast("int").alias("_taken_copies"))
+    # an array of one place per copy is exploded behind the columns of the table, which keep their names
+    joined = numbered.join(times, F.col(row) == F.col("_taken_row"))
+    return joined.select(*[joined[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "_taken_copies")).alias("_taken_copy")).select(
+        *[F.col(f"`{c}`") for c in docs.columns]
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import slices, with_row_number
 from tidemark.session import cut_lineage
 
 #: Bytes of a chunk: least, mean beyond that, most.
@@ -56,10 +57,10 @@ def _chunks(texts: pa.Array) -> Iterator[list[memoryview]]:
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1].tolist()
     buffer = texts.buffers()[2]
     data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
-    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+    for a, b in pairwise(offsets):
         part = data[a:b]
         ends = cut_points(part)
-        yield [part[x:y].data for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        yield [part[x:y].data for x, y in pairwise([0, *ends])]
 
 
 def _digest(chunk, size: int) -> bytes:
@@ -168,6 +169,6 @@ def _rename(docs, recipes, doubtful, text_col, digest_bytes):
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the copies that do not stay; all its columns."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("row").alias("_row"))
-    return numbered.join(gone, "_row", "left_anti").drop("_row")
+    numbered, row = with_row_number(docs)
+    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("row").alias(row))
+    return numbered.join(gone, row, "left_anti").drop(row)

@@ -23,6 +23,7 @@ THRESHOLD = 0.3
 #: Words of a window; longer words are cut.
 WORDS, WORD_CHARS = 8, 40
 TAIL = "\n" * 8
+FEATURES = 10
 #: Bytes of the dictionaries, code points of the pieces that set toxic text apart, and how clearly they must.
 TOXIC_BYTES, ORDINARY_BYTES = 1024, 16384
 PIECE, EXCESS, EVIDENCE = 5, 20.0, 25.0
@@ -97,18 +98,26 @@ def telling_runs(texts: list[str], pieces: set[str]) -> list[bytes]:
 
 
 def dictionary(samples: list[bytes], size: int) -> bytes:
-    """Content of a dictionary trained on the samples; with too few to train on, the samples themselves."""
+    """Content of a dictionary trained on the samples; what room is left gets the most frequent ones it lacks.
+
+    The trainer gives back less than asked for, or nothing, where there is little to train on.
+    """
     try:
-        return zstd.train_dictionary(size, samples).as_bytes()
+        content = zstd.train_dictionary(size, samples).as_bytes()
     except zstd.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:]
+        content = b""
+    extra = b""
+    for sample, _ in sorted(Counter(samples).items(), key=lambda x: (-x[1], x[0])):
+        if len(content) + len(extra) + len(sample) <= size and sample not in content and sample not in extra:
+            extra += sample
+    return content + extra
 
 
 class Distance:
     """Compressed length of windows under the ordinary dictionary less that under both together.
 
-    The toxic dictionary is laid behind the ordinary one, so a window that holds nothing toxic finds the same
-    matches either way, and a toxic one is shorter.
+    The toxic dictionary, or as many zero bytes, is laid behind the ordinary one, so a window that holds nothing toxic
+    finds the same matches at the same distances either way, and a toxic one is shorter.
     """
 
     def __init__(self, ordinary: bytes, toxic: bytes):
@@ -129,7 +138,7 @@ class Distance:
             data.precompute_compress(compression_params=params)
             return zstd.ZstdCompressor(compression_params=params, dict_data=data).compress
 
-        self.plain, self.both = compressor(ordinary), compressor(ordinary + toxic)
+        self.plain, self.both = compressor(ordinary + bytes(len(toxic))), compressor(ordinary + toxic)
 
     def features(self, text: str) -> list[float]:
         """What the gains of a text's windows look like: their largest, and how many pass which length."""
@@ -137,7 +146,20 @@ class Distance:
         n = max(1, len(gains))
         passed = [sum(g >= least for g in gains) for least in (2, 3, 4, 5)]
         top = gains[:3] + [0] * (3 - len(gains[:3]))
-        return [top[0], sum(top), *[math.log1p(p) for p in passed], *[math.sqrt(p / n) for p in passed], math.log(n)]
+        return [top[0], sum(top), *[math.log1p(p) for p in passed], *[math.sqrt(p / n) for p in passed]]
+
+
+def fit_rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression in which no column counts against a text; the first is the constant."""
+    use = list(range(x.shape[1]))
+    while True:
+        w = fit_logistic(x[:, use], y)
+        if not use or w[1:].min() >= 0:
+            break
+        use.pop(int(np.argmin(w[1:])))
+    out = np.zeros(x.shape[1] + 1)
+    out[[0, *[i + 1 for i in use]]] = w
+    return out
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -172,7 +194,7 @@ class Model:
         # copies of a text say nothing more
         toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
         rng = random.Random(5)
-        samples = [w for text in ordinary for w in windows(text)]
+        samples = [w[: -len(TAIL)] for text in ordinary for w in windows(text)]
         rng.shuffle(samples)
         runs = telling_runs(toxic, telling_pieces(toxic, ordinary)) if toxic and ordinary else []
         rng.shuffle(runs)
@@ -180,12 +202,12 @@ class Model:
         self.toxic = dictionary(runs, TOXIC_BYTES)
         self._distance = None
         y = np.array([label for _, label in held], float)
-        self.mean, self.scale, self.weights, self.shift = np.zeros(11), np.ones(11), np.zeros(12), 0.0
+        self.mean, self.scale, self.weights, self.shift = np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1), 0.0
         if 0 < y.sum() < len(y):
             x = np.array([self._features(text) for text, _ in held])
             self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-6)
             x = (x - self.mean) / self.scale
-            self.weights = fit_logistic(x, y)
+            self.weights = fit_rising(x, y)
             logits = self.weights[0] + x @ self.weights[1:]
             # the best cut gets the score that counts as toxic, unless it is less sure than that score says
             self.shift = min(0.0, math.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(logits, y))
@@ -202,7 +224,7 @@ class Model:
         return self._distance.features(text)
 
     def score(self, texts: list[str]) -> np.ndarray:
-        x = (np.array([self._features(t) for t in texts]).reshape(-1, 11) - self.mean) / self.scale
+        x = (np.array([self._features(t) for t in texts]).reshape(-1, FEATURES) - self.mean) / self.scale
         logits = self.weights[0] + x @ self.weights[1:] + self.shift
         return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
 

@@ -129,9 +129,9 @@ def winnow_edited(
 
     A gram whose windows all lie in the common part is selected in both; only the rest is winnowed again.
     """
-    # the first place with a window that reaches beyond the common part, and the first window that holds it
+    # the first place with a window that reaches beyond the common part, and a place before all windows that hold it
     changed = F.greatest(same - (gram + window - 2), F.lit(0))
-    start = F.greatest(changed - (window - 1), F.lit(0))
+    start = F.greatest(changed - window, F.lit(0))
     kept = F.filter(selection, lambda v: position(v) < changed)
     again = winnow(F.substring(edited, start + 1, F.length(edited)), gram, window, block)
     moved = F.filter(F.transform(again, lambda v: v - start * 4), lambda v: position(v) >= changed)

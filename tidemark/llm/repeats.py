@@ -11,13 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import gram_hashes, mix64, slices, word_hashes, words_of
+from tidemark.llm.common import gram_hashes, mix64, slices, stored, word_hashes, words_of
 from tidemark.session import cut_lineage
 
 #: Words of a passage that is removed where it repeats.
 LENGTH = 35
 #: Words of a seed. Every passage of LENGTH words holds LENGTH - SEED + 1 seeds, and so at least one anchor.
-SEED = 10
+SEED = 8
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -168,15 +168,14 @@ def remove_repeats(
     seeded = seeded.withColumn("whole", whole)
 
     # one of each group of copies meets the other texts
-    met = seeded.filter("rep is null or rep = row").select("row", "whole", F.explode("anchors").alias("anchor"))
-    twice = met.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    spots = met.join(twice, "anchor").groupBy("row").agg(
-        F.collect_set("anchor").alias("anchors"), F.first("whole").alias("whole")
-    )
-    spots = spots.select("row", "anchors", (~F.col("whole")).alias("single"))
-    texts = cut_lineage(read.select("row", "text").join(spots, "row"))
+    met = seeded.filter("rep is null or rep = row").select("row", F.explode("anchors").alias("anchor"))
+    # kept apart, so that the join has a shuffle of its own on either side and can split a hot anchor
+    twice = cut_lineage(met.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    spots = met.join(twice, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
+    spots = spots.join(seeded.select("row", (~F.col("whole")).alias("single")), "row")
+    texts = stored(read.select("row", "text").join(spots, "row"))
     passages = texts.mapInArrow(_extend(length, seed), "h long, check int, row long, start int, single boolean")
-    again = passages.groupBy("h", "check").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = cut_lineage(passages.groupBy("h", "check").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
     starts = passages.filter("single").join(again, ["h", "check"]).groupBy("row").agg(F.collect_list("start").alias("starts"))
     cut = texts.select("row", "text").join(starts, "row").mapInArrow(_cut(length), "row long, removed long, cut_sha string")
     done = seeded.drop("anchors").join(cut, "row", "left")

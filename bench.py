@@ -33,6 +33,12 @@ HEADLINE = [
     "step_durations",
     "reading_order",
     "real_tables",
+    "layout_documents",
+    "heading_levels",
+    "citations",
+    "trend_results",
+    "talent_updates",
+    "page_chunks",
 ]
 
 

@@ -162,3 +162,48 @@ def test_step_errors(one):
         ("compliance", "429", "compliance_blocked"), ("profiler", "timeout", "workflow_error"),
     ]:
         assert one(W.step_error(F.col("s"), F.col("t")), s=step, t=text).error_type == want
+
+
+def test_no_number_in_a_hit_stops_the_job(spark):
+    texts = [
+        "99999999999d ago", "1,000,000,000,000,000,000,000 views", "99999999999999999999m views", "\u0661\u0662d ago",
+        "\u0663K views", "9" * 400 + "m plays", "1," + "000," * 30 + "000 plays", "3w ago", "1.5M views",
+    ]
+    as_of = F.lit("2024-02-01").cast("date")
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    parsed = rows.withColumns({"v": R.view_parts(F.col("t")), "a": R.age_parts(F.col("t"))})
+    got = parsed.select("i", R.view_count(F.col("v")).alias("v"), R.age_days(F.col("a"), as_of).alias("a")).orderBy("i").collect()
+    most = 2**63 - 1
+    assert [r.v for r in got] == [None, most, most, None, 3000, most, most, None, 1_500_000]
+    assert [r.a for r in got] == [R.MOST_AGE, None, None, 12, None, None, None, 21, None]
+
+
+def test_bad_bytes_are_left_out(spark):
+    rows = spark.createDataFrame([(bytearray(b"a\xffb\xc3\xa9"),), (bytearray("x\ufffdy".encode()),), (None,)], "c binary")
+    assert [r.t for r in rows.select(M.lenient_utf8(F.col("c")).alias("t")).collect()] == ["ab\u00e9", "x\ufffdy", None]
+
+
+def test_a_cluster_without_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from tidemark import session
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    spark = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(ValueError, match="share"):
+        session.ensure_checkpoint_dir(spark)
+
+
+def test_large_rule_sets_stay_whole(spark):
+    from tidemark.operators import rules as RU
+
+    rules = [RU.Rule(i, "absolute", rf"\bword{i}\b", "t", "low", "r", "f", ()) for i in range(1, 10_002)]
+    assert len(RU.rules_from(RU.rules_table(spark, rules))) == 10_001
+
+
+def test_surplus_cells_stay_whole(spark):
+    from tidemark.functions import script as X
+
+    cells = ["[00:00]", "Scene 1", "INT. room", "x", "y", *[f"c{i}" for i in range(40)]]
+    row = spark.createDataFrame([(cells,)], "c array<string>").select(X.four_cells(F.col("c")).alias("c")).first().c
+    assert row[-1].split(" | ") == cells[5:]

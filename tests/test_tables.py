@@ -30,6 +30,22 @@ def test_numbers_are_consecutive(hot):
     assert [r.id for r in rows] == list(range(11, 11 + len(rows)))
 
 
+def test_a_hot_key_is_numbered_in_ranges(spark):
+    ids = spark.range(40_000).select(F.when(F.col("id") % 10 < 9, "hot").otherwise("cold").alias("k"), (F.col("id") * F.col("id")).alias("o"))
+    keep = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.coalescePartitions.enabled",)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranged = ids.repartitionByRange("k", "o").groupBy(F.spark_partition_id()).count().collect()
+        got = O.rank_in_key(ids, ["k"], "o")
+        want = ids.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("o")))
+        assert got.select("k", "o", "rank").exceptAll(want).isEmpty() and got.count() == 40_000
+    finally:
+        for c, v in keep.items():
+            spark.conf.set(c, v)
+    # nine tenths of the rows have one key, and no range holds a quarter of them
+    assert max(r["count"] for r in ranged) < 10_000
+
+
 def test_previous_and_running_sum_in_slices(hot):
     sliced = hot.withColumn("s", F.floor(F.col("o") / 100))
     w = Window.partitionBy("k").orderBy("o")

@@ -200,3 +200,9 @@ def file_stem(path: Column) -> Column:
 
 def file_suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"(?<=.)(\.[^.]*)$", 1))
+
+
+def lenient_utf8(content: Column) -> Column:
+    """Bytes as text; bytes that are no UTF-8 are left out."""
+    text = content.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))

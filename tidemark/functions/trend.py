@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,10 +14,35 @@ from tidemark.functions import text as T
 from tidemark.functions import web
 
 
+#: All decimal digits but the ASCII ones, and their ASCII counterparts.
+DIGITS = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+ASCII_DIGITS = "".join(str(unicodedata.decimal(d)) for d in DIGITS)
+MOST_VIEWS = 2**63 - 1
+#: Days or weeks of an age at most; larger ones count as this many.
+MOST_AGE = (2**31 - 1) // 7
+
+
 def _group(x: Column, pattern: str, n: int) -> Column:
     return F.regexp_extract(x, T.java_pattern(pattern), n)
 
 
+def ascii_digits(x: Column) -> Column:
+    """Digits of any script as ASCII digits."""
+    return F.when(x.rlike("[^\\x00-\\x7f]"), F.translate(x, "".join(DIGITS), ASCII_DIGITS)).otherwise(x)
+
+
+def saturating(digits: Column, most: int) -> Column:
+    """A run of digits as a whole number, ``most`` where it is larger, however long it is."""
+    number = F.coalesce(ascii_digits(digits).try_cast("decimal(38,0)"), F.lit(most).cast("decimal(38,0)"))
+    return F.least(number, F.lit(most).cast("decimal(38,0)")).cast("bigint")
+
+
+def _scaled(number: Column, unit: Column | int) -> Column:
+    """A decimal number times a unit, as whole views."""
+    value = ascii_digits(number).try_cast("double") * unit
+    return F.when(value >= float(MOST_VIEWS), F.lit(MOST_VIEWS)).otherwise(value.cast("bigint"))
+
+
 def view_parts(x: Column) -> Column:
     """What the view patterns find in a text, as a struct of texts (blank where nothing is found)."""
     low = F.lower(x)
@@ -36,9 +64,9 @@ def view_count(parts: Column) -> Column:
     """Views or plays; a plain number without unit or commas is not read."""
     unit = F.when(parts["unit"] == "m", 1_000_000).otherwise(1_000)
     return (
-        F.when(parts["number"] != "", (parts["number"].cast("double") * unit).cast("bigint"))
-        .when(parts["million"] != "", (parts["million"].cast("double") * 1_000_000).cast("bigint"))
-        .when(parts["plain"] != "", F.replace(parts["plain"], F.lit(","), F.lit("")).cast("bigint"))
+        F.when(parts["number"] != "", _scaled(parts["number"], unit))
+        .when(parts["million"] != "", _scaled(parts["million"], 1_000_000))
+        .when(parts["plain"] != "", saturating(F.replace(parts["plain"], F.lit(","), F.lit("")), MOST_VIEWS))
         .when(parts["bare"], F.lit(1_000_000).cast("bigint"))
     )
 
@@ -66,9 +94,9 @@ def age_days(parts: Column, as_of: Column) -> Column:
     """Age in days as seen on the day ``as_of``; an invalid date falls through, future dates count too."""
 
     def away(found: Column, form: str) -> Column:
-        return F.when(found != "", F.abs(F.datediff(as_of, F.try_to_date(found, form))))
+        return F.when(found != "", F.abs(F.datediff(as_of, F.try_to_date(ascii_digits(found), form))))
 
-    amount = parts["number"].cast("int")
+    amount = saturating(F.when(parts["number"] != "", parts["number"]), MOST_AGE).cast("int")
     relative = (
         F.when(parts["unit"] == "h", 0).when(parts["unit"] == "d", amount).when(parts["unit"] == "w", amount * 7)
     )
@@ -121,13 +149,13 @@ def viral_queries(platform: Column, country: Column, focus: Column, days: Column
     return out.otherwise(texts(fixed.VIRAL_QUERY_DEFAULT))
 
 
-def trend_query(r: dict[str, Column]) -> Column:
-    """Search text of the trend brief for one request."""
+def trend_query(r: dict[str, Column], most_languages: int = 3) -> Column:
+    """Search text of the trend brief for one request; it names the first few languages."""
     country = F.upper(r["target_country"])
     platform = S.canonical_platform(r["target_platform"])
     mode = F.lower(r["distribution_mode"])
     langs = F.transform(
-        F.slice(r["target_languages"], 1, 3), lambda v: F.coalesce(S.canonical_language(v), F.lower(v))
+        F.slice(r["target_languages"], 1, most_languages), lambda v: F.coalesce(S.canonical_language(v), F.lower(v))
     )
     return T.fill(
         fixed.TREND_QUERY_TEMPLATE,

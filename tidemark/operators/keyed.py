@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64
+from tidemark.session import cut_lineage
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -45,28 +45,15 @@ def replace_rows(base: DataFrame, changes: DataFrame, keys: Sequence[str]) -> Da
     )
 
 
-def slice_points(df: DataFrame, order: str, slices: int | None = None) -> list[float]:
-    """Cut points of a numeric column, from a sketch of its distribution: 64 to 256, by the cores there are."""
-    if slices is None:
-        slices = min(4 * SLICES, max(SLICES, df.sparkSession.sparkContext.defaultParallelism))
-    got = df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.005)
-    return sorted(set(got))
+def rank_in_key(df: DataFrame, keys: Sequence[str], order: str, name: str = "rank") -> DataFrame:
+    """1-based position of each row in its key by a unique ``order`` column.
 
-
-def slice_of(order: Column, points: Sequence[float]) -> Column:
-    """Number of cut points below the value: a slice index that keeps the order."""
-    out = F.lit(0)
-    for p in points:
-        out = out + (order > F.lit(p)).cast("int")
-    return out
-
-
-def rank_in_key(
-    df: DataFrame, keys: Sequence[str], order: str, name: str = "rank", slices: int | None = None
-) -> DataFrame:
-    """1-based position of each row in its key by a numeric, unique ``order`` column."""
-    points = slice_points(df, order, slices)
-    sliced = df.withColumn("_slice", slice_of(F.col(order), points))
+    Rows are cut into ranges of (key, order), as many as their size asks for, so a hot key runs over several of
+    them; each is numbered on its own and shifted by the rows of its key in the ranges before. The ranges are kept,
+    as their cuts come from a sample that another run would draw anew.
+    """
+    ranged = df.repartitionByRange(*keys, order).withColumn("_slice", F.spark_partition_id())
+    sliced = cut_lineage(ranged)
     inner = Window.partitionBy(*keys, "_slice").orderBy(order)
     sizes = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
     outer = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,10 +66,10 @@ def rank_in_key(
     )
 
 
-def number_rows(df: DataFrame, order: str, name: str, start: int = 0, slices: int | None = None) -> DataFrame:
-    """Consecutive numbers from ``start + 1`` in the order of a numeric, unique column."""
+def number_rows(df: DataFrame, order: str, name: str, start: int = 0) -> DataFrame:
+    """Consecutive numbers from ``start + 1`` in the order of a unique column."""
     one = df.withColumn("_all", F.lit(1))
-    ranked = rank_in_key(one, ["_all"], order, name, slices).drop("_all")
+    ranked = rank_in_key(one, ["_all"], order, name).drop("_all")
     return ranked.withColumn(name, (F.col(name) + F.lit(start)).cast("bigint"))
 
 

@@ -95,7 +95,10 @@ def library_page(rows: DataFrame, most: int) -> DataFrame:
 
 
 def split_id(x: Column) -> Column:
-    """The (base, n) readings of an id: itself with n = 0, and base_n for a number suffix."""
+    """The (base, n) readings of an id: itself with n = 0, and base_n for a number suffix.
+
+    A suffix of more than 18 digits is part of the name: no counter of uploads gets there.
+    """
     own = F.struct(x.alias("base"), F.lit(0).cast("bigint").alias("n"))
     pattern = r"^(.+)_([1-9]\d{0,17})$"
     cut = F.struct(

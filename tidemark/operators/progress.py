@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.functions import workflow as W
-from tidemark.operators.keyed import previous_in_key
+from tidemark.operators.keyed import previous_in_key, running_sum
 
 ORDER = ["ts", "event_no"]
 
@@ -121,14 +121,18 @@ def timed_out_runs(
     return longest.filter(F.col("longest") > timeout_seconds).select("run_id", "last_ts", "longest")
 
 
-def sessions(events: DataFrame, gap_seconds: float) -> DataFrame:
-    """Stretches of a run without a silence above ``gap_seconds``: start, end and events."""
-    gap = f"{gap_seconds} seconds"
+def sessions(events: DataFrame, gap_seconds: float, slice_seconds: int = 86_400) -> DataFrame:
+    """Stretches of a run without a silence above ``gap_seconds``: start, end and events.
+
+    A stretch is numbered by the silences before it, counted in slices, so a busy run is many tasks' work.
+    """
+    gaps = event_gaps(events.withColumn("ts", F.col("ts").cast("timestamp")), slice_seconds)
+    opens = F.when(F.col("gap_seconds").isNull() | (F.col("gap_seconds") > gap_seconds), 1).otherwise(0)
+    numbered = running_sum(_sliced(gaps, slice_seconds), ["run_id"], "_slice", ORDER, opens, "_session")
     return (
-        events.withColumn("ts", F.col("ts").cast("timestamp"))
-        .groupBy("run_id", F.session_window("ts", gap).alias("w"))
+        numbered.groupBy("run_id", "_session")
         .agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("events"))
-        .drop("w")
+        .drop("_session")
     )
 
 

@@ -147,8 +147,8 @@ HITS = [
     f"CAST({whole('event_id', 3)} % 2 AS INT) AS query_no",
     f"CAST({whole('event_id', 6)} % 1000 AS INT) AS hit_no",
     f"CASE WHEN event_id % 17 = 0 THEN '' ELSE event_type || ' clip ' || CAST(event_id % 50 AS VARCHAR(20)) END AS title",
-    f"{pick('event_id', HIT_TEXTS)} || ' by ' || event_type AS content",
-    f"{pick(whole('event_id', 5), HIT_TEXTS)} AS raw_content",
+    f"{pick('event_id', HIT_TEXTS)} || ' by ' || event_type || ' ' || props AS content",
+    f"{pick(whole('event_id', 5), HIT_TEXTS)} || ' ' || props AS raw_content",
     f"CASE WHEN event_id % 23 = 0 THEN '' ELSE 'https://' || {pick('event_id', HIT_HOSTS)} || CAST(event_id % 400 AS VARCHAR(20)) END AS url",
     "CAST(event_id % 100 AS DOUBLE) / 100 AS score",
 ]
@@ -210,11 +210,11 @@ SCRIPT_TEXTS = [
       WHEN 0 THEN '```markdown' || chr(10) || 'Sure, here it is' || chr(10) || '### Scene' || chr(10) || text || chr(10) || '```'
       WHEN 1 THEN '### S' || chr(10) || '| Time | Visual | Audio | Notes |' || chr(10) || '|---|---|---|---|' || chr(10)
         || '| [00:00-00:03] | Scene ' || CAST(turn AS VARCHAR(20)) || ' | INT. room | wide | hello | more | end |' || chr(10)
-        || '| [00:03-00:05] | a | b | c | ' || role || ' |' || chr(10) || '|  |' || chr(10) || '| x | y |' || chr(10) || 'tail'
-      WHEN 2 THEN 'lead in' || chr(10) || '**Title** ' || role || chr(10) || '| [00:01-00:02] | v | a | b | n |'
+        || '| [00:03-00:05] | a | b | c | ' || role || ' |' || chr(10) || '|  |' || chr(10) || '| x | y |' || chr(10) || text
+      WHEN 2 THEN 'lead in' || chr(10) || '**Title** ' || role || chr(10) || '| [00:01-00:02] | v | a | b | n |' || chr(10) || text
       WHEN 3 THEN '  ' || text || '  '
-      WHEN 4 THEN 'Answer: ' || chr(10) || '```json' || chr(10) || '{{"overall_status": "' || role || '", "overall_risk": "HIGH"}}' || chr(10) || '```'
-      ELSE 'note {{"overall_status": "approved", "n": ' || CAST(turn AS VARCHAR(20)) || CASE WHEN conv_id % 2 = 0 THEN '}}' ELSE '' END || ' end' END AS script""",
+      WHEN 4 THEN 'Answer: ' || chr(10) || '```json' || chr(10) || '{{"overall_status": "' || role || '", "overall_risk": "HIGH"}}' || chr(10) || '```' || chr(10) || text
+      ELSE 'note {{"overall_status": "approved", "n": ' || CAST(turn AS VARCHAR(20)) || CASE WHEN conv_id % 2 = 0 THEN '}}' ELSE '' END || ' end ' || text END AS script""",
 ]
 
 REVIEWED = [

@@ -328,11 +328,11 @@ def embedding_sql(source: str, key: str, column: str, name: str) -> str:
 ORACLE["hash_embedding"] = f"""WITH {embedding_sql('documents', 'doc_id', 'text', 'vec')}
 SELECT doc_id, idx, round(val, 6) AS val FROM vec"""
 ORACLE["vector_topk"] = f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, CASE label % 5 WHEN 0 THEN 'law' WHEN 1 THEN 'platform' ELSE 'brand' END AS category_group FROM embeddings),
-scored AS (SELECT a.vec_id, b.category_group, b.vec_id AS near_id, round(list_dot_product(a.e, b.e), 6) AS cosine FROM v a, v b),
+scored AS (SELECT a.vec_id, b.category_group, b.vec_id AS near_id, round(list_dot_product(a.e, b.e), 6) AS cosine FROM v a, v b WHERE a.vec_id % 100 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id, category_group ORDER BY cosine DESC, CAST(near_id AS VARCHAR)) AS found_rank FROM scored)
 SELECT vec_id, category_group, near_id, round(cosine, 3) AS cosine, found_rank FROM ranked WHERE found_rank <= 24"""
 
-TOKEN_SETS = f"""chunk_tokens AS (SELECT *, list_distinct({TOKENS.format('left(text, 1400)')}) AS tokens FROM chunks),
+TOKEN_SETS = f"""chunk_tokens AS (SELECT *, list_distinct({TOKENS.format('text')}) AS tokens FROM chunks),
 request_tokens AS (SELECT *, list_distinct({TOKENS.format('query_text')}) AS tokens FROM requests)"""
 
 EVIDENCE = f"""{CHUNKS}, {REQUESTS}, {TOKEN_SETS},
@@ -603,8 +603,8 @@ SELECT conv_id, turn, CASE turn % 6
   WHEN 0 THEN {strip("'### Scene' || chr(10) || text")}
   WHEN 1 THEN '### S' || chr(10) || '| Time | Visual | Audio | Notes |' || chr(10) || '|---|---|---|---|' || chr(10)
     || '| [00:00-00:03] | Scene ' || turn || ' / INT. room / wide | hello | more | end |' || chr(10)
-    || '| [00:03-00:05] | a / b | c | ' || role || ' |' || chr(10) || '|  |' || chr(10) || '| x | y |' || chr(10) || 'tail'
-  WHEN 2 THEN '**Title** ' || role || chr(10) || '| [00:01-00:02] | v | a | b | n |'
+    || {strip("'| [00:03-00:05] | a / b | c | ' || role || ' |' || chr(10) || '|  |' || chr(10) || '| x | y |' || chr(10) || text")}
+  WHEN 2 THEN {strip("'**Title** ' || role || chr(10) || '| [00:01-00:02] | v | a | b | n |' || chr(10) || text")}
   WHEN 3 THEN {strip('text')}
   ELSE {strip('script')} END AS script FROM texts"""
 ORACLE["response_checks"] = f"""WITH {SCRIPT_TEXTS},

@@ -82,9 +82,9 @@ def disclosure_gaps(spark, folder):
 def sensitive_claims(spark, folder):
     """Hits of the gated rules per product category."""
     rules = [r for r in R.default_rules() if r.products]
-    hits = R.issue_rows(R.rule_issues(I.scripts(spark, folder), rules), "doc_id").filter("rule_no > 0")
-    products = I.scripts(spark, folder).select("doc_id", "product_category")
-    return hits.join(products, "doc_id").groupBy("product_category", "rule_no").agg(F.count("*").alias("scripts"))
+    found = R.rule_issues(I.scripts(spark, folder), rules)
+    hits = rows_of(found, ["product_category"], F.col("issues"), "issue_no", "i").filter("i.rule_no > 0")
+    return hits.groupBy("product_category", "i.rule_no").agg(F.count("*").alias("scripts"))
 
 
 @query
@@ -207,20 +207,21 @@ def hash_embedding(spark, folder):
 
 @query
 def vector_topk(spark, folder):
-    """Nearest vectors of every vector in each category group."""
+    """Nearest vectors in each category group, of every vector whose id is divisible by 100, among all vectors."""
     vectors = table(spark, folder, "embeddings").select(
         F.col("vec_id").cast("string").alias("chunk_id"),
         F.expr(I.pick("label", [c for c, _ in fixed.CATEGORY_GROUPS])).alias("category"),
         F.col("embedding").cast("array<double>").alias("vector"),
     )
-    asked = vectors.select(F.col("chunk_id").alias("request_id"), "vector")
+    asked = vectors.filter(F.col("chunk_id").cast("bigint") % 100 == 0)
+    asked = asked.select(F.col("chunk_id").alias("request_id"), "vector")
     rows, size = N.measured(asked, F.size("vector") * 8 + F.lit(40))
     kinds = F.explode(F.array(*[F.lit(c) for c, _ in fixed.CATEGORY_GROUPS]))
     pairs = asked.withColumn("category", kinds).withColumn("group", S.category_group("category"))
     wanted = N.request_blocks(pairs, "category", ["request_id", "group", "vector"], rows)
     found = N.scored_top_k(
         wanted, N.pack_blocks(vectors, "category", ["chunk_id", "vector"]), "category", N.cosine, "group", 24,
-        size * len(fixed.CATEGORY_GROUPS) <= N.BROADCAST_BYTES,
+        size * len(fixed.CATEGORY_GROUPS) <= N.BROADCAST_BYTES, N.salts_for(vectors.count()),
     )
     return found.select(
         F.col("request_id").cast("bigint").alias("vec_id"),
@@ -602,7 +603,7 @@ def talent_creates(spark, folder):
 @query
 def profile_backfill(spark, folder):
     """Profiles made from users when there are none yet."""
-    none = _talents(spark, folder).drop("nation").filter("id < 0")
+    none = spark.createDataFrame([], _talents(spark, folder).drop("nation").schema)
     return crm.backfill_profiles(none, _users(spark, folder))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -10,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Tasks that small input tables are dealt to; unset, the files' splits decide.
+PARTITIONS_KEY = "spark.tidemark.partitions"
 
 
 def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -25,6 +28,8 @@ def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # the files of a checkpoint go when nothing refers to it any more
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         b = (
@@ -33,6 +38,7 @@ def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -
             .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "8g"))
             .config("spark.sql.shuffle.partitions", os.environ.get("TIDEMARK_SHUFFLE", "8"))
+            .config(PARTITIONS_KEY, (re.findall(r"\d+", master) or [str(os.cpu_count() or 1)])[0])
         )
     for key, value in conf.items():
         b = b.config(key.replace("__", "."), value)
@@ -61,12 +67,16 @@ def ship_package(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names, or a fresh one where none is set (tests)."""
+    """The shared folder the cluster names; a fresh one on this machine only where all tasks run on it."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get(CHECKPOINT_KEY, None) or tempfile.mkdtemp(prefix="tidemark-ck-")
+    folder = spark.conf.get(CHECKPOINT_KEY, None)
+    if not folder:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-ck-")
     sc.setCheckpointDir(folder)
     return folder
 

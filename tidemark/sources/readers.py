@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import meta as M
 from tidemark.functions import text as T
+from tidemark.session import PARTITIONS_KEY
 
 CATALOG_SCHEMA = (
     "id string, title string, category string, region string, market string, platform string, "
@@ -31,14 +32,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table over all cores, for work that is heavy per row.
+    """A table over ``spark.tidemark.partitions`` tasks, where that is set; else as its files are split.
 
-    A table with a split per core or more, as any large one, stays where it is.
+    Local sessions set it to their cores, as their tables are of one small file; on a cluster the split size does it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    sizes = df.inputFiles()
-    splits = df.rdd.getNumPartitions() if len(sizes) < cores else cores
-    return df.repartition(cores) if splits < cores else df
+    wanted = df.sparkSession.conf.get(PARTITIONS_KEY, None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def jdbc_table(spark: SparkSession, url: str, name: str, key: str, lower: int, upper: int, parts: int, **options: str) -> DataFrame:
@@ -85,7 +84,7 @@ def raw_files(spark: SparkSession, folder: str) -> DataFrame:
 def raw_pages(files: DataFrame) -> DataFrame:
     """The html files among raw files as a page table (page_id, html)."""
     return files.filter("suffix = '.html'").select(
-        F.col("path").alias("page_id"), "source_id", F.decode("content", "UTF-8").alias("html")
+        F.col("path").alias("page_id"), "source_id", M.lenient_utf8(F.col("content")).alias("html")
     )
 
 

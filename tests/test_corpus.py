@@ -200,3 +200,24 @@ def test_small_tables_are_not_real(spark):
     assert [r.table_id for r in Y.real_tables(df).collect()] == ["t"]
     got = {r.table_id: r.markdown for r in Y.table_markdown(df).collect()}
     assert got["t"] == "| a | b |\n| --- | --- |\n| c | d |"
+
+
+def test_heads_of_common_pages():
+    page = (
+        "<html><head><!-- <title>old</title> --><title>Caf&eacute; &ndash; it&#8217;s\n open</title>"
+        "<meta content='a > b &amp; c' NAME=Description><link href=' http://x/ ' rel='alternate canonical'></head>"
+        "<body><title>second</title></body></html>"
+    )
+    got = H.scan_heads(page)
+    assert got == {"html_title": "Caf\u00e9 \u2013 it\u2019s\n open", "meta_description": "a > b & c", "canonical_url": " http://x/ "}
+    assert H.scan_heads("") == {"html_title": "", "meta_description": "", "canonical_url": ""}
+    assert H.scan_heads("<title>never closed")["html_title"] == "never closed"
+
+
+def test_parent_is_measured_after_the_noise_is_gone(spark):
+    """Text of the parent that the first pass drops does not keep it above the limit."""
+    noise = "<div class='cookie-banner'>" + "noise " * 250 + "</div>"
+    body = f"<article><h1>Main</h1><p>{'word ' * 200}</p><div><h2>Back to top</h2><p>{'short ' * 20}</p>{noise}</div></article>"
+    pages = spark.createDataFrame([(1, f"<html><body>{body}</body></html>")], "page_id long, html string")
+    text = H.page_markdown(pages).first().markdown
+    assert "Main" in text and "short" not in text and "noise" not in text

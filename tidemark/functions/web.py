@@ -63,31 +63,6 @@ def file_extension(url: str | Column, content_type: str | Column) -> Column:
     )
 
 
-def unescape(x: Column) -> Column:
-    for name, char in _ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return x
-
-
-def page_title(html: str | Column) -> Column:
-    inner = F.regexp_extract(T.col(html), r"(?is)<title[^>]*>(.*?)</title\s*>", 1)
-    return T.collapse(unescape(inner))
-
-
-def _tag_attr(html: Column, tag: str, key: str, value: str, wanted: str) -> Column:
-    element = F.regexp_extract(html, rf"""(?is)<{tag}\b(?=[^>]*\b{key}\s*=\s*["']?{value}\b)[^>]*>""", 0)
-    quoted = F.regexp_extract(element, rf"""(?is)\b{wanted}\s*=\s*("([^"]*)"|'([^']*)'|([^\s"'>]+))""", 1)
-    return unescape(F.regexp_replace(quoted, r"""^["']|["']$""", ""))
-
-
-def meta_description(html: str | Column) -> Column:
-    return T.collapse(_tag_attr(T.col(html), "meta", "name", "description", "content"))
-
-
-def canonical_url(html: str | Column) -> Column:
-    return T.strip(_tag_attr(T.col(html), "link", "rel", "canonical", "href"))
-
-
 def content_digest(content: str | Column) -> Column:
     return F.sha2(T.col(content), 256)
 

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.functions import text as T
-from tidemark.functions import web
 
 NODE_TYPE = (
     "array<struct<node_no int, last_no int, parent_no int, block_no int, tag string, attrs string, role string, "
@@ -325,7 +324,9 @@ def content_lines(nodes: DataFrame) -> DataFrame:
     in_root = (F.col("node_no") > F.col("root.node_no")) & (F.col("node_no") <= F.col("root.last_no"))
     kept = drop_inside(nodes, in_root & is_section_noise())
     kept = kept.withColumn("inside", in_root & (F.col("tag") == "#text"))
-    block = F.when(F.col("node_no") == F.col("block_no"), F.struct("tag", "last_no", "parent_no", "parent_last", "parent_len"))
+    block = F.when(
+        F.col("node_no") == F.col("block_no"), F.struct("tag", "last_no", "parent_no", "parent_last", "parent_len", "text_len", "n_heading")
+    )
     lines = kept.groupBy("page_id", "block_no").agg(
         F.first("root").alias("root"),
         F.coalesce(F.min(F.when(F.col("inside"), F.col("node_no"))), F.lit(0)).alias("line_no"),
@@ -334,7 +335,11 @@ def content_lines(nodes: DataFrame) -> DataFrame:
     )
     heading = F.coalesce(F.col("b.tag").rlike("^h[1-6]$"), F.lit(False))
     bad = heading & F.lower("text").isin(*fixed.NOISE_HEADINGS)
-    with_parent = (F.col("b.parent_no") != F.col("root.node_no")) & (F.col("b.parent_len") < 1800)
+    # lengths of the blocks around headings as they are after the first noise pass
+    around = F.when(~heading & (F.col("b.n_heading") > 0), F.struct("block_no", F.col("b.text_len").alias("len")))
+    lines = lines.withColumn("_lens", F.map_from_entries(F.collect_list(around).over(Window.partitionBy("page_id"))))
+    parent_len = F.coalesce(F.try_element_at("_lens", F.col("b.parent_no")), F.col("b.parent_len"))
+    with_parent = (F.col("b.parent_no") != F.col("root.node_no")) & (parent_len < 1800)
     span = F.struct(
         F.when(with_parent, F.col("b.parent_no")).otherwise(F.col("block_no")).alias("first"),
         F.when(with_parent, F.col("b.parent_last")).otherwise(F.col("b.last_no")).alias("last"),
@@ -385,11 +390,68 @@ def link_densities(pages: DataFrame) -> DataFrame:
     )
 
 
+HEAD_TYPE = "struct<html_title string, meta_description string, canonical_url string>"
+
+
+class _Heads(HTMLParser):
+    """First title, description and canonical link of a page; entities are read, comments are not."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: dict[str, str] = {}
+        self.title: list[str] | None = None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "title" and "html_title" not in self.found and self.title is None:
+            self.title = []
+            return
+        named = {k: v or "" for k, v in attrs}
+        if tag == "meta" and named.get("name", "").strip().lower() == "description":
+            self.found.setdefault("meta_description", named.get("content", ""))
+        elif tag == "link" and "canonical" in named.get("rel", "").lower().split():
+            self.found.setdefault("canonical_url", named.get("href", ""))
+
+    def handle_endtag(self, tag):
+        if tag == "title" and self.title is not None:
+            self.found["html_title"], self.title = "".join(self.title), None
+
+    def handle_data(self, data):
+        if self.title is not None:
+            self.title.append(data)
+
+
+def scan_heads(html: str) -> dict[str, str]:
+    """Head fields of one page, blank where it has none."""
+    scan = _Heads()
+    scan.feed(html)
+    scan.close()
+    if scan.title is not None:  # a title that is never closed
+        scan.handle_endtag("title")
+    return {k: scan.found.get(k, "") for k in ("html_title", "meta_description", "canonical_url")}
+
+
+def head_fields(html: str | Column) -> Column:
+    """Title, description and canonical URL of a page, from one scan."""
+
+    def heads(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([scan_heads(t or "") for t in texts], columns=["html_title", "meta_description", "canonical_url"])
+
+    return F.pandas_udf(heads, HEAD_TYPE)(T.col(html))
+
+
+def with_heads(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Adds html_title, meta_description and canonical_url."""
+    read = pages.withColumn("_head", head_fields(html))
+    h = F.col("_head")
+    return read.withColumns(
+        {
+            "html_title": T.collapse(h["html_title"]),
+            "meta_description": T.collapse(h["meta_description"]),
+            "canonical_url": T.strip(h["canonical_url"]),
+        }
+    ).drop("_head")
+
+
 def page_heads(pages: DataFrame) -> DataFrame:
     """Title, description and canonical URL of each page."""
-    return pages.select(
-        "page_id",
-        web.page_title("html").alias("html_title"),
-        web.meta_description("html").alias("meta_description"),
-        web.canonical_url("html").alias("canonical_url"),
-    )
+    return with_heads(pages).select("page_id", "html_title", "meta_description", "canonical_url")

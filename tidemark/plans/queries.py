@@ -306,11 +306,11 @@ def _pages(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def page_heads(spark, folder):
     """Title, description, canonical URL, digest and block signal of every page."""
-    return _pages(spark, folder).select(
+    return H.with_heads(_pages(spark, folder)).select(
         "page_id",
-        web.page_title("html").alias("html_title"),
-        web.meta_description("html").alias("meta_description"),
-        web.canonical_url("html").alias("canonical_url"),
+        "html_title",
+        "meta_description",
+        "canonical_url",
         web.content_digest("html").alias("sha256"),
         F.octet_length("html").alias("file_size"),
         web.host_of("url").alias("domain"),

@@ -52,6 +52,23 @@ def test_silence_ends_a_run(spark, tmp_path):
     assert kinds == ["heartbeat", "timeout"]
 
 
+def test_a_late_event_does_not_revive_a_run(spark, tmp_path):
+    SP.use_state_store(spark)
+
+    def event(run, kind, second, no):
+        return (run, kind, "profiler", "active", "go", None, None, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=second), no)
+
+    batches = [[event("a", "progress", 0, 1)], [event("a", "complete", 10, 2)], [event("a", "progress", 9, 3)], [event("b", "progress", 900, 4)], [event("b", "progress", 901, 5)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, SP.EVENT_SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / f"f={i}"))
+    stream = spark.readStream.schema(SP.EVENT_SCHEMA + ", f int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = SP.step_state_stream(stream.drop("f"), fixed.GENERATE_STEPS, watermark="60 seconds", idle=60, timeout=120)
+    query = out.writeStream.format("memory").queryName("ends").outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    kinds = [r.kind for r in spark.table("ends").filter("run_id = 'a' and kind <> 'step'").collect()]
+    assert kinds == ["complete"]
+
+
 def test_index_job_rebuilds_only_changes(spark, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "index"))
 
@@ -70,6 +87,30 @@ def test_index_job_rebuilds_only_changes(spark, tmp_path):
     assert table.versions() == [1, 2]
 
 
+def test_deltas_hold_changes_only(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    schema = "k string, v int"
+
+    def change(version, keys, rows):
+        table.apply(spark.createDataFrame([(k,) for k in keys], "k string"), spark.createDataFrame(rows, schema), version)
+
+    def content(**options):
+        return sorted(map(tuple, table.read(schema, **options).collect()))
+
+    assert content() == []
+    change(1, ["a", "b", "c"], [("a", 1), ("a", 2), ("b", 3), ("c", 4)])
+    change(2, ["a", "c"], [("a", 5)])
+    assert spark.read.parquet(str(tmp_path / "t" / "v2" / "rows")).count() == 1
+    assert content() == [("a", 5), ("b", 3)] and content(before=2) == [("a", 1), ("a", 2), ("b", 3), ("c", 4)]
+    table.compact()
+    assert content() == [("a", 5), ("b", 3)]
+    change(3, ["b", "d"], [("d", 6)])
+    table.drop_before(3)
+    assert table.versions() == [2, 3] and content() == [("a", 5), ("d", 6)]
+    change(3, ["b"], [("b", 7)])
+    assert content() == [("a", 5), ("b", 7)]
+
+
 def test_snapshot_job(spark, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "snaps"))
     rows = [("videos", "k", "v1", datetime.datetime(2024, 1, 1)), ("videos", "k", "v2", datetime.datetime(2024, 1, 2))]

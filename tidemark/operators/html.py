@@ -17,7 +17,7 @@ from tidemark import fixed
 from tidemark.functions import text as T
 
 NODE_TYPE = (
-    "array<struct<node_no int, last_no int, parent_no int, block_no int, tag string, attrs string, role string, "
+    "array<struct<node_no int, last_no int, parent_no int, block_no int, cell_no int, table_no int, tag string, attrs string, role string, "
     "testid string, classes string, aria_hidden boolean, link_depth int, filled boolean, text_len int, "
     "link_len int, parent_last int, parent_len int, text string>>"
 )
@@ -50,6 +50,8 @@ class _Scan(HTMLParser):
             "last_no": len(self.rows),
             "parent_no": parent["node_no"] if parent else -1,
             "block_no": parent["block_no"] if parent else 0,
+            "cell_no": parent["cell_no"] if parent else -1,
+            "table_no": parent["table_no"] if parent else -1,
             "tag": tag,
             "attrs": " ".join(
                 " ".join(attrs[k].split()) for k in ("id", "class", "role", "aria-label", "data-testid") if attrs.get(k)
@@ -66,7 +68,12 @@ class _Scan(HTMLParser):
             "parent_len": 0,
             "text": text,
         }
-        if tag in _BLOCKS:
+        # a table row is one block, whatever its cells hold
+        if tag == "table":
+            row["table_no"], row["cell_no"] = row["node_no"], -1
+        if tag in ("td", "th"):
+            row["cell_no"] = row["node_no"]
+        elif tag in _BLOCKS and row["cell_no"] < 0:
             row["block_no"] = row["node_no"]
         self.rows.append(row)
         return row
@@ -309,30 +316,40 @@ def content_nodes(pages: DataFrame) -> DataFrame:
     return with_root(subtree_totals(drop_inside(nodes, is_noise())))
 
 
-def block_text() -> Column:
-    """Text of a block: the pieces whose nearest block element it is, in order."""
-    pieces = F.array_sort(F.collect_list(F.when(F.col("inside"), F.struct("node_no", "text"))))
-    return F.array_join(F.transform(pieces, lambda x: x["text"]), " ")
+def block_pieces() -> Column:
+    """Texts of a block: the pieces whose nearest block element it is, in order; a table cell itself is an empty one."""
+    text = F.when(F.col("inside"), F.col("text")).when(F.col("is_cell"), F.lit(""))
+    return F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("node_no", "cell_no", text.alias("text")))))
+
+
+def _joined(pieces: Column) -> Column:
+    return F.array_join(F.filter(F.transform(pieces, lambda x: x["text"]), lambda t: t != ""), " ")
+
+
+def row_cells(pieces: Column) -> Column:
+    """Texts of the cells of a table row, in order."""
+    cells = F.array_distinct(F.transform(pieces, lambda x: x["cell_no"]))
+    return F.transform(cells, lambda c: F.replace(_joined(F.filter(pieces, lambda x: x["cell_no"] == c)), F.lit("|"), F.lit("\\|")))
 
 
 def content_lines(nodes: DataFrame) -> DataFrame:
-    """Blocks of the content as markdown lines: headings and list items marked.
+    """Blocks of the content as markdown lines: headings and list items marked, table rows with bars.
 
     A page keeps its row with line number 0 even where no line is left. Headings with
     a boilerplate title go, together with a short parent below the root.
     """
     in_root = (F.col("node_no") > F.col("root.node_no")) & (F.col("node_no") <= F.col("root.last_no"))
     kept = drop_inside(nodes, in_root & is_section_noise())
-    kept = kept.withColumn("inside", in_root & (F.col("tag") == "#text"))
+    kept = kept.withColumns({"inside": in_root & (F.col("tag") == "#text"), "is_cell": in_root & F.col("tag").isin("td", "th")})
     block = F.when(
-        F.col("node_no") == F.col("block_no"), F.struct("tag", "last_no", "parent_no", "parent_last", "parent_len", "text_len", "n_heading")
+        F.col("node_no") == F.col("block_no"), F.struct("tag", "last_no", "parent_no", "parent_last", "parent_len", "text_len", "n_heading", "table_no")
     )
     lines = kept.groupBy("page_id", "block_no").agg(
         F.first("root").alias("root"),
         F.coalesce(F.min(F.when(F.col("inside"), F.col("node_no"))), F.lit(0)).alias("line_no"),
         F.max(block).alias("b"),
-        block_text().alias("text"),
-    )
+        block_pieces().alias("pieces"),
+    ).withColumn("text", _joined(F.col("pieces")))
     heading = F.coalesce(F.col("b.tag").rlike("^h[1-6]$"), F.lit(False))
     bad = heading & F.lower("text").isin(*fixed.NOISE_HEADINGS)
     # lengths of the blocks around headings as they are after the first noise pass
@@ -348,28 +365,34 @@ def content_lines(nodes: DataFrame) -> DataFrame:
     cut = F.exists("_cut", lambda c: F.col("line_no").between(c["first"], c["last"]))
     marks = F.concat(F.repeat(F.lit("#"), F.substring("b.tag", 2, 1).cast("int")), F.lit(" "))
     mark = F.when(heading, marks).when(F.col("b.tag") == "li", F.lit("- ")).otherwise(F.lit(""))
+    is_row = F.coalesce((F.col("b.tag") == "tr") & (F.col("line_no") > 0), F.lit(False))
+    first = F.min(F.when(is_row, F.col("line_no"))).over(Window.partitionBy("page_id", "b.table_no")) == F.col("line_no")
+    cells = row_cells(F.col("pieces"))
+    rule = F.concat(F.lit("\n| "), F.array_join(F.transform(cells, lambda _: F.lit("---")), " | "), F.lit(" |"))
+    bars = F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"), F.when(first, rule).otherwise(F.lit("")))
+    follows = F.when(is_row, F.concat(F.lit("table "), F.col("b.table_no"))).when(F.col("b.tag") == "li", F.lit("list"))
     return lines.select(
         "page_id",
         "root",
         F.when(cut, F.lit(0)).otherwise(F.col("line_no")).alias("line_no"),
-        F.coalesce(F.col("b.tag"), F.lit("")).alias("block_tag"),
-        F.concat(mark, F.col("text")).alias("line"),
+        F.coalesce(follows, F.lit("")).alias("follows"),
+        F.when(is_row, bars).otherwise(F.concat(mark, F.col("text"))).alias("line"),
     )
 
 
 def page_markdown(pages: DataFrame) -> DataFrame:
     """Main content of each page as a markdown body; a page without content has an empty one."""
     lines = content_lines(content_nodes(pages))
-    row = F.struct("line_no", (F.col("block_tag") == "li").alias("item"), "line")
+    row = F.struct("line_no", "follows", "line")
     packed = lines.groupBy("page_id").agg(
         F.first("root").alias("root"), F.array_sort(F.collect_list(F.when(F.col("line_no") > 0, row))).alias("l")
     )
-    # list items follow each other, other blocks are set apart by an empty line
+    # list items and rows of a table follow each other, other blocks are set apart by an empty line
     spaced = F.transform(
         T.with_previous(F.col("l")),
         lambda p: F.concat(
             F.when(p["before"].isNull(), F.lit(""))
-            .when(p["before"]["item"] & p["now"]["item"], F.lit("\n"))
+            .when((p["now"]["follows"] != "") & (p["before"]["follows"] == p["now"]["follows"]), F.lit("\n"))
             .otherwise(F.lit("\n\n")),
             p["now"]["line"],
         ),

@@ -41,12 +41,13 @@ class StepStates(StatefulProcessor):
 
     Events may come late: a step only takes an event that is newer than its last one, so
     the result does not depend on the order of arrival. Silence is noticed by event-time
-    timers; a terminal event or a time-out ends the run and frees its state.
+    timers; a terminal event or a time-out ends the run. Of an ended run a mark stays for
+    ``keep`` seconds, by which late events are told from a new run and left out.
     """
 
-    def __init__(self, steps: list[str], idle: float, timeout: float) -> None:
+    def __init__(self, steps: list[str], idle: float, timeout: float, keep: float = 86_400) -> None:
         self.order = W.step_order(steps)
-        self.steps, self.idle, self.timeout = steps, idle, timeout
+        self.steps, self.idle, self.timeout, self.keep = steps, idle, timeout, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -58,8 +59,14 @@ class StepStates(StatefulProcessor):
     def _save(self, run: dict) -> None:
         self.state.update((json.dumps(run),))
 
+    def _end(self, run: dict) -> None:
+        self._save({"ended": True})
+        self.handle.registerTimer(int(run["last"] // 1000 + self.keep * 1000))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         run, ended = self._load(), None
+        if "ended" in run:
+            return
         for batch in rows:
             for e in batch.to_dict("records"):
                 at = [pd.Timestamp(e["ts"]).value // 1000, int(e["event_no"])]
@@ -75,7 +82,7 @@ class StepStates(StatefulProcessor):
         if ended is not None:
             if ended["event"] == "error":
                 self._fail(run, ended["message"])
-            self.state.clear()
+            self._end(run)
             yield self._rows(key[0], run, ended)
             return
         self._save(run)
@@ -84,12 +91,15 @@ class StepStates(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         run = self._load()
+        if "ended" in run:
+            self.state.clear()
+            return
         run["beats"] += 1
         silent = run["beats"] * self.idle
         kind = "timeout" if silent >= self.timeout else "heartbeat"
         at = pd.Timestamp(run["last"] + int(silent * 1_000_000), unit="us")
         if kind == "timeout":
-            self.state.clear()
+            self._end(run)
         else:
             self._save(run)
             self.handle.registerTimer(int(run["last"] // 1000 + (run["beats"] + 1) * self.idle * 1000))

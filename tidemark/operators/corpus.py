@@ -83,7 +83,12 @@ def repeated_keys(lines: Column, page_count: Column) -> Column:
     In the sorted keys, a key occurs n times where the entry n - 1 places ahead is
     the same, which takes one sort instead of counting every key against every line.
     """
-    keys = F.array_sort(F.filter(F.transform(lines, T.line_key), lambda k: k != ""))
+    return repeated_of(F.transform(lines, T.line_key), page_count)
+
+
+def repeated_of(keys: Column, page_count: Column) -> Column:
+    """As :func:`repeated_keys`, from the keys of the lines."""
+    keys = F.array_sort(F.filter(keys, lambda k: k != ""))
     need = F.greatest(F.lit(3), F.floor(page_count / 4)).cast("int")
     pairs = F.arrays_zip(keys.alias("a"), F.slice(keys, need, F.greatest(F.size(keys), F.lit(1))).alias("b"))
     hits = F.filter(
@@ -95,11 +100,16 @@ def repeated_keys(lines: Column, page_count: Column) -> Column:
 
 def drop_repeated(lines: Column, repeated: Column) -> Column:
     """Lines without those whose key is repeated (long lines only go when they are page numbers)."""
+    return F.transform(drop_repeated_keyed(keyed_lines(lines), repeated), lambda p: p["line"])
+
+
+def drop_repeated_keyed(keyed: Column, repeated: Column) -> Column:
+    """As :func:`drop_repeated`, on lines with their keys."""
     return F.filter(
-        lines,
-        lambda s: ~(
-            F.array_contains(repeated, T.line_key(s))
-            & (T.matches(T.strip(s), fixed.PAGE_NUMBER_PATTERN) | (F.length(T.line_key(s)) < 80))
+        keyed,
+        lambda p: ~(
+            F.array_contains(repeated, p["key"])
+            & (T.matches(T.strip(p["line"]), fixed.PAGE_NUMBER_PATTERN) | (F.length(p["key"]) < 80))
         ),
     )
 
@@ -107,11 +117,12 @@ def drop_repeated(lines: Column, repeated: Column) -> Column:
 def clean_documents(docs: DataFrame, body: str = "body", page_count: str | None = None) -> DataFrame:
     """Adds ``clean``: the body without repeated and noise lines."""
     pages = F.col(page_count) if page_count else F.lit(1)
-    staged = docs.withColumn("_lines", T.split_lines(F.col(body)))
-    staged = staged.withColumn("_repeated", repeated_keys(F.col("_lines"), pages))
-    kept = drop_repeated(F.col("_lines"), F.col("_repeated"))
-    kept = F.when(F.size("_repeated") == 0, F.col("_lines")).otherwise(kept)
-    staged = staged.withColumn("clean", F.array_join(kept, "\n")).drop("_lines", "_repeated")
+    # the key of a line is costly; it is built once and goes along
+    staged = docs.withColumn("_keyed", keyed_lines(T.split_lines(F.col(body))))
+    staged = staged.withColumn("_repeated", repeated_of(F.transform("_keyed", lambda p: p["key"]), pages))
+    kept = F.when(F.size("_repeated") == 0, F.col("_keyed")).otherwise(drop_repeated_keyed(F.col("_keyed"), F.col("_repeated")))
+    lines = F.transform(kept, lambda p: p["line"])
+    staged = staged.withColumn("clean", F.array_join(lines, "\n")).drop("_keyed", "_repeated")
     return tidy_markdown(staged, "clean")
 
 

@@ -102,7 +102,8 @@ def reading_order(elements: DataFrame, gap: float = GAP) -> DataFrame:
         F.transform("centres", lambda c: F.struct(F.abs(F.col("x0") - c["centre"]).alias("d"), c["cluster"].alias("i")))
     )["i"]
     one = F.size("centres") <= 1
-    y, x = F.bround("y0", 1), F.bround("x0", 1)
+    # by the exact binary value, as a tie in the shortest decimal form need not be one
+    y, x = (T.to_fixed(F.col(c), 1).cast("double") for c in ("y0", "x0"))
     # text blocks come before tables where the places are equal
     turn = [(F.col("kind") == "table").cast("int"), F.col("element_no")]
     w = Window.partitionBy(*PAGE).orderBy(
@@ -126,12 +127,19 @@ def body_fonts(elements: DataFrame) -> DataFrame:
     )
 
 
-def table_pages(elements: DataFrame) -> DataFrame:
-    """Pages per document, and pages with a table."""
-    return elements.groupBy("doc").agg(
+def table_pages(elements: DataFrame, page_counts: DataFrame | None = None) -> DataFrame:
+    """Pages per document, and pages with a table.
+
+    ``page_counts`` (doc, page_count) knows pages without elements; without it only pages with elements count.
+    """
+    found = elements.groupBy("doc").agg(
         F.countDistinct("page").alias("pages"),
         F.countDistinct(F.when(F.col("kind") == "table", F.col("page"))).alias("table_pages"),
     )
+    if page_counts is None:
+        return found
+    known = found.join(page_counts.select("doc", "page_count"), "doc", "left")
+    return known.withColumn("pages", F.coalesce(F.col("page_count").cast("long"), F.col("pages"))).drop("page_count")
 
 
 def heading_level(text: Column, size: Column, body: Column) -> Column:
@@ -178,10 +186,10 @@ def document_lines(elements: DataFrame) -> DataFrame:
     return kept.select("doc", "page", "reading_no", "kind", level.alias("level"), line.alias("line"))
 
 
-def document_bodies(elements: DataFrame) -> DataFrame:
-    """Cleaned markdown body per document."""
+def document_bodies(elements: DataFrame, page_counts: DataFrame | None = None) -> DataFrame:
+    """Cleaned markdown body per document; see :func:`table_pages` for ``page_counts``."""
     lines = document_lines(elements)
-    pages = table_pages(elements)
+    pages = table_pages(elements, page_counts)
     row = F.struct("page", "reading_no", "line")
     packed = lines.groupBy("doc").agg(F.array_sort(F.collect_list(row)).alias("_rows")).join(pages, "doc")
     text = F.flatten(F.transform("_rows", lambda r: F.array(r["line"], F.lit(""))))

@@ -226,7 +226,8 @@ def trend_result(served: DataFrame) -> DataFrame:
     modules = ["videos", "industry_categories", "topic_brief"]
     state = F.struct("payload", "error", "from_cache", "stale", "cached_at")
     wide = served.groupBy("request_id").agg(
-        *[F.max_by(state, F.when(F.col("module_name") == m, F.lit(1))).alias(m) for m in modules]
+        # of several rows of a module the newest counts
+        *[F.max_by(state, F.when(F.col("module_name") == m, F.struct("cached_at", "payload", "error"))).alias(m) for m in modules]
     )
     industry = module_meta(
         served.filter(F.col("module_name").isin("industry_categories", "topic_brief")), ["request_id"], "module_name"

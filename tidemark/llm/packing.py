@@ -22,7 +22,7 @@ BATCH_TOKENS = 1 << 22
 #: Padding that a window may keep; windows with more are cut up and refilled.
 MAX_GAP = 32
 #: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 1_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 

@@ -13,8 +13,10 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import slices
+
 #: Labelled rows that the dictionaries and the calibration learn from, at most, and characters of each.
-TOXIC_ROWS, ORDINARY_ROWS, CALIBRATION_ROWS = 1500, 4500, 9000
+TOXIC_ROWS, ORDINARY_ROWS, CALIBRATION_ROWS = 1500, 3000, 6000
 LEARN_CHARS = 20_000
 #: A row is held out where the CRC-32 of its id modulo PARTS is HELD; the part CALIBRATE fits the scores.
 PARTS, HELD, CALIBRATE = 4, 2, 3
@@ -274,14 +276,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                scores = model.value.score([t or "" for t in part.column(2).to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))],
-                    ["doc_id", "held_out", "score", "predicted"],
-                )
+        for part in slices(batches, 2):
+            scores = model.value.score([t or "" for t in part.column(2).to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))],
+                ["doc_id", "held_out", "score", "predicted"],
+            )
 
     held = F.coalesce(part_of(F.col(id_col).cast("long")) == HELD, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
@@ -294,10 +294,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                scores = model.value.score([t or "" for t in part.column(at).to_pylist()])
-                yield part.filter(pa.array(scores < THRESHOLD))
+        for part in slices(batches, at):
+            scores = model.value.score([t or "" for t in part.column(at).to_pylist()])
+            yield part.filter(pa.array(scores < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

@@ -397,3 +397,15 @@ def relevant_documents(spark, folder):
 
 ORACLE["relevant_documents"] = f"""WITH {_FILES}, kinds AS (SELECT CASE WHEN doc_id % 5 = 0 THEN '' ELSE lower(category) END AS kind FROM files)
 SELECT kind, count(*) AS documents FROM kinds WHERE kind = '' OR kind IN ({', '.join(text(c) for c in fixed.RELEVANT_CATEGORIES)}) GROUP BY kind"""
+
+
+@query
+def chunk_function(spark, folder):
+    """Chunks by the table function for SQL users."""
+    K.register_sql(spark)
+    docs = I.knowledge(spark, folder).select("doc_id", "source_title", "body")
+    rows = spark.sql("SELECT d.doc_id, c.* FROM {docs} d, LATERAL chunk_document(d.source_title, d.body) c", docs=docs)
+    return rows.select("doc_id", "chunk_index", "heading_path", F.md5("text").alias("digest"))
+
+
+ORACLE["chunk_function"] = f"WITH {O.CHUNKS} SELECT doc_id, chunk_index, heading_path, md5(text) AS digest FROM chunks"

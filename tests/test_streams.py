@@ -2,7 +2,6 @@
 
 import datetime
 
-import pytest
 from pyspark.sql import functions as F
 
 from tidemark import fixed

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed
 from tidemark.functions import meta as M
 from tidemark.functions import text as T
-from tidemark.operators.keyed import first_per_key, last_per_key, merge_rows, replace_rows, top_k
+from tidemark.operators.keyed import first_per_key, last_per_key, merge_rows, number_rows, replace_rows, top_k
 from tidemark.session import cut_lineage
 
 CATALOG_FIELDS = ["id", "title", "category", "region", "market", "platform", "language", "url", "crawl_mode", "priority", "notes"]
@@ -84,11 +84,10 @@ def listing(
 
 
 def newest_first(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(F.col("updated_at").desc(), "source_id")
-
-
-def library_page(rows: DataFrame, most: int) -> DataFrame:
-    return newest_first(rows).limit(most)
+    """Rows (source_id, updated_at) with their ``place`` from the newest down; rows without a time come last."""
+    down = F.coalesce(-F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(2**63 - 1))
+    at = F.struct(down.alias("down"), "source_id")
+    return number_rows(rows.withColumn("_at", at), "_at", "place").drop("_at")
 
 
 # --- ids ----------------------------------------------------------------------------------
@@ -328,13 +327,6 @@ def changed_documents(documents: DataFrame, indexed: DataFrame) -> DataFrame:
     return documents.join(indexed.select(*keys).distinct(), keys, "left_anti")
 
 
-def refresh_index(chunks: DataFrame, documents: DataFrame, fresh_chunks: DataFrame) -> DataFrame:
-    """Chunk table after new chunks came in: chunks of changed or vanished documents go."""
-    kept = chunks.join(fresh_chunks.select("doc_id").distinct(), "doc_id", "left_anti")
-    kept = kept.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
-    return kept.unionByName(fresh_chunks)
-
-
 # --- crawl --------------------------------------------------------------------------------
 
 

@@ -270,9 +270,7 @@ ORACLE["talent_order"] = f"WITH {O.TALENTS} SELECT id, name, row_number() OVER (
 def library_order(spark, folder):
     """Library rows, newest first, with their place."""
     rows = Q.QUERIES["library_listing"](spark, folder).select("source_id", "updated_at")
-    # an order of one column: the time, newest first, then the id
-    at = F.struct((-F.unix_micros(F.to_timestamp("updated_at"))).alias("down"), "source_id")
-    return number_rows(rows.withColumn("at", at), "at", "place").select("source_id", "updated_at", "place")
+    return LB.newest_first(rows).select("source_id", "updated_at", "place")
 
 
 ORACLE["library_order"] = f"""WITH listed AS ({ORACLE['library_listing']})

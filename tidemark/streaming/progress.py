@@ -7,13 +7,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark import fixed
 from tidemark.functions import workflow as W
-from tidemark.sources.readers import event_texts
 
 EVENT_SCHEMA = (
     "run_id string, event string, step string, status string, message string, duration_ms long, "
@@ -31,11 +29,6 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def decoded_events(lines: DataFrame) -> DataFrame:
-    """A stream of event texts (value) as event rows."""
-    return event_texts(lines)
-
-
 class StepStates(StatefulProcessor):
     """Keeps the last event of each step of a run.
 
@@ -177,13 +170,3 @@ def step_state_stream(
             timeMode="EventTime",
         )
     )
-
-
-def session_stream(events: DataFrame, gap_seconds: float, watermark: str = "10 minutes") -> DataFrame:
-    """Stretches of a run without a longer silence, emitted once they cannot grow any more."""
-    return (
-        events.withWatermark("ts", watermark)
-        .groupBy("run_id", F.session_window("ts", f"{gap_seconds} seconds").alias("w"))
-        .agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("events"))
-        .select("run_id", "started", "ended", "events")
-    )

@@ -19,10 +19,12 @@ WINDOW = 2048
 END_ID = 1
 #: Tokens that are packed together at most, so that a task's memory does not grow with its share of the input.
 BATCH_TOKENS = 1 << 22
+#: Bytes of text that are tokenised together at most, or one text.
+SLICE_BYTES = 1 << 23
 #: Padding that a window may keep; windows with more are cut up and refilled.
 MAX_GAP = 32
 #: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 2_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -135,8 +137,6 @@ class WordTokenizer:
         self.words, self.ids, self.ends = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, words: pa.Array) -> None:
-        if len(self.words) + len(words) > self.remember:
-            self._reset()
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
         ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
         flat = np.fromiter((x for e in ids for x in e), np.uint32, int(ends[-1]) if len(ends) else 0)
@@ -148,13 +148,17 @@ class WordTokenizer:
         """(ids of all texts, each with ``end_id`` behind; offsets per text)."""
         codes, offsets, words = words_of(texts)
         words = words.cast(pa.string())
-        unknown = words.filter(pc.invert(pc.is_in(words, value_set=self.words)))
-        if len(unknown) + len(self.words) > self.remember:
+        # one look-up per slice, as it builds a table of all words that are remembered
+        known = pc.index_in(words, value_set=self.words)
+        if known.null_count + len(self.words) > self.remember:
             self._reset()
-            unknown = words
-        if len(unknown):
-            self._learn(unknown)
-        at = pc.index_in(words, value_set=self.words).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+            known = pa.nulls(len(words), pa.int32())
+        new = known.is_null().to_numpy(zero_copy_only=False)
+        place = pc.fill_null(known, 0).to_numpy().astype(np.int64)
+        place[new] = len(self.words) + np.arange(known.null_count)
+        if known.null_count:
+            self._learn(words.filter(pa.array(new)))
+        at = place[codes]
         starts, counts = self.ends[at], self.ends[at + 1] - self.ends[at]
         before = np.concatenate([[0], np.cumsum(counts)])
         doc_ends = before[offsets]
@@ -234,7 +238,7 @@ def pack_documents(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _tokenizer(spec.value)
         base, chunks, held = TaskContext.get().partitionId() << 40, [], 0
-        for batch in slices(batches, 1, batch_tokens):
+        for batch in slices(batches, 1, SLICE_BYTES):
             ids, ends = coder.encode(batch.column(1), end_id)
             chunks.append((batch.column(0), ids, ends))
             held += len(ids)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tidemark.session import ensure_checkpoint_dir
 
-#: Rows of one window group at most, on average, where rows of a key are numbered.
-SLICE_ROWS = 20_000
+#: Rows of one window group at least, on average, where rows of a key are numbered.
+SLICE_ROWS = 256
 
 
 def table(spark, folder: str, name: str) -> DataFrame:
@@ -23,8 +23,11 @@ def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int = 1 << 23) -> Iterator[pa.RecordBatch]:
-    """Batches cut where their texts (column ``text``) pass ``most_bytes``; a longer text is alone."""
+def slices(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Batches cut where their texts (column ``text``) pass ``most_bytes``; a longer text is alone.
+
+    What a slice leaves free goes back to the system, as workers live on and serve other steps.
+    """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         upto, done = np.cumsum(sizes, dtype=np.int64), 0
@@ -33,6 +36,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int = 1 <<
             end = max(done + 1, int(np.searchsorted(upto, before + most_bytes, "right")))
             yield batch.slice(done, end - done)
             done = end
+        pa.default_memory_pool().release_unused()
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -97,9 +101,10 @@ def number_in_key(
 
     ``order`` starts with a well spread 63-bit number (a hash). Its high bits cut a key into slices, which are
     numbered each on its own and shifted by the sizes of the slices before, so no task sees a whole key. ``rows``
-    is the count of all rows; it gives the number of slices, so that any key's slice has about ``width`` rows.
+    is the count of all rows. A key that held them all would get as many slices as rows in a slice, but no slices of
+    less than ``width`` rows, so both steps share the work evenly.
     """
-    bits = min(40, max(0, int(np.ceil(np.log2(max(1, rows / width))))))
+    bits = min(40, max(0, int(np.ceil(np.log2(max(1, rows / max(width, rows**0.5)))))))
     sliced = df.withColumn("_slice", F.shiftright(order[0], 63 - bits) if bits else F.lit(0).cast("long"))
     sizes = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
     running = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

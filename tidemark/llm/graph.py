@@ -23,11 +23,12 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # minima are kept apart, so that the joins have shuffles of their own and can split a hot node
+        least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # the smaller neighbours of a node and the node itself go to the least of them
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut_lineage(large.distinct())
+        least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # a node's least neighbour found above its own edges is kept as an edge as well
         own = least.select("u", F.col("m").alias("v"))

@@ -221,7 +221,9 @@ def near_duplicates(
     sets = cut_lineage(sets)
     values = signed.join(sets.select(F.col("rep").alias("row")), "row", "left_semi")
     values = values.select("row", F.explode("bands").alias("band"))
+    # kept apart, so that the join has a shuffle of its own on either side and can split a hot band
     buckets = values.groupBy("band").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    buckets = cut_lineage(buckets)
     edges = values.join(buckets, "band").filter("row <> first").select(F.col("row").alias("u"), F.col("first").alias("v"))
     members = components(edges)
 

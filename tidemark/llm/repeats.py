@@ -163,13 +163,13 @@ def remove_repeats(
     seeded = read.mapInArrow(_seed(length, seed), "row long, doc_id long, n_words long, sha string, anchors array<long>")
     seeded = cut_lineage(seeded)
     groups = seeded.groupBy("sha").agg(F.min("row").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
-    seeded = seeded.join(groups, "sha", "left")
+    # kept apart, as below: the join has a shuffle of its own on either side and can split a hot group
+    seeded = seeded.join(cut_lineage(groups), "sha", "left")
     whole = F.coalesce(F.col("copies") > 1, F.lit(False)) & (F.col("n_words") >= length)
     seeded = seeded.withColumn("whole", whole)
 
     # one of each group of copies meets the other texts
     met = seeded.filter("rep is null or rep = row").select("row", F.explode("anchors").alias("anchor"))
-    # kept apart, so that the join has a shuffle of its own on either side and can split a hot anchor
     twice = cut_lineage(met.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
     spots = met.join(twice, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
     spots = spots.join(seeded.select("row", (~F.col("whole")).alias("single")), "row")

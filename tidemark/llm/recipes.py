@@ -94,7 +94,7 @@ def distinct_chunks(docs: DataFrame, text_col: str, digest_bytes: int) -> DataFr
     """Distinct chunks of all texts: digest and bytes. Copies within a batch leave the task once."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0, 1 << 25):
+        for batch in slices(batches, 0, 1 << 22):
             found: dict[tuple[bytes, bytes], None] = {}
             for chunks in _chunks(batch.column(0)):
                 for c in chunks:
@@ -130,7 +130,8 @@ def exact_groups(
     groups = named.groupBy("h", "names").agg(
         F.max(F.struct("doc_id", -F.col("row"))).alias("best"), F.count("*").alias("group_size")
     )
-    groups = groups.filter("group_size > 1").withColumnsRenamed({"h": "g_h", "names": "g_names"})
+    # kept apart, so that the join has a shuffle of its own on either side and can split a hot group
+    groups = cut_lineage(groups.filter("group_size > 1").withColumnsRenamed({"h": "g_h", "names": "g_names"}))
     same = (F.col("h") == F.col("g_h")) & (F.col("names") == F.col("g_names"))
     return named.join(groups, same, "left").select(
         "doc_id",

@@ -103,7 +103,8 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
     ).withColumn("sha", F.unhex(F.sha2("html", 256)))
     groups = rows.groupBy("sha").agg(F.max(F.struct("page_id", -F.col("row"))).alias("best"), F.count("*").alias("n"))
     groups = groups.filter("n > 1").select(F.col("sha").alias("g"), F.col("best.page_id").alias("last"), (-F.col("best.col2")).alias("first"))
-    joined = rows.join(groups, F.col("sha") == F.col("g"), "left")
+    # kept apart, so that the join has a shuffle of its own on either side and can split a hot payload
+    joined = rows.join(cut_lineage(groups), F.col("sha") == F.col("g"), "left")
     refers = F.when(F.col("row") != F.col("first"), F.col("last"))
     return joined.select("page_id", "url", "html", refers.alias("refers_to"))
 

@@ -141,3 +141,41 @@ def test_scores_of_odd_documents(odd_documents, no_documents):
     assert len(blank) == 3 and all(r.log_prob == 0 and r.mean_log_prob is None for r in blank)
     assert all(r.log_prob < 0 for r in rows if r.n_tokens)
     assert pseudo_lm.score_documents(no_documents).collect() == []
+
+
+def test_rare_words_do_not_score_as_the_common_word_of_their_token(stored):
+    import xxhash
+
+    token = lambda w: xxhash.xxh3_64_intdigest(w.encode()) % pseudo_lm.TOKENS
+    rare = next(w for w in (f"junk{i}" for i in range(10**6)) if token(w) == token("the"))
+    texts = [*["a the b"] * 300, *["a the b " * 40] * 3, f"a {rare} b", "a the b", None]
+    rows = stored(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.log_prob for r in pseudo_lm.score_documents(rows).collect()}
+    assert got[304] - got[303] == pytest.approx(np.log(421), rel=1e-4) and got[305] == 0
+
+
+def test_scores_by_whole_words_and_the_ways_to_join_them(stored, monkeypatch):
+    from collections import Counter
+
+    docs, _ = corpus(60)
+    rows = stored([d[:2] for d in docs], "doc_id long, text string")
+    counts = pseudo_lm.word_counts(rows)
+    times = Counter(w for d in docs for w in d[1].split())
+    assert sorted(r.n for r in counts.collect()) == sorted(times.values())
+    network = pseudo_lm.train_network(rows, counts=counts)
+    totals = Counter()
+    for w, n in times.items():
+        totals[pseudo_lm.token_windows(pa.array([w]))[1][0]] += n
+    for common in (1, 1 << 8, 1 << 18):
+        monkeypatch.setattr(pseudo_lm, "COMMON", common)
+        got = {r.doc_id: r.log_prob for r in pseudo_lm.score_documents(rows, network, counts=counts).collect()}
+        for i, text, *_ in docs:
+            sides, tokens, _ = pseudo_lm.token_windows(pa.array([text]))
+            share = sum(np.log(times[w] / (totals[t] + 0.5)) for w, t in zip(text.split(), tokens, strict=True))
+            assert got[i] == pytest.approx(float(network.log_probs(sides, tokens).sum()) + share, rel=1e-4)
+
+
+def test_tokens_and_classes_grow_with_the_vocabulary(spark):
+    few, many = (pseudo_lm.Network(pseudo_lm.token_counts(spark.range(n).selectExpr("id as word", "1L as n"))) for n in (1000, 4_000_000))
+    assert (few.size, few.classes) == (pseudo_lm.TOKENS, 64) and many.size == 12_000 and many.classes > 64
+    assert many.parameters().shape[1] == pseudo_lm.HIDDEN

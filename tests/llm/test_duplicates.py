@@ -232,3 +232,39 @@ def test_queries_match_brute_force(spark):
     assert [got[r.doc_id].n_links for r in rows] == [w[1] for w in want]
     label = {w[2]: rows[i].doc_id for i, w in reversed(list(enumerate(want)))}
     assert [got[r.doc_id].class_id for r in rows] == [label[w[2]] for w in want]
+
+
+def test_files_split_anew_between_scans(spark, stored, monkeypatch):
+    from tidemark.llm import mixing, warc
+
+    texts = texts_with_copies()
+    docs = stored([(i, t, f"s{i % 3}") for i, t in enumerate(texts)], "doc_id long, text string, source string", 12)
+    pages = stored([(i, f"http://h/{i}", t) for i, t in enumerate(texts)], "page_id long, url string, html string", 12)
+    steps = [
+        lambda: recipes.drop_copies(docs),
+        lambda: jaccard.near_duplicates(docs).drop("row", "root"),
+        lambda: jaccard.keep_one(docs),
+        lambda: repeats.remove_repeats(docs),
+        lambda: mixing.take_mix(docs),
+        lambda: warc.mark_revisits(pages),
+    ]
+    conf = {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "1"}
+
+    def run(step):
+        try:
+            return sorted(map(str, step().collect()))
+        finally:
+            for key in conf:
+                spark.conf.unset(key)
+
+    want = [run(step) for step in steps]
+    for module in (recipes, jaccard, repeats, mixing, warc):
+
+        def then_split(df, cut=module.cut_lineage):
+            out = cut(df)
+            for key, value in conf.items():
+                spark.conf.set(key, value)
+            return out
+
+        monkeypatch.setattr(module, "cut_lineage", then_split)
+    assert [run(step) == w for step, w in zip(steps, want, strict=True)] == [True] * len(steps)

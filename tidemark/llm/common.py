@@ -133,12 +133,23 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def numbered_texts(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """Row number, id and text of each row: numbered and stored here, or with the stored numbers of ``row_col``."""
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    read = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return read if row_col else stored(read)
+
+
 def with_row_number(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` with a number of each row by its place in the scan, in a column whose name it does not have yet."""
+    """``df`` with a number of each row, in a column whose name it does not have yet, as a stored table.
+
+    The place of a row in a scan depends on how files are split, which may change between two scans, so numbers that
+    rows are joined on are written once, with the rows.
+    """
     name = "_row_number"
     while name.lower() in (c.lower() for c in df.columns):
         name += "_"
-    return df.withColumn(name, F.monotonically_increasing_id()), name
+    return stored(df.withColumn(name, F.monotonically_increasing_id())), name
 
 
 def hash63(*columns: Column | str) -> Column:

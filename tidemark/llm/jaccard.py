@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import gram_hashes, hash63, mix64, number_in_key, slices, with_row_number, word_hashes, words_of
+from tidemark.llm.common import gram_hashes, hash63, mix64, number_in_key, numbered_texts, slices, with_row_number, word_hashes, words_of
 from tidemark.llm.graph import components
 from tidemark.session import cut_lineage
 
@@ -196,6 +196,7 @@ def near_duplicates(
     recall: float = RECALL,
     most_hashes: int = MOST_HASHES,
     block: int = BLOCK,
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: its class, the set it shares, and how many other sets it is linked to.
 
@@ -208,12 +209,10 @@ def near_duplicates(
     Words are runs of anything but ASCII white space, unchanged. A text of fewer than n words has one gram, all its
     words. Null, empty and blank texts share the empty set, which has no links. Equal ids are rows of their own; a
     null id never names a class that has another. An empty table gives no rows. Other columns are not read.
-    ``docs`` must be a stored table, as its rows are numbered by their place in two scans.
+    Rows are numbered and stored once, unless ``row_col`` names a stored number of each row; ``row`` is that number.
     """
     bands, rows = bands_and_rows(similarity, recall, most_hashes)
-    read = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
-    )
+    read = numbered_texts(docs, id_col, text_col, row_col)
     signed = cut_lineage(_signatures(read, n, bands, rows))
     sets = signed.groupBy("d1", "d2", "n_grams").agg(
         F.min("row").alias("rep"), F.min("doc_id").alias("set_id"), F.count("*").alias("copies")
@@ -284,9 +283,9 @@ def _block_rows(rows):
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class, the one with the smallest id; all its columns."""
-    classes = near_duplicates(docs, id_col, text_col, **options).select("row", "root", "doc_id")
+    numbered, row = with_row_number(docs)
+    classes = near_duplicates(numbered, id_col, text_col, row_col=row, **options).select("row", "root", "doc_id")
     classes = cut_lineage(classes)
     first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-    numbered, row = with_row_number(docs)
     gone = classes.join(first, "root").filter("row <> first.row").select(F.col("row").alias(row))
     return numbered.join(gone, row, "left_anti").drop(row)

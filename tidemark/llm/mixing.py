@@ -182,10 +182,7 @@ def _weighted(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; all its columns.
-
-    ``docs`` must be a stored table, as its rows are numbered by their place in two scans.
-    """
+    """The rows of ``docs``, each as often as the mix takes it; all its columns. Rows are numbered and stored once."""
     numbered, row = with_row_number(docs)
     quota = mix_sources(numbered, id_col, text_col, source_col, carry=(row,)).filter("copies > 0")
     times = quota.select(F.col(row).alias("_taken_row"), F.col("copies").cast("int").alias("_taken_copies"))

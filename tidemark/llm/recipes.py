@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, with_row_number
+from tidemark.llm.common import numbered_texts, slices, with_row_number
 from tidemark.session import cut_lineage
 
 #: Bytes of a chunk: least, mean beyond that, most.
@@ -67,7 +67,7 @@ def _digest(chunk, size: int) -> bytes:
     return hashlib.blake2b(chunk, digest_size=size).digest()
 
 
-def chunk_recipes(docs: DataFrame, id_col: str, text_col: str, digest_bytes: int) -> DataFrame:
+def chunk_recipes(docs: DataFrame, id_col: str, text_col: str, digest_bytes: int, row_col: str | None = None) -> DataFrame:
     """Per row: row number, id, SHA-256 of the text, and the digests of its chunks in order."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,9 +84,8 @@ def chunk_recipes(docs: DataFrame, id_col: str, text_col: str, digest_bytes: int
                 ["row", "doc_id", "text_sha256", "recipe"],
             )
 
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
-    )
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(cut, "row long, doc_id long, text_sha256 string, recipe array<binary>")
 
 
@@ -107,7 +106,11 @@ def distinct_chunks(docs: DataFrame, text_col: str, digest_bytes: int) -> DataFr
 
 
 def exact_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = DIGEST_BYTES
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    digest_bytes: int = DIGEST_BYTES,
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: the copy that stays (the largest id of equal texts) and the size of its group.
 
@@ -117,14 +120,18 @@ def exact_groups(
     shuffle, each once per task, and documents never do.
 
     A null text counts as empty. Of equal texts with the largest id several times, one row stays, the one read
-    first. A null id comes after all others. An empty table gives no rows. Other columns are not read.
+    first. A null id comes after all others. An empty table gives no rows. Other columns are not read. Where
+    ``row_col`` names a stored number of each row, ``row`` is that number.
     """
-    recipes = cut_lineage(chunk_recipes(docs, id_col, text_col, digest_bytes))
+    recipes = cut_lineage(chunk_recipes(docs, id_col, text_col, digest_bytes, row_col))
     contents = distinct_chunks(docs, text_col, digest_bytes)
     doubtful = cut_lineage(contents.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"))
     named = recipes.withColumn("names", F.col("recipe"))
     if not doubtful.isEmpty():
-        named = _rename(docs, recipes, doubtful, text_col, digest_bytes)
+        # texts are read once more, so their numbers are stored with them
+        read = numbered_texts(docs, id_col, text_col, row_col)
+        recipes = cut_lineage(chunk_recipes(read, "doc_id", "text", digest_bytes, "row"))
+        named = _rename(read, recipes, doubtful, digest_bytes)
     # the list's own hash makes a short join key; the list itself decides
     named = named.select("row", "doc_id", "text_sha256", "names", F.xxhash64("names").alias("h"))
     groups = named.groupBy("h", "names").agg(
@@ -143,7 +150,7 @@ def exact_groups(
     )
 
 
-def _rename(docs, recipes, doubtful, text_col, digest_bytes):
+def _rename(read, recipes, doubtful, digest_bytes):
     """Recipes in which each doubtful digest carries the SHA-256 of its chunk as well."""
 
     def cut(batches):
@@ -159,8 +166,7 @@ def _rename(docs, recipes, doubtful, text_col, digest_bytes):
                     ["row", "place", "digest", "sha"],
                 )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    spots = rows.mapInArrow(cut, "row long, place int, digest binary, sha binary")
+    spots = read.select("row", "text").mapInArrow(cut, "row long, place int, digest binary, sha binary")
     marked = spots.join(doubtful.withColumn("double", F.lit(True)), "digest", "left")
     name = F.when(F.col("double"), F.concat("digest", "sha")).otherwise(F.col("digest"))
     lists = marked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", name.alias("name")))).alias("l"))
@@ -171,5 +177,5 @@ def _rename(docs, recipes, doubtful, text_col, digest_bytes):
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the copies that do not stay; all its columns."""
     numbered, row = with_row_number(docs)
-    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("row").alias(row))
+    gone = exact_groups(numbered, id_col, text_col, row_col=row).filter(~F.col("kept")).select(F.col("row").alias(row))
     return numbered.join(gone, row, "left_anti").drop(row)

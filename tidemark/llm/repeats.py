@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import gram_hashes, mix64, slices, stored, word_hashes, words_of
+from tidemark.llm.common import gram_hashes, mix64, numbered_texts, slices, stored, word_hashes, words_of
 from tidemark.session import cut_lineage
 
 #: Words of a passage that is removed where it repeats.
@@ -155,11 +155,9 @@ def remove_repeats(
 
     A null text has no words; texts shorter than ``length`` lose none. Repeated rows and equal ids are rows of their
     own, so a repeated text of ``length`` words or more loses all. An empty table gives no rows. Other columns are
-    not read. ``docs`` must be a stored table, as its rows are numbered by their place in two scans.
+    not read. Rows are numbered and stored once, as their texts are read twice.
     """
-    read = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
-    )
+    read = numbered_texts(docs, id_col, text_col)
     seeded = read.mapInArrow(_seed(length, seed), "row long, doc_id long, n_words long, sha string, anchors array<long>")
     seeded = cut_lineage(seeded)
     groups = seeded.groupBy("sha").agg(F.min("row").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")

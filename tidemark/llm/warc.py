@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import stored
 from tidemark.session import cut_lineage, ensure_checkpoint_dir
 
 #: Captures of a compressed index block.
@@ -95,12 +96,14 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
 
     Pages are compared by the SHA-256 of the payload. Of equal ids with the same payload one is the response.
     """
+    # the numbers are joined on, so they are stored with the rows
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce("url", F.lit("")).alias("url"),
         F.coalesce("html", F.lit("")).alias("html"),
         F.monotonically_increasing_id().alias("row"),
-    ).withColumn("sha", F.unhex(F.sha2("html", 256)))
+    )
+    rows = stored(rows.withColumn("sha", F.unhex(F.sha2("html", 256))))
     groups = rows.groupBy("sha").agg(F.max(F.struct("page_id", -F.col("row"))).alias("best"), F.count("*").alias("n"))
     groups = groups.filter("n > 1").select(F.col("sha").alias("g"), F.col("best.page_id").alias("last"), (-F.col("best.col2")).alias("first"))
     # kept apart, so that the join has a shuffle of its own on either side and can split a hot payload

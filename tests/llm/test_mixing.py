@@ -115,3 +115,29 @@ def test_fit_budget_of_many_documents():
 def test_word_count(one):
     for text in ["", " a ", "a\tb\nc\x0bd\x0ce\rf", "\x1fa\x85b c", "日本 語", "  a  b  "]:
         assert one(mixing.word_count(__import__("pyspark").sql.functions.col("t")), t=text) == len(WORD.findall(text))
+
+
+def test_fit_budget_of_very_long_documents(monkeypatch):
+    assert mixing.fit_budget([100_000], [2], 120_000) == [1]
+    assert mixing.fit_budget([70_000, 100_000], [1, 1], 120_000) == [0, 1]
+    rng = random.Random(6)
+    for _ in range(60):
+        lengths = rng.sample(range(50_000, 900_000), rng.randint(1, 4))
+        counts = [rng.randint(1, 2) for _ in lengths]
+        sums = {0}
+        for n, c in zip(lengths, counts, strict=True):
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        # below twice the longest all is fitted; above, the greedy part goes first
+        budget = rng.randint(0, max(lengths))
+        taken = mixing.fit_budget(lengths, counts, budget)
+        assert sum(n * t for n, t in zip(lengths, taken, strict=True)) == max(s for s in sums if s <= budget)
+    # nothing that fits is left out where documents are longer than what is fitted at most
+    monkeypatch.setattr(mixing, "MOST_FIT_WORDS", 1 << 16)
+    assert mixing.fit_budget([100_000], [2], 120_000) == [1]
+    for _ in range(60):
+        lengths = rng.sample(range(50_000, 900_000), 4)
+        counts = [rng.randint(1, 5) for _ in lengths]
+        budget = rng.randint(0, sum(a * b for a, b in zip(lengths, counts, strict=True)))
+        taken = mixing.fit_budget(lengths, counts, budget)
+        left = budget - sum(n * t for n, t in zip(lengths, taken, strict=True))
+        assert left >= 0 and all(n > left or t == c for n, t, c in zip(lengths, taken, counts, strict=True))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +17,9 @@ from tidemark.session import cut_lineage
 WEIGHTS = (1, 2, 3)
 #: Copies of a document at most.
 MOST_COPIES = 3
-#: Words that are fitted by the exact subset sum; the greedy part before it leaves no more than this.
-FIT_WORDS = 1 << 16
+#: Words that are fitted by the exact subset sum, at least and at most; in between twice the longest document that
+#: fits, so that the greedy part before it leaves no more than this.
+FIT_WORDS, MOST_FIT_WORDS = 1 << 16, 1 << 24
 SEED = 20
 
 
@@ -49,40 +53,52 @@ def water_fill(sources: DataFrame, most: int) -> DataFrame:
 def fit_budget(lengths: list[int], counts: list[int], budget: int, fit_words: int = FIT_WORDS) -> list[int]:
     """How many documents of each length to take so that their words come as near to ``budget`` as can be, not above.
 
-    Each length first gives its even share, rounded down; then whole documents from the longest length down, until
-    at most ``fit_words`` words are missing or nothing fits; a bounded knapsack over the counts that are left fits
-    the rest exactly, where the lengths allow it. To keep room for that, the even part stops two fits short.
+    Each length first gives its even share, rounded down; then whole documents from the longest length down, both
+    short of the budget by half of what is fitted; a bounded knapsack over the counts that are left fits the rest
+    exactly, where the lengths allow it. ``fit_words`` grows to twice the longest document within the budget, up to
+    MOST_FIT_WORDS. Beyond that, what is left can hold one more document, and the longest that fits goes in.
     """
     whole = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if whole <= budget:
         return list(counts)
+    order = sorted((i for i in range(len(lengths)) if 0 < lengths[i] <= budget), key=lambda i: -lengths[i])
+    longest = lengths[order[0]] if order else 0
+    fit_words = max(fit_words, min(2 * longest, MOST_FIT_WORDS))
     even = max(0, budget - fit_words // 2)
     taken = [c * even // whole for c in counts]
     left = budget - sum(n * t for n, t in zip(lengths, taken, strict=True))
-    order = sorted((i for i in range(len(lengths)) if lengths[i] > 0), key=lambda i: -lengths[i])
     for i in order:
         more = min(counts[i] - taken[i], max(0, left - fit_words // 2) // lengths[i])
         taken[i] += more
         left -= more * lengths[i]
-    # one bit per reachable sum; a count goes in as powers of two and a remainder
-    items = []
-    room = min(left, fit_words)
-    for i in order:
-        free, part = min(counts[i] - taken[i], room // lengths[i]), 1
-        while free > 0:
-            items.append((i, min(part, free)))
-            free, part = free - part, part * 2
-    mask, steps = (1 << (room + 1)) - 1, [1]
-    for i, n in items:
-        steps.append((steps[-1] | steps[-1] << (n * lengths[i])) & mask)
-        if steps[-1] >> room:
+    free = [i for i in order if taken[i] < counts[i] and lengths[i] <= left]
+    if left > fit_words:
+        # all that is left is longer than half of fit_words, so two of them do not fit
+        for i in free[:1]:
+            taken[i] += 1
+        return taken
+    # one bit per reachable sum, in units that all lengths are multiples of; a count goes in as powers of two and a
+    # remainder; the first item that reaches a sum is remembered
+    unit = math.gcd(*(lengths[i] for i in free)) or 1
+    room, items = left // unit, []
+    for i in free:
+        rest, part = min(counts[i] - taken[i], left // lengths[i]), 1
+        while rest > 0:
+            items.append((i, min(part, rest)))
+            rest, part = rest - part, part * 2
+    reach, mask, first = 1, (1 << (room + 1)) - 1, np.full(room + 1, -1, np.int32)
+    for k, (i, n) in enumerate(items):
+        if reach >> room:
             break
-    at = steps[-1].bit_length() - 1
-    for k in range(len(steps) - 1, 0, -1):
-        if not steps[k - 1] >> at & 1:
-            i, n = items[k - 1]
-            taken[i] += n
-            at -= n * lengths[i]
+        grown = (reach | reach << (n * lengths[i] // unit)) & mask
+        new = np.frombuffer((grown ^ reach).to_bytes(room // 8 + 1, "little"), np.uint8)
+        first[np.flatnonzero(np.unpackbits(new, bitorder="little"))] = k
+        reach = grown
+    at = reach.bit_length() - 1
+    while at:
+        i, n = items[first[at]]
+        taken[i] += n
+        at -= n * lengths[i] // unit
     return taken
 
 

@@ -179,3 +179,18 @@ def test_tokens_and_classes_grow_with_the_vocabulary(spark):
     few, many = (pseudo_lm.Network(pseudo_lm.token_counts(spark.range(n).selectExpr("id as word", "1L as n"))) for n in (1000, 4_000_000))
     assert (few.size, few.classes) == (pseudo_lm.TOKENS, 64) and many.size == 12_000 and many.classes > 64
     assert many.parameters().shape[1] == pseudo_lm.HIDDEN
+
+
+def test_toxicity_learns_from_and_scores_whole_long_texts(stored):
+    docs, labels = corpus(300)
+    filler = " ".join(t for _, t, *_ in corpus(400, 8)[0] if not any(w in t for w in ("vile", "grim", "zz")))
+    # the telling passage stands far behind the first 20,000 characters, in the labelled texts as well
+    docs = [(i, (filler[:25_000] + " " + t), s, n) for i, t, s, n in docs]
+    clean, toxic = [" ".join([filler] * 3)[:300_000 + i] for i in range(2)], []
+    toxic = [t + " vilething grimgrub zzhorrid" * 3 for t in clean]
+    long = [(10_000 + i, t, "hot", 1) for i, t in enumerate(clean + toxic)]
+    rows, known = stored(docs + long, "doc_id long, text string, source string, score int"), stored(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(rows, known).collect()}
+    held = [(got[i].predicted, t) for i, _, t in labels if got[i].held_out]
+    assert sum(p == t for p, t in held) >= 0.95 * len(held)
+    assert [got[10_000 + i].predicted for i in range(4)] == [0, 0, 1, 1]

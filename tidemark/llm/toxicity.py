@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import math
-import random
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +12,12 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import slices, stored
 
-#: Labelled rows that the dictionaries and the calibration learn from, at most, and characters of each.
+#: Labelled rows that the dictionaries and the calibration learn from, at most; their texts are read whole.
 TOXIC_ROWS, ORDINARY_ROWS, CALIBRATION_ROWS = 1500, 3000, 6000
-LEARN_CHARS = 20_000
+#: Windows of ordinary texts, and stretches of toxic ones, that train the dictionaries: a sample over all of them.
+LEARN_WINDOWS = 40_000
 #: A row is held out where the CRC-32 of its id modulo PARTS is HELD; the part CALIBRATE fits the scores.
 PARTS, HELD, CALIBRATE = 4, 2, 3
 #: A document counts as toxic from this score on.
@@ -66,18 +66,17 @@ def telling_pieces(toxic: list[str], ordinary: list[str]) -> set[str]:
     for counter, texts in ((a, toxic), (b, ordinary)):
         for text in texts:
             counter.update(_pieces(text))
-    n, m = len(toxic), len(ordinary)
+    return {piece for piece, k in a.items() if tells(k, b[piece], len(toxic), len(ordinary))}
+
+
+def tells(k: int, j: int, n: int, m: int) -> bool:
+    """Whether a piece that k of n toxic and j of m ordinary texts hold sets toxic text apart."""
 
     def part(k: int, size: int, p: float) -> float:
         return (k * math.log(k / (size * p)) if k else 0.0) + ((size - k) * math.log((size - k) / (size * (1 - p))) if size > k else 0.0)
 
-    out = set()
-    for piece, k in a.items():
-        j = b[piece]
-        p = (k + j) / (n + m)
-        if (k + 0.5) / (n + 1) > EXCESS * (j + 0.5) / (m + 1) and p < 1 and 2 * (part(k, n, p) + part(j, m, p)) > EVIDENCE:
-            out.add(piece)
-    return out
+    p = (k + j) / (n + m)
+    return k > 0 and (k + 0.5) / (n + 1) > EXCESS * (j + 0.5) / (m + 1) and p < 1 and 2 * (part(k, n, p) + part(j, m, p)) > EVIDENCE
 
 
 def telling_runs(texts: list[str], pieces: set[str]) -> list[bytes]:
@@ -192,21 +191,15 @@ def best_cut(logits: np.ndarray, y: np.ndarray) -> float:
 class Model:
     """Dictionaries, weights and a calibrated cut; picklable."""
 
-    def __init__(self, toxic: list[str], ordinary: list[str], held: list[tuple[str, int]]):
-        # copies of a text say nothing more
-        toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
-        rng = random.Random(5)
-        samples = [w[: -len(TAIL)] for text in ordinary for w in windows(text)]
-        rng.shuffle(samples)
-        runs = telling_runs(toxic, telling_pieces(toxic, ordinary)) if toxic and ordinary else []
-        rng.shuffle(runs)
-        self.ordinary = dictionary(samples[:40_000], ORDINARY_BYTES)
+    def __init__(self, samples: list[bytes], runs: list[bytes]):
+        self.ordinary = dictionary(samples, ORDINARY_BYTES)
         self.toxic = dictionary(runs, TOXIC_BYTES)
         self._distance = None
-        y = np.array([label for _, label in held], float)
         self.mean, self.scale, self.weights, self.shift = np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1), 0.0
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Weights and cut by the features and labels of rows that the dictionaries did not learn from."""
         if 0 < y.sum() < len(y):
-            x = np.array([self._features(text) for text, _ in held])
             self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-6)
             x = (x - self.mean) / self.scale
             self.weights = fit_rising(x, y)
@@ -220,13 +213,13 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "_distance": None}
 
-    def _features(self, text: str) -> list[float]:
+    def features(self, text: str) -> list[float]:
         if self._distance is None:
             self._distance = Distance(self.ordinary, self.toxic)
         return self._distance.features(text)
 
     def score(self, texts: list[str]) -> np.ndarray:
-        x = (np.array([self._features(t) for t in texts]).reshape(-1, FEATURES) - self.mean) / self.scale
+        x = (np.array([self.features(t) for t in texts]).reshape(-1, FEATURES) - self.mean) / self.scale
         logits = self.weights[0] + x @ self.weights[1:] + self.shift
         return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
 
@@ -235,10 +228,52 @@ def part_of(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(PARTS))
 
 
+def _sample(texts: DataFrame, cut: Callable[[str], list[bytes]]) -> list[bytes]:
+    """LEARN_WINDOWS of what ``cut`` finds in whole texts, those with the least hashes of text and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = cut(text)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key] * len(found), pa.int64()), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.binary())],
+                    ["key", "place", "window"],
+                )
+
+    found = texts.select("key", "text").mapInArrow(run, "key long, place long, window binary")
+    order = F.xxhash64(F.lit(5), "key", "place")
+    least = found.select(order.alias("o"), "window").orderBy("o", "window").limit(LEARN_WINDOWS)
+    return [bytes(r.window) for r in least.collect()]
+
+
+def _telling(texts: DataFrame) -> set[str]:
+    """The telling pieces of whole texts: tasks count them and only those that tell reach the driver."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = [p.encode("utf-8", "replace") for p in _pieces(text)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([toxic] * len(found), pa.int32())], ["piece", "toxic"])
+
+    sizes = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    n, m = sizes.get(1, 0), sizes.get(0, 0)
+    if not n or not m:
+        return set()
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([tells(k, j, n, m) for k, j in zip(batch["k"].to_pylist(), batch["j"].to_pylist(), strict=True)], pa.bool_()))
+
+    pieces = texts.select("text", "toxic").mapInArrow(cut, "piece binary, toxic int")
+    counts = pieces.groupBy("piece").agg(F.sum("toxic").alias("k"), F.sum(1 - F.col("toxic")).alias("j")).filter("k > 0")
+    return {bytes(r.piece).decode() for r in counts.mapInArrow(pick, "piece binary, k long, j long").collect()}
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Model:
     """A model from a bounded sample of labelled rows; the held-out part is never read.
 
-    The sample takes the rows whose ids have the least hashes; only it reaches the driver.
+    The sample takes the rows whose ids have the least hashes. Their whole texts are read in tasks; samples of their
+    windows, the telling pieces and the features of the calibration rows reach the driver.
     """
     known = labels.filter("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("part", part_of(F.col("l_id"))).filter(F.col("part") != HELD)
@@ -249,16 +284,26 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Mod
         .unionByName(fit.filter("toxic = 0").orderBy(order).limit(ORDINARY_ROWS))
         .unionByName(check.orderBy(order).limit(CALIBRATION_ROWS))
     )
-    text = F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, LEARN_CHARS).alias("text")
-    read = docs.select(F.col(id_col).cast("long").alias("d_id"), text)
-    # the sample's size is bounded by its three limits
-    got = read.join(F.broadcast(picked), F.col("d_id") == F.col("l_id")).select("d_id", "text", "toxic", "part").collect()
-    got = sorted(got, key=lambda r: (r.d_id, r.text))
-    return Model(
-        [r.text for r in got if r.part != CALIBRATE and r.toxic],
-        [r.text for r in got if r.part != CALIBRATE and not r.toxic],
-        [(r.text, int(r.toxic)) for r in got if r.part == CALIBRATE],
-    )
+    read = docs.select(F.col(id_col).cast("long").alias("d_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # the sample's rows are bounded by its three limits
+    got = read.join(F.broadcast(picked), F.col("d_id") == F.col("l_id"))
+    got = stored(got.select("text", (F.col("toxic") != 0).cast("int").alias("toxic"), "part", F.xxhash64("text").alias("key")))
+    # copies of a text say nothing more
+    texts = stored(got.filter(F.col("part") != CALIBRATE).drop("part").dropDuplicates(["toxic", "text"]))
+    pieces = _telling(texts)
+    samples = _sample(texts.filter("toxic = 0"), lambda text: [w[: -len(TAIL)] for w in windows(text)])
+    runs = _sample(texts.filter("toxic = 1"), lambda text: telling_runs([text], pieces)) if pieces else []
+    model = Model(samples, runs)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            x = [model.features(text) for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
+
+    check = got.filter(F.col("part") == CALIBRATE).select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int")
+    rows = sorted((list(r.x), r.toxic) for r in check.collect())
+    model.calibrate(np.array([x for x, _ in rows]).reshape(-1, FEATURES), np.array([label for _, label in rows], float))
+    return model
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

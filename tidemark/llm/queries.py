@@ -4,8 +4,23 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidemark.llm import jaccard, mixing, packing, pseudo_lm, recipes, repeats, sharding, toxicity, warc, winnow
+from tidemark.llm import (
+    jaccard,
+    merkle,
+    mixing,
+    packing,
+    pseudo_lm,
+    recipes,
+    repeats,
+    sharding,
+    toxicity,
+    url_filter,
+    variants,
+    warc,
+    winnow,
+)
 from tidemark.llm.common import table
+from tidemark.llm.url_labels import labelled_urls
 from tidemark.session import ship_package
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -107,3 +122,29 @@ select page_id, payload_bytes::bigint as payload_bytes,
        case when page_id <> last then last end as refers_to
 from d
 """
+
+
+#: (action, host, path)
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+@register
+def op11_url_filter(spark, folder):
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    return url_filter.judge_urls(table(spark, folder, "pages"), rules, labelled_urls(spark))
+
+
+@register
+def op12_spelling_variants(spark, folder):
+    return variants.group_variants(table(spark, folder, "documents"))
+
+
+@register
+def op13_merkle_manifest(spark, folder):
+    return merkle.prove_rows(table(spark, folder, "documents"))

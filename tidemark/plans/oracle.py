@@ -831,3 +831,7 @@ padded AS (SELECT l.table_id, l.row_no, '| ' || l.line || repeat(' | ', CAST(t.w
   row_number() OVER (PARTITION BY l.table_id ORDER BY row_no) AS k FROM lines l JOIN tables t USING (table_id))
 SELECT table_id, max(line) FILTER (WHERE k = 1) || chr(10) || '| ---' || repeat(' | ---', CAST(max(width) AS INT) - 1) || ' |'
   || coalesce(chr(10) || string_agg(line, chr(10) ORDER BY k) FILTER (WHERE k > 1), '') AS markdown FROM padded GROUP BY table_id"""
+
+# the same results by other ways
+ORACLE["vector_blocks"] = ORACLE["vector_topk"]
+ORACLE["lexical_postings"] = ORACLE["lexical_search"]

@@ -23,13 +23,13 @@ from tidemark.operators import embed as E
 from tidemark.operators import html as H
 from tidemark.operators import layout as LY
 from tidemark.operators import library as LB
-from tidemark.operators import nearest as N
 from tidemark.operators import progress as PR
 from tidemark.operators import report as P
 from tidemark.operators import retrieve as V
 from tidemark.operators import rules as R
 from tidemark.operators import trends as TR
 from tidemark.operators.keyed import last_per_key, rows_of, top_k
+from tidemark.operators.pruned import best_vectors
 from tidemark.plans import inputs as I
 from tidemark.session import cut_lineage, ship_package
 from tidemark.sources.readers import event_texts as decode_events
@@ -205,25 +205,18 @@ def hash_embedding(spark, folder):
     return rows.select("doc_id", "idx", F.round("val", 6).alias("val"))
 
 
-@query
-def vector_topk(spark, folder):
-    """Nearest vectors in each category group, of every vector whose id is divisible by 100, among all vectors."""
+def _near_vectors(spark: SparkSession, folder: str, **how: int) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select(
         F.col("vec_id").cast("string").alias("chunk_id"),
-        F.expr(I.pick("label", [c for c, _ in fixed.CATEGORY_GROUPS])).alias("category"),
+        F.expr(I.pick("label", [c for c, _ in fixed.CATEGORY_GROUPS])).alias("cell"),
         F.col("embedding").cast("array<double>").alias("vector"),
     )
     asked = vectors.filter(F.col("chunk_id").cast("bigint") % 100 == 0)
     asked = asked.select(F.col("chunk_id").alias("request_id"), "vector")
-    rows, size = N.measured(asked, F.size("vector") * 8 + F.lit(40))
     kinds = F.explode(F.array(*[F.lit(c) for c, _ in fixed.CATEGORY_GROUPS]))
-    pairs = asked.withColumn("category", kinds).withColumn("group", S.category_group("category"))
-    wanted = N.request_blocks(pairs, "category", ["request_id", "group", "vector"], rows)
-    found = N.scored_top_k(
-        wanted, N.pack_blocks(vectors, "category", ["chunk_id", "vector"]), "category", N.cosine, "group", 24,
-        size * len(fixed.CATEGORY_GROUPS) <= N.BROADCAST_BYTES, N.salts_for(vectors.count()),
-    )
-    return found.select(
+    pairs = asked.select("request_id", kinds.alias("cell"))
+    pairs = pairs.select("request_id", S.category_group("cell").alias("group"), "cell")
+    return best_vectors(vectors, pairs, asked, 24, **how).select(
         F.col("request_id").cast("bigint").alias("vec_id"),
         F.col("group").alias("category_group"),
         F.col("chunk_id").cast("bigint").alias("near_id"),
@@ -232,6 +225,18 @@ def vector_topk(spark, folder):
     )
 
 
+@query
+def vector_topk(spark, folder):
+    """Nearest vectors in each category group, of every vector whose id is divisible by 100, among all vectors."""
+    return _near_vectors(spark, folder)
+
+
+@query
+def vector_blocks(spark, folder):
+    """The same by blocks of like direction, most of which bounds can leave out."""
+    return _near_vectors(spark, folder, direct_pairs=0)
+
+
 def _retrieval(spark: SparkSession, folder: str) -> V.Retrieval:
     """The index is written once and read by every stage."""
     index = cut_lineage(E.with_vectors(_chunks(spark, folder), embedder=MD5))
@@ -267,6 +272,13 @@ def lexical_search(spark, folder):
     return V.lexical_search(_requests(spark, folder), docs)
 
 
+@query
+def lexical_postings(spark, folder):
+    """The same over an inverted index, whatever the size of the tables."""
+    docs = I.knowledge(spark, folder).withColumn("tokens", T.token_set("body"))
+    return V.lexical_search(_requests(spark, folder), docs, direct_pairs=0)
+
+
 def _cited(spark: SparkSession, folder: str) -> DataFrame:
     """Requests as scripts, with their evidence and rule issues."""
     r = _retrieval(spark, folder)

@@ -194,13 +194,6 @@ def test_a_cluster_without_shared_folder_is_refused():
         session.ensure_checkpoint_dir(spark)
 
 
-def test_large_rule_sets_stay_whole(spark):
-    from tidemark.operators import rules as RU
-
-    rules = [RU.Rule(i, "absolute", rf"\bword{i}\b", "t", "low", "r", "f", ()) for i in range(1, 10_002)]
-    assert len(RU.rules_from(RU.rules_table(spark, rules))) == 10_001
-
-
 def test_surplus_cells_stay_whole(spark):
     from tidemark.functions import script as X
 

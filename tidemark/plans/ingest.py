@@ -11,6 +11,7 @@ from tidemark.functions import meta as M
 from tidemark.functions import scope as S
 from tidemark.functions import text as T
 from tidemark.functions import workflow as W
+from tidemark.operators import automaton as A
 from tidemark.operators import chunk as K
 from tidemark.operators import corpus as C
 from tidemark.operators import crm
@@ -363,8 +364,7 @@ ORACLE["true_texts"] = f"SELECT doc_id, lower({strip('flag')}) IN ('1', 'true',
 @query
 def rule_hits(spark, folder):
     """Scripts hit by each rule of a rule set that was kept as a table."""
-    rules = R.rules_from(R.rules_table(spark))
-    rows = R.issue_rows(R.rule_issues(I.scripts(spark, folder), rules), "doc_id")
+    rows = R.issue_rows(A.rule_issues(I.scripts(spark, folder), R.rules_table(spark)), "doc_id")
     return rows.groupBy("rule_no").agg(F.count("*").alias("scripts"), F.min("doc_id").alias("first"))
 
 

@@ -1,8 +1,8 @@
-"""Page HTML to node rows, and the main content of pages by joins and windows over them.
+"""Page HTML to nodes, and the main content of pages by array functions over them.
 
-A small tag scan turns each page into rows numbered in document order; ``last_no`` is
-the last number inside an element, so "inside" is an interval test. Everything after
-the scan is relational and partitioned by page: one shuffle of node rows.
+A small tag scan turns each page into an array of nodes in document order; ``last_no`` is
+the last number inside an element, so "inside" is an interval test, and each node carries
+the running sums of what a subtree is measured by. A page stays one row: no node is shuffled.
 """
 
 from __future__ import annotations
@@ -10,16 +10,17 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.functions import text as T
+from tidemark.operators.keyed import rows_of
 
 NODE_TYPE = (
     "array<struct<node_no int, last_no int, parent_no int, block_no int, cell_no int, table_no int, tag string, attrs string, role string, "
     "testid string, classes string, aria_hidden boolean, link_depth int, filled boolean, text_len int, "
-    "link_len int, parent_last int, parent_len int, text string>>"
+    "link_len int, parent_last int, parent_len int, text string, sums array<int>>>"
 )
 
 # void elements, elements closed by a following sibling of the same kind, and block elements
@@ -30,6 +31,7 @@ _BLOCKS = {
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section",
     "table", "td", "th", "tr", "ul",
 }
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _DROPPED = set(fixed.DROPPED_TAGS)
 
 
@@ -145,181 +147,218 @@ def scan_nodes(html: str) -> list[dict]:
     scan.feed(html)
     scan.close()
     scan._pop_to(0)
-    for row in scan.rows[1:]:
-        parent = scan.rows[row["parent_no"]]
-        row["parent_last"], row["parent_len"] = parent["last_no"], parent["text_len"]
+    sums = [0] * 7
+    for row in scan.rows:
+        parent, tag = scan.rows[max(row["parent_no"], 0)], row["tag"]
+        if row["node_no"]:
+            row["parent_last"], row["parent_len"] = parent["last_no"], parent["text_len"]
+        piece = len(row["text"]) + 1 if tag == "#text" else 0
+        own = (piece, piece * row["link_depth"], tag == "a" and row["filled"], tag in _HEADINGS, tag == "p", tag == "li", tag == "table")
+        sums = row["sums"] = [a + b for a, b in zip(sums, own, strict=True)]
     return scan.rows
 
 
-def html_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row per element and text piece; the other page columns are kept."""
+def page_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Pages with their nodes as one array in document order; the other page columns are kept."""
     rest = [c for c in pages.columns if c != html]
 
     def nodes(texts: pd.Series) -> pd.Series:
         return pd.Series([scan_nodes(t or "") for t in texts])
 
-    return pages.select(*rest, F.inline(F.pandas_udf(nodes, NODE_TYPE)(F.col(html))))
+    return pages.select(*rest, F.pandas_udf(nodes, NODE_TYPE)(F.col(html)).alias("nodes"))
+
+
+def html_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
+    """One row per element and text piece; the other page columns are kept."""
+    scanned = page_nodes(pages, html)
+    return scanned.select(*[c for c in scanned.columns if c != "nodes"], F.inline("nodes"))
 
 
 def _keyword(attrs: Column) -> Column:
     return T.first_word_of(attrs, fixed.NOISE_ATTR_KEYWORDS)
 
 
-def link_density(text_len: str = "text_len", link_len: str = "link_len") -> Column:
+def _is_text(n: Column) -> Column:
+    return n["tag"] == "#text"
+
+
+def _is_heading(tag: Column) -> Column:
+    return tag.rlike("^h[1-6]$")
+
+
+def link_density(n: Column) -> Column:
     """Share of link text in the text of an element; an element without text counts as all links."""
-    t, n = F.col(text_len), F.col(link_len)
-    return F.when(t == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), n / F.greatest(F.lit(1), t)))
+    return F.when(n["text_len"] == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), n["link_len"] / F.greatest(F.lit(1), n["text_len"])))
 
 
-def subtree_totals(nodes: DataFrame) -> DataFrame:
-    """Recounts text and link length of each element and adds counts of the tags a score uses.
+def is_noise(n: Column) -> Column:
+    """First pass: boilerplate by attribute words, short or link-heavy, and hidden elements."""
+    worded = (n["attrs"] != "") & _keyword(n["attrs"])
+    weak = n["tag"].isin(*fixed.BOILERPLATE_TAGS) | (n["text_len"] < 1600) | (link_density(n) > 0.45)
+    return ~_is_text(n) & ((worded & weak) | n["aria_hidden"])
 
-    A running sum in document order, read at the open and the close of an element,
-    gives the totals of its subtree. Elements therefore have two rows on the way; text
-    pieces pass through. Window and grouping both stay inside the page partitions.
-    """
-    is_text = F.col("tag") == "#text"
-    piece = F.when(is_text, F.length("text") + 1).otherwise(0)
-    opens = nodes.withColumns({"edges": F.when(is_text, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))})
-    events = opens.withColumn("closes", F.explode("edges")).drop("edges")
-    events = events.withColumns(
-        {"at": F.when(F.col("closes"), F.col("last_no")).otherwise(F.col("node_no")), "piece": F.when(F.col("closes"), 0).otherwise(piece)}
-    )
 
-    def of(cond: Column) -> Column:
-        return (cond & ~F.col("closes")).cast("int")
-
-    amounts = {
-        "text": F.col("piece"),
-        "link": F.col("piece") * F.col("link_depth"),
-        "links": of((F.col("tag") == "a") & F.col("filled")),
-        "heading": of(F.col("tag").rlike("^h[1-6]$")),
-        "p": of(F.col("tag") == "p"),
-        "li": of(F.col("tag") == "li"),
-        "table": of(F.col("tag") == "table"),
-    }
-    w = Window.partitionBy("page_id").orderBy("at", "closes").rowsBetween(Window.unboundedPreceding, 0)
-    summed = events.withColumns({f"c_{k}": F.sum(v).over(w) for k, v in amounts.items()})
-    keep = [c for c in nodes.columns if c not in ("page_id", "node_no", "text_len", "link_len")]
-    keep = [c for c in keep if not c.startswith("n_")]
-    totals = summed.groupBy("page_id", "node_no").agg(
-        *[F.first(c).alias(c) for c in keep],
-        *[(F.max(f"c_{k}") - F.min(f"c_{k}")).cast("int").alias(f"n_{k}") for k in amounts],
+def is_section_noise(n: Column) -> Column:
+    """Second pass, inside the content root."""
+    worded = (n["attrs"] != "") & _keyword(n["attrs"])
+    weak = (link_density(n) > 0.35) | (n["text_len"] < 1200)
+    return ~_is_text(n) & (n["tag"].isin(*fixed.BOILERPLATE_TAGS) | (worded & weak))
+
+
+def content_score(n: Column) -> Column:
+    score = (
+        n["text_len"]
+        + n["n_heading"] * 550
+        + n["n_p"] * 100
+        + n["n_li"] * 40
+        + n["n_table"] * 260
+        - link_density(n) * 2200
+        + F.when(n["tag"].isin("article", "main"), 1500).otherwise(0)
+        + F.when(T.first_word_of(n["attrs"], fixed.CONTENT_ATTR_KEYWORDS), 800).otherwise(0)
+        - F.when(_keyword(n["attrs"]), 2400).otherwise(0)
     )
-    # text below k open links was counted k times; links above the element or the element itself do not count
-    below = F.col("n_link") - F.col("n_text") * (F.col("link_depth") + (F.col("tag") == "a").cast("int"))
-    own = F.when(is_text, F.length("text")).otherwise(F.greatest(F.col("n_text") - 1, F.lit(0)))
-    return totals.withColumns(
-        {"text_len": own, "link_len": F.greatest(below - F.col("n_links"), F.lit(0))}
-    ).drop("n_text", "n_link", "n_links")
+    return F.when(n["text_len"] < 300, F.lit(-1.0)).otherwise(score.cast("double"))
 
 
-def drop_inside(nodes: DataFrame, noisy: Column) -> DataFrame:
-    """Nodes outside the subtrees of the elements marked as noise.
+def outermost(df: DataFrame, noisy: Column, name: str) -> DataFrame:
+    """Adds ``name``: the intervals (node_no, last_no) of the marked elements that lie in no other, in order.
 
-    Intervals nest, so a node is inside one exactly when the furthest end among the noisy
-    elements that opened before it has not been passed.
+    Intervals nest, so one that opens before the end of an earlier one lies inside it. The furthest end so far is a
+    running maximum over the marked elements only.
     """
-    w = Window.partitionBy("page_id").orderBy("node_no").rowsBetween(Window.unboundedPreceding, 0)
-    until = F.when((F.col("tag") != "#text") & noisy, F.col("last_no")).otherwise(F.lit(-1))
-    return nodes.withColumn("_reach", F.max(until).over(w)).filter(F.col("_reach") < F.col("node_no")).drop("_reach")
+    marked = F.transform(noisy, lambda n: F.struct(n["node_no"].alias("first"), n["last_no"].alias("last")))
+    none = F.array().cast("array<struct<first:int,last:int>>")
 
+    def add(state: Column, x: Column) -> Column:
+        return F.when(x["first"] > F.coalesce(F.try_element_at(state, F.lit(-1))["last"], F.lit(-1)), F.concat(state, F.array(x))).otherwise(state)
 
-def is_noise() -> Column:
-    """First pass: boilerplate by attribute words, short or link-heavy, and hidden elements."""
-    tag, attrs = F.col("tag"), F.col("attrs")
-    worded = (attrs != "") & _keyword(attrs)
-    weak = tag.isin(*fixed.BOILERPLATE_TAGS) | (F.col("text_len") < 1600) | (link_density() > 0.45)
-    return (worded & weak) | F.col("aria_hidden")
+    return df.withColumn(name, F.aggregate(marked, none, add))
 
 
-def is_section_noise() -> Column:
-    """Second pass, inside the content root."""
-    tag, attrs = F.col("tag"), F.col("attrs")
-    worded = (attrs != "") & _keyword(attrs)
-    return tag.isin(*fixed.BOILERPLATE_TAGS) | (worded & ((link_density() > 0.35) | (F.col("text_len") < 1200)))
+def once(name: str) -> Column:
+    """An array column for use inside a lambda.
 
+    An expression that is named once may be moved into the lambda and worked out per element; one that is named
+    twice stays a column of its own.
+    """
+    return F.when(F.size(name) >= 0, F.col(name))
+
+
+#: Counts that a subtree is measured by: text, link text, links, headings, paragraphs, list items, tables.
+SUMS = 7
 
-def content_score() -> Column:
-    attrs = F.col("attrs")
-    score = (
-        F.col("text_len")
-        + F.col("n_heading") * 550
-        + F.col("n_p") * 100
-        + F.col("n_li") * 40
-        + F.col("n_table") * 260
-        - link_density() * 2200
-        + F.when(F.col("tag").isin("article", "main"), 1500).otherwise(0)
-        + F.when(T.first_word_of(attrs, fixed.CONTENT_ATTR_KEYWORDS), 800).otherwise(0)
-        - F.when(_keyword(attrs), 2400).otherwise(0)
-    )
-    return F.when(F.col("text_len") < 300, F.lit(-1.0)).otherwise(score.cast("double"))
 
+def _minus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
 
-def with_root(totals: DataFrame) -> DataFrame:
-    """Adds ``root``, the element that holds the main content of the page, to every node.
+
+def without_noise(pages: DataFrame) -> DataFrame:
+    """Takes the noise of the first pass out of ``nodes`` and measures what is left of every element.
+
+    Each node knows the sums of all nodes up to itself. The stretches between noise elements are slices of the array;
+    in a slice the sums lose what the noise before it held, and inside noise they stand still. The totals of a
+    subtree are then the difference of the sums at its end and at its start, without a look at the nodes between.
+    """
+    cut = outermost(pages, F.filter("nodes", is_noise), "_noise")
+    held = F.transform("_noise", lambda x: _minus(F.get("nodes", x["last"])["sums"], F.get("nodes", x["first"] - 1)["sums"]))
+    cut = cut.withColumn("_held", held)
+    zero = F.array(*[F.lit(0)] * SUMS)
+    more = F.array_append("_noise", F.struct(F.size("nodes").alias("first"), F.size("nodes").alias("last")))
+    cut = cut.withColumn("_ends", more)
+
+    def stretch(x: Column, i: Column) -> Column:
+        start = F.when(i > 0, F.get("_ends", i - 1)["last"] + 1).otherwise(F.lit(0))
+        gone = F.aggregate(F.slice(once("_held"), F.lit(1), i), zero, lambda s, h: F.zip_with(s, h, lambda a, b: a + b))
+        return F.struct(start.alias("start"), (x["first"] - start).alias("size"), (F.least(x["last"] + 1, F.size("nodes")) - x["first"]).alias("noise"), gone.alias("gone"))
+
+    cut = cut.withColumn("_stretches", F.transform("_ends", stretch))
+
+    def sums(s: Column) -> Column:
+        own = F.transform(F.slice("nodes", s["start"] + 1, s["size"]), lambda n: _minus(n["sums"], s["gone"]))
+        still = F.array_repeat(_minus(F.get("nodes", F.greatest(s["start"] + s["size"] - 1, F.lit(0)))["sums"], s["gone"]), s["noise"])
+        return F.concat(own, still)
+
+    cut = cut.withColumn("_sums", F.flatten(F.transform("_stretches", sums)))
+    kept = F.flatten(F.transform("_stretches", lambda s: F.slice("nodes", s["start"] + 1, s["size"])))
+    cut = cut.withColumn("_kept", kept)
+    within = F.transform("_kept", lambda n: F.struct(n.alias("n"), _minus(F.get("_sums", n["last_no"]), F.get("_sums", n["node_no"])).alias("d")))
+    cut = cut.withColumn("_within", within)
+    fields = ["node_no", "last_no", "parent_no", "block_no", "cell_no", "table_no", "tag", "attrs", "role", "testid", "classes", "parent_last", "parent_len", "text"]
+
+    def measured(x: Column) -> Column:
+        n, d = x["n"], x["d"]
+        # text below k open links was counted k times; links above the element or the element itself do not count
+        below = d[1] - d[0] * (n["link_depth"] + (n["tag"] == "a").cast("int"))
+        own = F.when(_is_text(n), F.length(n["text"])).otherwise(F.greatest(d[0] - 1, F.lit(0)))
+        return F.struct(
+            *[n[f].alias(f) for f in fields],
+            own.alias("text_len"),
+            F.greatest(below - d[2], F.lit(0)).alias("link_len"),
+            *[d[i].alias(f"n_{k}") for i, k in enumerate(("heading", "p", "li", "table"), 3)],
+        )
+
+    spent = ["_noise", "_held", "_ends", "_stretches", "_sums", "_kept", "_within"]
+    done = cut.withColumn("nodes", F.transform("_within", measured)).drop(*spent)
+    scored = F.transform("nodes", lambda n: n.withField("score", F.when(~_is_text(n), content_score(n))))
+    return done.withColumn("nodes", scored)
+
+
+def with_root(pages: DataFrame) -> DataFrame:
+    """Adds ``root``, the element that holds the main content of the page.
 
     Known readme containers with enough text come first, by selector; otherwise the
     highest score wins, and the earlier candidate on a tie; a page without a candidate
     falls back to its body, or to the document.
     """
-    tag, role = F.col("tag"), F.col("role")
 
-    def has_class(name: str) -> Column:
-        return F.array_contains(F.split("classes", " "), name)
+    def has_class(n: Column, name: str) -> Column:
+        return F.array_contains(F.split(n["classes"], " "), name)
+
+    def is_readme(n: Column) -> Column:
+        return (n["testid"] == "readme") & (n["tag"] == "div")
+
+    rows = pages.withColumn("_readmes", F.filter("nodes", is_readme))
+
+    def in_readme(n: Column) -> Column:
+        return F.exists(once("_readmes"), lambda r: (r["node_no"] < n["node_no"]) & (n["node_no"] <= r["last_no"]))
 
-    # nested intervals again: the furthest end of a readme container opened before the node
-    before = Window.partitionBy("page_id").orderBy("node_no").rowsBetween(Window.unboundedPreceding, -1)
-    readme = (F.col("testid") == "readme") & (tag == "div")
-    rows = totals.withColumn("_readme", F.max(F.when(readme, F.col("last_no"))).over(before))
     selectors = [
-        (tag == "article") & has_class("markdown-body"),
-        (tag == "article") & F.coalesce(F.col("_readme") >= F.col("node_no"), F.lit(False)),
-        readme,
-        (tag == "div") & has_class("markdown-body"),
-        (tag == "article") & (F.col("testid") == "readme"),
+        lambda n: (n["tag"] == "article") & has_class(n, "markdown-body"),
+        lambda n: (n["tag"] == "article") & in_readme(n),
+        is_readme,
+        lambda n: (n["tag"] == "div") & has_class(n, "markdown-body"),
+        lambda n: (n["tag"] == "article") & (n["testid"] == "readme"),
     ]
-    page = Window.partitionBy("page_id")
+
+    def root(n: Column) -> Column:
+        return F.struct(*[n[f].alias(f) for f in ("node_no", "last_no", "tag", "score")])
+
+    rows = rows.withColumns({f"_s{i}": F.get(F.filter("nodes", s), F.lit(0)) for i, s in enumerate(selectors)})
     # only the first element of a selector is looked at
-    chosen = F.lit(9)
-    for i, hit in reversed(list(enumerate(selectors, 1))):
-        first = F.min(F.when(hit, F.col("node_no"))).over(page) == F.col("node_no")
-        chosen = F.when(F.coalesce(first, F.lit(False)) & (F.col("text_len") > 400), i).otherwise(chosen)
-    order = (
-        F.when(tag == "article", 1).when(tag == "main", 2).when(role == "main", 3).when(tag.isin("section", "div", "body"), 4)
-    )
-    score = F.when(tag != "#text", content_score())
-    rows = rows.withColumns({"score": score, "_chosen": chosen, "_order": order})
-
-    def place(choice: Column, points: Column, turn: Column) -> Column:
-        return F.struct(choice.alias("choice"), points.cast("double").alias("points"), turn.cast("int").alias("turn"))
-
-    zero = F.lit(0)
-    able = F.col("_order").isNotNull() & (F.col("score") > -1.0)
-    rank = (
-        F.when(F.col("_chosen") < 9, place(F.col("_chosen"), zero, zero))
-        .when(able, place(F.lit(9), -F.col("score"), F.col("_order")))
-        .when(tag == "body", place(F.lit(10), zero, zero))
-        .when(tag == "#document", place(F.lit(11), zero, zero))
-    )
-    ranked = F.when(rank.isNotNull(), F.struct(rank.alias("rank"), "node_no", "last_no", "tag", "score"))
-    return rows.withColumn("root", F.min(ranked).over(page)).drop("_readme", "_chosen", "_order")
+    chosen = [F.when(F.col(f"_s{i}.text_len") > 400, root(F.col(f"_s{i}"))) for i in range(len(selectors))]
 
+    def order(n: Column) -> Column:
+        tag = n["tag"]
+        return F.when(tag == "article", 1).when(tag == "main", 2).when(n["role"] == "main", 3).when(tag.isin("section", "div", "body"), 4)
 
-def content_nodes(pages: DataFrame) -> DataFrame:
-    """Nodes of pages (page_id, html) after the first noise pass, with score and root.
+    able = F.filter("nodes", lambda n: order(n).isNotNull() & (n["score"] > -1.0))
+    best = F.array_min(F.transform(able, lambda n: F.struct((-n["score"]).alias("down"), order(n).alias("turn"), n["node_no"].alias("no"), root(n).alias("root"))))["root"]
 
-    The pages are scanned once and the node rows shuffled once, by page; every later
-    window and grouping works on that partitioning.
-    """
-    nodes = html_nodes(pages.select("page_id", "html")).repartition("page_id")
-    return with_root(subtree_totals(drop_inside(nodes, is_noise())))
+    def first_of(tag: str) -> Column:
+        return F.get(F.filter("nodes", lambda n: n["tag"] == tag), F.lit(0))
 
+    rows = rows.withColumns({"_best": best, "_body": first_of("body"), "_document": first_of("#document")})
+    rest = [F.when(F.col(c).isNotNull(), root(F.col(c))) for c in ("_body", "_document")]
+    found = rows.withColumn("root", F.coalesce(*chosen, F.col("_best"), *rest))
+    return found.drop("_readmes", "_best", "_body", "_document", *[f"_s{i}" for i in range(len(selectors))])
 
-def block_pieces() -> Column:
-    """Texts of a block: the pieces whose nearest block element it is, in order; a table cell itself is an empty one."""
-    text = F.when(F.col("inside"), F.col("text")).when(F.col("is_cell"), F.lit(""))
-    return F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("node_no", "cell_no", text.alias("text")))))
+
+def content_nodes(pages: DataFrame) -> DataFrame:
+    """Pages (page_id, html) as page_id, ``nodes`` after the first noise pass, with scores, and ``root``.
+
+    A page stays one row: it is scanned once, and everything after the scan is array work inside the row.
+    """
+    return with_root(without_noise(page_nodes(pages.select("page_id", "html"))))
 
 
 def _joined(pieces: Column) -> Column:
@@ -332,64 +371,98 @@ def row_cells(pieces: Column) -> Column:
     return F.transform(cells, lambda c: F.replace(_joined(F.filter(pieces, lambda x: x["cell_no"] == c)), F.lit("|"), F.lit("\\|")))
 
 
-def content_lines(nodes: DataFrame) -> DataFrame:
-    """Blocks of the content as markdown lines: headings and list items marked, table rows with bars.
+def content_blocks(pages: DataFrame) -> DataFrame:
+    """Adds ``_blocks``, the blocks of the content: the block element and, in order, the pieces that belong to it.
 
-    A page keeps its row with line number 0 even where no line is left. Headings with
-    a boilerplate title go, together with a short parent below the root.
+    Nodes sorted by (block, place) put a block's element and pieces next to each other; where the block changes, a
+    slice begins. A table cell is an empty piece of its row.
     """
-    in_root = (F.col("node_no") > F.col("root.node_no")) & (F.col("node_no") <= F.col("root.last_no"))
-    kept = drop_inside(nodes, in_root & is_section_noise())
-    kept = kept.withColumns({"inside": in_root & (F.col("tag") == "#text"), "is_cell": in_root & F.col("tag").isin("td", "th")})
-    block = F.when(
-        F.col("node_no") == F.col("block_no"), F.struct("tag", "last_no", "parent_no", "parent_last", "parent_len", "text_len", "n_heading", "table_no")
-    )
-    lines = kept.groupBy("page_id", "block_no").agg(
-        F.first("root").alias("root"),
-        F.coalesce(F.min(F.when(F.col("inside"), F.col("node_no"))), F.lit(0)).alias("line_no"),
-        F.max(block).alias("b"),
-        block_pieces().alias("pieces"),
-    ).withColumn("text", _joined(F.col("pieces")))
-    heading = F.coalesce(F.col("b.tag").rlike("^h[1-6]$"), F.lit(False))
-    bad = heading & F.lower("text").isin(*fixed.NOISE_HEADINGS)
-    # lengths of the blocks around headings as they are after the first noise pass
-    around = F.when(~heading & (F.col("b.n_heading") > 0), F.struct("block_no", F.col("b.text_len").alias("len")))
-    lines = lines.withColumn("_lens", F.map_from_entries(F.collect_list(around).over(Window.partitionBy("page_id"))))
-    parent_len = F.coalesce(F.try_element_at("_lens", F.col("b.parent_no")), F.col("b.parent_len"))
-    with_parent = (F.col("b.parent_no") != F.col("root.node_no")) & (parent_len < 1800)
-    span = F.struct(
-        F.when(with_parent, F.col("b.parent_no")).otherwise(F.col("block_no")).alias("first"),
-        F.when(with_parent, F.col("b.parent_last")).otherwise(F.col("b.last_no")).alias("last"),
-    )
-    lines = lines.withColumn("_cut", F.collect_list(F.when(bad, span)).over(Window.partitionBy("page_id")))
-    cut = F.exists("_cut", lambda c: F.col("line_no").between(c["first"], c["last"]))
-    marks = F.concat(F.repeat(F.lit("#"), F.substring("b.tag", 2, 1).cast("int")), F.lit(" "))
-    mark = F.when(heading, marks).when(F.col("b.tag") == "li", F.lit("- ")).otherwise(F.lit(""))
-    is_row = F.coalesce((F.col("b.tag") == "tr") & (F.col("line_no") > 0), F.lit(False))
-    first = F.min(F.when(is_row, F.col("line_no"))).over(Window.partitionBy("page_id", "b.table_no")) == F.col("line_no")
-    cells = row_cells(F.col("pieces"))
-    rule = F.concat(F.lit("\n| "), F.array_join(F.transform(cells, lambda _: F.lit("---")), " | "), F.lit(" |"))
-    bars = F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"), F.when(first, rule).otherwise(F.lit("")))
-    follows = F.when(is_row, F.concat(F.lit("table "), F.col("b.table_no"))).when(F.col("b.tag") == "li", F.lit("list"))
-    return lines.select(
-        "page_id",
-        "root",
-        F.when(cut, F.lit(0)).otherwise(F.col("line_no")).alias("line_no"),
-        F.coalesce(follows, F.lit("")).alias("follows"),
-        F.when(is_row, bars).otherwise(F.concat(mark, F.col("text"))).alias("line"),
-    )
+
+    def in_root(n: Column) -> Column:
+        return (n["node_no"] > F.col("root.node_no")) & (n["node_no"] <= F.col("root.last_no"))
+
+    rows = outermost(pages, F.filter("nodes", lambda n: in_root(n) & is_section_noise(n)), "_gone")
+    clear = F.filter("nodes", lambda n: ~F.exists(once("_gone"), lambda g: n["node_no"].between(g["first"], g["last"])))
+    # text outside the root has no line; the block elements themselves stay
+    wanted = F.filter(clear, lambda n: in_root(n) & (_is_text(n) | n["tag"].isin("td", "th")) | (n["node_no"] == n["block_no"]))
+    rows = rows.withColumn("_wanted", F.array_sort(F.transform(wanted, lambda n: F.struct(n["block_no"].alias("block"), n["node_no"].alias("no"), n.alias("n")))))
+    changes = F.filter(F.sequence(F.lit(0), F.size("_wanted") - 1), lambda i: (i == 0) | (F.get("_wanted", i)["block"] != F.get("_wanted", F.greatest(i - 1, F.lit(0)))["block"]))
+    rows = rows.withColumn("_starts", F.when(F.size("_wanted") > 0, changes).otherwise(F.array().cast("array<int>")))
+
+    def block(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("_starts", k + 1), F.size("_wanted"))
+        own = F.transform(F.slice("_wanted", start + 1, end - start), lambda x: x["n"])
+        element = F.get("_wanted", start)
+        return F.struct(F.when(element["no"] == element["block"], element["n"]).alias("b"), own.alias("own"))
+
+    rows = rows.withColumn("_raw", F.transform("_starts", block))
+
+    def shaped(x: Column) -> Column:
+        pieces = F.filter(x["own"], lambda n: in_root(n) & (_is_text(n) | n["tag"].isin("td", "th")))
+        slim = F.transform(pieces, lambda n: F.struct(n["cell_no"].alias("cell_no"), F.when(_is_text(n), n["text"]).otherwise(F.lit("")).alias("text")))
+        line = F.coalesce(F.get(F.filter(x["own"], lambda n: in_root(n) & _is_text(n)), F.lit(0))["node_no"], F.lit(0))
+        return F.struct(x["b"].alias("b"), line.alias("line_no"), slim.alias("pieces"), _joined(slim).alias("text"))
+
+    blocks = F.filter(F.transform("_raw", shaped), lambda x: (x["line_no"] > 0) | x["b"].isNotNull())
+    return rows.withColumn("_blocks", blocks).drop("_gone", "_wanted", "_starts", "_raw", "nodes")
 
 
 def page_markdown(pages: DataFrame) -> DataFrame:
-    """Main content of each page as a markdown body; a page without content has an empty one."""
-    lines = content_lines(content_nodes(pages))
-    row = F.struct("line_no", "follows", "line")
-    packed = lines.groupBy("page_id").agg(
-        F.first("root").alias("root"), F.array_sort(F.collect_list(F.when(F.col("line_no") > 0, row))).alias("l")
+    """Main content of each page as a markdown body; a page without content has an empty one.
+
+    Headings and list items are marked, table rows get bars. Headings with a boilerplate title go, together with a
+    short parent below the root.
+    """
+    rows = content_blocks(content_nodes(pages))
+
+    def is_head(x: Column) -> Column:
+        return F.coalesce(_is_heading(x["b"]["tag"]), F.lit(False))
+
+    bad = F.filter("_blocks", lambda x: (x["line_no"] > 0) & is_head(x) & F.lower(x["text"]).isin(*fixed.NOISE_HEADINGS))
+    rows = rows.withColumn("_bad", bad)
+
+    def span(x: Column) -> Column:
+        b = x["b"]
+        # the parent's length after the first noise pass, where it is a block around headings
+        around = F.filter("_blocks", lambda y: (y["b"]["node_no"] == b["parent_no"]) & ~is_head(y) & (y["b"]["n_heading"] > 0))
+        length = F.coalesce(F.get(around, F.lit(0))["b"]["text_len"], b["parent_len"])
+        up = (b["parent_no"] != F.col("root.node_no")) & (length < 1800)
+        return F.struct(
+            F.when(up, b["parent_no"]).otherwise(b["node_no"]).alias("first"), F.when(up, b["parent_last"]).otherwise(b["last_no"]).alias("last")
+        )
+
+    def is_row(x: Column) -> Column:
+        return F.coalesce(x["b"]["tag"] == "tr", F.lit(False))
+
+    lined = F.filter("_blocks", lambda x: x["line_no"] > 0)
+    rows = rows.withColumns({"_cut": F.transform("_bad", span), "_lined": lined})
+    of_tables = F.array_sort(
+        F.transform(F.filter("_lined", is_row), lambda x: F.struct(x["b"]["table_no"].alias("table_no"), x["line_no"].alias("line_no")))
     )
+    rows = rows.withColumn("_rows", of_tables)
+    heads = F.filter("_rows", lambda r, i: (i == 0) | (F.get("_rows", F.greatest(i - 1, F.lit(0)))["table_no"] != r["table_no"]))
+    rows = rows.withColumn("_heads", F.transform(heads, lambda r: r["line_no"]))
+
+    def line(x: Column) -> Column:
+        tag = x["b"]["tag"]
+        mark = F.when(is_head(x), F.concat(F.repeat(F.lit("#"), F.substring(tag, 2, 1).cast("int")), F.lit(" ")))
+        mark = F.coalesce(mark.when(tag == "li", F.lit("- ")), F.lit(""))
+        cells = row_cells(x["pieces"])
+        rule = F.concat(F.lit("\n| "), F.array_join(F.transform(cells, lambda _: F.lit("---")), " | "), F.lit(" |"))
+        first = F.array_contains(once("_heads"), x["line_no"])
+        bars = F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"), F.when(first, rule).otherwise(F.lit("")))
+        follows = F.when(is_row(x), F.concat(F.lit("table "), x["b"]["table_no"])).when(tag == "li", F.lit("list"))
+        return F.struct(
+            x["line_no"].alias("line_no"),
+            F.coalesce(follows, F.lit("")).alias("follows"),
+            F.when(is_row(x), bars).otherwise(F.concat(mark, x["text"])).alias("line"),
+        )
+
+    kept = F.filter("_lined", lambda x: ~F.exists(once("_cut"), lambda c: x["line_no"].between(c["first"], c["last"])))
+    rows = rows.withColumn("_lines", F.array_sort(F.transform(kept, line)))
     # list items and rows of a table follow each other, other blocks are set apart by an empty line
     spaced = F.transform(
-        T.with_previous(F.col("l")),
+        T.with_previous(F.col("_lines")),
         lambda p: F.concat(
             F.when(p["before"].isNull(), F.lit(""))
             .when((p["now"]["follows"] != "") & (p["before"]["follows"] == p["now"]["follows"]), F.lit("\n"))
@@ -397,7 +470,7 @@ def page_markdown(pages: DataFrame) -> DataFrame:
             p["now"]["line"],
         ),
     )
-    return packed.select(
+    return rows.select(
         "page_id",
         F.col("root.tag").alias("root_tag"),
         F.coalesce(F.col("root.score"), F.lit(-1.0)).alias("root_score"),
@@ -407,10 +480,16 @@ def page_markdown(pages: DataFrame) -> DataFrame:
 
 def link_densities(pages: DataFrame) -> DataFrame:
     """Text length, link density and score of the content candidates of each page."""
-    candidate = F.col("tag").isin("article", "main", "section", "div", "body") | (F.col("role") == "main")
-    return content_nodes(pages).filter(candidate).select(
-        "page_id", "node_no", "tag", "text_len", F.round(link_density(), 4).alias("link_density"), F.round("score", 3).alias("score")
-    )
+    rows = content_nodes(pages)
+    shown = F.filter("nodes", lambda n: n["tag"].isin("article", "main", "section", "div", "body") | (n["role"] == "main"))
+    shape = F.transform(
+        shown,
+        lambda n: F.struct(
+            n["node_no"].alias("node_no"), n["tag"].alias("tag"), n["text_len"].alias("text_len"),
+            F.round(link_density(n), 4).alias("link_density"), F.round(n["score"], 3).alias("score"),
+        ),
+    )
+    return rows_of(rows, ["page_id"], shape, "_at", "n").select("page_id", "n.*")
 
 
 HEAD_TYPE = "struct<html_title string, meta_description string, canonical_url string>"

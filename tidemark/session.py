@@ -28,6 +28,8 @@ def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # plans here are made of thousands of expressions; noting the caller of each takes longer than planning them
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # the files of a checkpoint go when nothing refers to it any more
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )

@@ -121,21 +121,42 @@ def one_by_one(uploads, taken):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(5))
 def test_ids_as_one_by_one(spark, seed):
     rnd = random.Random(seed)
-    bases = ["a", "b", "c", "b_1", "d"]
+    bases = ["a", "b", "c", "b_1", "d"] if seed < 2 else ["a", "a_1", "a_2", "a_1_1", "a_1_1_2", "a_3", "_1", "x_0", "x", "a_1_1_2_1", "a_" + "9" * 20]
     ids = {rnd.choice(bases) + rnd.choice(["", "_1", "_2", "_3", "_10"]) for _ in range(12)}
     taken = []
     for i in sorted(ids):
         md = rnd.random() < 0.4
         taken.append((i, rnd.choice([[], [".html"], [".pdf"], [".html", ".pdf"]]), md, md))
-    uploads = [(n, rnd.choice(bases), rnd.choice([".html", ".pdf", ".md", ".txt"])) for n in range(25)]
+    uploads = [(n, rnd.choice(bases), rnd.choice([".html", ".pdf", ".md", ".txt"])) for n in range(25 if seed < 2 else 60)]
     t = spark.createDataFrame([(*r, True) for r in taken], "id string, raw_suffixes array<string>, has_md boolean, has_json boolean, in_catalog boolean")
     u = spark.createDataFrame(uploads, "upload_no int, base string, suffix string")
     assert {r.upload_no: r.source_id for r in L.allocate_ids(u, t).collect()} == one_by_one(uploads, taken)
 
 
+def test_ids_of_a_long_row_of_names(spark):
+    """A base and its numbered names, all uploaded: settled in two steps, however many there are."""
+    rnd = random.Random(11)
+    names = ["scan", "scan", "scan", *[f"scan_{i}" for i in range(1, 400)]]
+    rnd.shuffle(names)
+    uploads = [(n, b, rnd.choice([".html", ".pdf", ".md"])) for n, b in enumerate(names)]
+    t = spark.createDataFrame([], "id string, raw_suffixes array<string>, has_md boolean, has_json boolean, in_catalog boolean")
+    u = spark.createDataFrame(uploads, "upload_no int, base string, suffix string")
+    assert {r.upload_no: r.source_id for r in L.allocate_ids(u, t).collect()} == one_by_one(uploads, [])
+
+
+def test_registered_ids_as_one_by_one(spark):
+    from tidemark.plans.queries import QUERIES, upload_inputs
+
+    uploads, taken = upload_inputs(spark, "/root/testdata/sf0.001")
+    rows = sorted((r.upload_no, r.base, r.suffix) for r in uploads.collect())
+    used = [(r.id, r.raw_suffixes or [], r.has_md, r.has_md) for r in taken.collect()]
+    got = {r.upload_no: r.source_id for r in QUERIES["upload_ids"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == one_by_one(rows, used)
+
+
 def test_uploads_are_checked_and_routed(spark):
     rows = [
         (1, "My File.HTML", b"<p>x</p>", "", "market_law"), (2, "note.md", b"hello", "Note", ""), (3, "empty.txt", b"", "", ""),

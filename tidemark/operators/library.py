@@ -93,17 +93,21 @@ def newest_first(rows: DataFrame) -> DataFrame:
 # --- ids ----------------------------------------------------------------------------------
 
 
+NUMBERED = r"^(.+)_([1-9]\d{0,17})$"
+ALWAYS = -(2**63)
+
+
 def split_id(x: Column) -> Column:
     """The (base, n) readings of an id: itself with n = 0, and base_n for a number suffix.
 
-    A suffix of more than 18 digits is part of the name: no counter of uploads gets there.
+    The first free number of a base is at most the count of ids in use under it, plus three. So a suffix of more
+    than 18 digits is never reached, and reading it as a part of the name changes nothing.
     """
     own = F.struct(x.alias("base"), F.lit(0).cast("bigint").alias("n"))
-    pattern = r"^(.+)_([1-9]\d{0,17})$"
     cut = F.struct(
-        F.regexp_extract(x, pattern, 1).alias("base"), F.regexp_extract(x, pattern, 2).cast("bigint").alias("n")
+        F.regexp_extract(x, NUMBERED, 1).alias("base"), F.regexp_extract(x, NUMBERED, 2).cast("bigint").alias("n")
     )
-    return F.when(x.rlike(pattern), F.array(own, cut)).otherwise(F.array(own))
+    return F.when(x.rlike(NUMBERED), F.array(own, cut)).otherwise(F.array(own))
 
 
 def allocate_ids(uploads: DataFrame, taken: DataFrame) -> DataFrame:
@@ -113,103 +117,108 @@ def allocate_ids(uploads: DataFrame, taken: DataFrame) -> DataFrame:
     has_json, in_catalog, one row per id in use. A raw file may replace a raw file of its
     own kind, a text may replace a stored text; otherwise the first free number is used.
     Uploads of one kind under one base share an id, so at most three ids per base are
-    handed out. Bases such as ``a`` and ``a_1`` may claim the same id; then claims are
-    settled up to the first one that loses, and the rest is claimed anew. Without such
-    names, the usual case, one round settles everything.
+    handed out.
+
+    Only a base ``a`` and an uploaded base ``a_5`` can want the same id. For ``a``, ``a_5`` is in use from the first
+    upload of that base on, whatever else that base does; for ``a_5``, its own name is in use where ``a`` took it
+    before. So bases are settled by the number of uploaded bases they stand behind (``a``, then ``a_5``, then
+    ``a_5_2``), all bases of one depth at once and no base twice. Each claim sees the ids in use before it.
     """
     raw = F.col("suffix").isin(*fixed.RAW_SUFFIXES)
     kinds = uploads.withColumn("kind", F.when(raw, F.col("suffix")).otherwise(F.lit("text")))
-    open_claims = kinds.groupBy("base", "kind").agg(F.min("upload_no").alias("first_no"))
-    used = taken.select("id", "raw_suffixes", "has_md", "has_json")
-    settled = []
-    while True:
-        claims = cut_lineage(_claims(open_claims, used))
-        winners = claims.groupBy("source_id").agg(
-            F.min_by("kind", "first_no").alias("_kind"), F.countDistinct("kind").alias("_kinds")
-        )
-        lost = winners.filter("_kinds > 1").join(claims, "source_id").filter(F.col("kind") != F.col("_kind"))
-        edges = lost.groupBy(_family(F.col("base")).alias("family")).agg(F.min("first_no").alias("_edge"))
-        placed = claims.withColumn("family", _family(F.col("base"))).join(edges, "family", "left")
-        final = F.col("_edge").isNull() | (F.col("first_no") < F.col("_edge"))
-        settled.append(placed.filter(final).select("base", "kind", "source_id"))
-        rest = placed.filter(~final).select("base", "kind", "first_no")
-        if rest.isEmpty():
-            break
-        open_claims, used = rest, _with_claims(used, settled[-1])
-    given = settled[0]
-    for part in settled[1:]:
-        given = given.unionByName(part)
-    return kinds.join(given, ["base", "kind"]).drop("kind")
-
-
-def _family(base: Column) -> Column:
-    return F.regexp_replace(base, r"(_[1-9]\d*)+$", "")
-
-
-def _with_claims(used: DataFrame, settled: DataFrame) -> DataFrame:
-    is_text = F.col("kind") == "text"
-    new = settled.select(
-        F.col("source_id").alias("id"),
-        F.when(is_text, F.array().cast("array<string>")).otherwise(F.array("kind")).alias("raw_suffixes"),
-        is_text.alias("has_md"),
-        is_text.alias("has_json"),
+    claims = cut_lineage(kinds.groupBy("base", "kind").agg(F.min("upload_no").cast("bigint").alias("first_no")))
+    bases = claims.groupBy("base").agg(F.min("first_no").alias("at"), F.min_by("kind", "first_no").alias("kind"))
+    claims = cut_lineage(claims.join(_depths(bases.select("base")), "base"))
+    deepest = claims.agg(F.max("depth")).first()[0] or 0
+    in_use = _ids_in_use(taken).unionByName(
+        # a base uses its own name, which is a number of another base
+        bases.filter(F.col("base").rlike(NUMBERED)).select(
+            F.element_at(split_id(F.col("base")), 2).alias("p"), "at", F.array("kind").alias("suits")
+        ).select("p.base", "p.n", "at", "suits")
     )
-    return (
-        used.unionByName(new)
-        .groupBy("id")
-        .agg(
-            F.array_distinct(F.flatten(F.collect_set("raw_suffixes"))).alias("raw_suffixes"),
-            F.bool_or("has_md").alias("has_md"),
-            F.bool_or("has_json").alias("has_json"),
+    in_use = cut_lineage(in_use.join(bases.select("base"), "base", "left_semi"))
+    given = None
+    for depth in range(deepest + 1):
+        settled = cut_lineage(_settle(claims.filter(F.col("depth") == depth).drop("depth"), in_use))
+        given = settled if given is None else given.unionByName(settled)
+        took = settled.filter("new and n > 0")
+        in_use = in_use.unionByName(
+            took.select(F.col("source_id").alias("base"), F.lit(0).cast("bigint").alias("n"), F.col("first_no").alias("at"), F.array("kind").alias("suits"))
         )
+    return kinds.join(given.select("base", "kind", "source_id"), ["base", "kind"]).drop("kind")
+
+
+def _depths(bases: DataFrame) -> DataFrame:
+    """(base, depth): how many uploaded bases stand before a base, each one number suffix shorter than the next."""
+    tail = F.regexp_extract("base", r"^.+?((?:_[1-9]\d{0,17})+)$", 1)
+    numbers = F.filter(F.split(tail, "_"), lambda x: x != "")
+    named = bases.withColumn("_numbers", numbers)
+    # the name without its last j numbers
+    shorter = F.transform(
+        F.when(F.size("_numbers") > 0, F.sequence(F.lit(1), F.size("_numbers"))).otherwise(F.array().cast("array<int>")),
+        lambda j: F.struct(
+            j.alias("j"),
+            F.expr("base").substr(F.lit(1), F.length("base") - F.length(F.array_join(F.slice("_numbers", -j, j), "_")) - 1).alias("ancestor"),
+        ),
     )
+    rows = named.select("base", F.explode(shorter).alias("s")).select("base", "s.j", "s.ancestor")
+    known = rows.join(bases.select(F.col("base").alias("ancestor")), "ancestor", "left_semi")
+    found = known.groupBy("base").agg(F.array_sort(F.collect_set("j")).alias("js"))
+    depth = F.size(F.filter("js", lambda x, i: x == i + 1))
+    return bases.join(found, "base", "left").select("base", F.coalesce(F.when(F.col("js").isNotNull(), depth), F.lit(0)).alias("depth"))
 
 
-def _claims(firsts: DataFrame, taken: DataFrame) -> DataFrame:
-    """The id each (base, kind) would get if only the ids in use stood in its way.
-
-    Only the first free numbers of a base are looked for: the successors of numbers in
-    use, less the numbers in use.
-    """
-    wanted = firsts.select("base").distinct()
-    names = taken.select(F.explode(split_id(F.col("id"))).alias("p"), "raw_suffixes", "has_md", "has_json")
-    used = names.select("p.base", "p.n", "raw_suffixes", "has_md", "has_json").join(wanted, "base", "left_semi")
-
+def _ids_in_use(taken: DataFrame) -> DataFrame:
+    """(base, n, at, suits): both readings of each id in use, and the kinds that may be stored under it."""
     size = F.coalesce(F.size("raw_suffixes"), F.lit(0))
     options = F.array(
         *[F.when((size == 1) & F.array_contains("raw_suffixes", s) & ~F.col("has_md"), F.lit(s)) for s in fixed.RAW_SUFFIXES],
         F.when(F.col("has_md") & F.col("has_json") & (size <= 0), F.lit("text")),
     )
-    reuse = (
-        used.select("base", "n", F.explode(F.filter(options, lambda o: o.isNotNull())).alias("kind"))
-        .groupBy("base", "kind")
-        .agg(F.min("n").alias("reuse_n"))
-    )
-    after = used.select("base", F.explode(F.array(F.col("n") + 1, F.col("n") + 2, F.col("n") + 3)).alias("n"))
-    start = wanted.select("base", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(3)])).alias("n"))
-    free = start.unionByName(after).distinct().join(used.select("base", "n"), ["base", "n"], "left_anti")
-    low = top_k(free, ["base"], [F.col("n")], 3, "_r").groupBy("base").agg(F.array_sort(F.collect_list("n")).alias("free"))
+    suits = F.filter(options, lambda o: o.isNotNull())
+    named = taken.select(F.explode(split_id(F.col("id"))).alias("p"), suits.alias("suits"))
+    return named.select("p.base", "p.n", F.lit(ALWAYS).cast("bigint").alias("at"), "suits")
+
+
+def _settle(claims: DataFrame, in_use: DataFrame) -> DataFrame:
+    """(base, kind, first_no, n, new, source_id): the number each claim gets, by what was in use before it.
 
-    plan = firsts.join(reuse, ["base", "kind"], "left").groupBy("base").agg(
-        F.array_sort(F.collect_list(F.struct("first_no", "kind", "reuse_n"))).alias("asked")
+    Only the first free numbers are looked for: the successors of numbers in use, less the numbers in use. A base
+    takes two numbers at most before its last claim, so three candidates of each sort are enough.
+    """
+    first = in_use.groupBy("base", "n").agg(F.min("at").alias("at"), F.min_by("suits", "at").alias("suits"))
+    met = claims.join(first, "base").filter(F.col("at") < F.col("first_no"))
+    key = ["base", "kind"]
+
+    def lowest(rows: DataFrame, name: str) -> DataFrame:
+        return top_k(rows, key, [F.col("n")], 3, "_r").groupBy(*key).agg(F.array_sort(F.collect_list("n")).alias(name))
+
+    reuse = lowest(met.filter(F.array_contains("suits", F.col("kind"))).select(*key, "n"), "reuse")
+    after = met.select(*key, F.explode(F.array(*[F.col("n") + i for i in (1, 2, 3)])).alias("n"))
+    start = claims.select(*key, F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(3)])).alias("n"))
+    free = start.unionByName(after).distinct().join(met.select(*key, "n"), [*key, "n"], "left_anti")
+    asked = claims.join(lowest(free, "free"), key).join(reuse, key, "left")
+    none = F.array().cast("array<bigint>")
+    plan = asked.groupBy("base").agg(
+        F.array_sort(F.collect_list(F.struct("first_no", "kind", "free", F.coalesce("reuse", none).alias("reuse")))).alias("asked")
     )
-    none = F.array().cast("array<struct<kind:string,first_no:bigint,n:bigint>>")
+    out = F.array().cast("array<struct<kind:string,first_no:bigint,n:bigint,new:boolean>>")
+
+    def give(state: Column, k: Column) -> Column:
+        def left(x: Column) -> Column:
+            return F.get(F.filter(x, lambda n: ~F.array_contains(state["mine"], n)), F.lit(0))
 
-    def give(acc: Column, k: Column) -> Column:
-        free_n = F.get(F.col("free"), acc["at"])
-        old = k["reuse_n"].isNotNull() & (k["reuse_n"] < free_n)
-        n = F.when(old, k["reuse_n"]).otherwise(free_n)
-        got = F.struct(k["kind"].alias("kind"), k["first_no"].cast("bigint").alias("first_no"), n.alias("n"))
+        new, old = left(k["free"]), left(k["reuse"])
+        is_new = F.coalesce(new < old, F.lit(True))
+        got = F.struct(k["kind"].alias("kind"), k["first_no"].alias("first_no"), F.when(is_new, new).otherwise(old).alias("n"), is_new.alias("new"))
         return F.struct(
-            F.when(old, acc["at"]).otherwise(acc["at"] + 1).alias("at"), F.concat(acc["out"], F.array(got)).alias("out")
+            F.when(is_new, F.array_append(state["mine"], new)).otherwise(state["mine"]).alias("mine"), F.array_append(state["out"], got).alias("out")
         )
 
-    given = plan.join(low, "base").select(
-        "base",
-        F.inline(F.aggregate("asked", F.struct(F.lit(0).alias("at"), none.alias("out")), give, lambda acc: acc["out"])),
-    )
+    folded = F.aggregate("asked", F.struct(none.alias("mine"), out.alias("out")), give, lambda state: state["out"])
+    given = plan.select("base", F.inline(folded))
     source_id = F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("n").cast("string")))
-    return given.select("base", "kind", "first_no", source_id.alias("source_id"))
+    return given.withColumn("source_id", source_id)
 
 
 # --- uploads ------------------------------------------------------------------------------

@@ -704,13 +704,13 @@ def crawl_table(spark, folder):
     return LB.crawl_table(rows.withColumn("file_path", stored)).select("id", "status", "note", "file_path", "line")
 
 
-@query
-def upload_ids(spark, folder):
-    """Ids given to uploads whose names collide."""
+def upload_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Uploads, a quarter of them under numbered names, and the ids in use."""
     d = table(spark, folder, "documents")
+    number = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("_"), (F.col("doc_id") % 5 + 1).cast("string"))).otherwise(F.lit(""))
     uploads = d.select(
         F.col("doc_id").alias("upload_no"),
-        F.concat(F.lit("src"), (F.col("doc_id") % 60).cast("string")).alias("base"),
+        F.concat(F.lit("src"), (F.col("doc_id") % 60).cast("string"), number).alias("base"),
         F.expr(I.pick("doc_id", [".html", ".md", ".pdf", ".txt", ".html"])).alias("suffix"),
     )
     n = F.col("doc_id")
@@ -720,7 +720,13 @@ def upload_ids(spark, folder):
         F.collect_set(F.nullif("suffix", F.lit(""))).alias("raw_suffixes"),
         F.bool_or("text").alias("has_md"), F.bool_or("text").alias("has_json"), F.lit(True).alias("in_catalog"),
     )
-    return LB.allocate_ids(uploads, taken).select("upload_no", "base", "suffix", "source_id")
+    return uploads, taken
+
+
+@query
+def upload_ids(spark, folder):
+    """Ids given to uploads whose names collide."""
+    return LB.allocate_ids(*upload_inputs(spark, folder)).select("upload_no", "base", "suffix", "source_id")
 
 
 def _indexed(spark: SparkSession, folder: str) -> DataFrame:

@@ -136,6 +136,31 @@ def test_ids_as_one_by_one(spark, seed):
     assert {r.upload_no: r.source_id for r in L.allocate_ids(u, t).collect()} == one_by_one(uploads, taken)
 
 
+def test_import_by_column_types(spark):
+    base = spark.createDataFrame([(1, "old", None, 1.5, "{}")], "id long, name string, at timestamp, score double, more string")
+    rows = [
+        (1, "1", "a", "2024-05-01T10:00:00Z", "2.5", '{"x": 1}'), (2, "2", " ", "2024-05-01 10:00:00+02:00", "", ""), (3, "2", "", "soon", "much", "[1]"),
+        (4, "x", "b", None, None, None), (5, None, "c", None, None, None), (6, "3", None, None, "1e2", "{broken"),
+    ]
+    texts = spark.createDataFrame(rows, "no int, id string, name string, at string, score string, more string")
+    merged, problems = crm.import_typed(base, texts, ["id"], "no", {"name": "?", "score": "0"}, json=["more"])
+    got = {r.id: (r.name, str(r.at) if r.at else None, r.score, r.more) for r in merged.collect()}
+    assert got == {1: ("a", "2024-05-01 10:00:00", 2.5, '{"x": 1}'), 2: ("?", None, 0.0, "{}"), 3: ("?", None, 100.0, "{}")}
+    assert sorted(map(tuple, problems.collect()), key=str) == sorted(
+        [(3, "at", "soon", "no time"), (3, "score", "much", "no double"), (3, "more", "[1]", "no JSON object"), (4, "id", "x", "no bigint"),
+         (5, "id", None, "no bigint"), (6, "more", "{broken", "no JSON object")], key=str)
+    merged, _ = crm.import_typed(base, texts.drop("score"), ["id"], "no", json=["more"], strict=True)
+    assert {(r.id, r.name, r.score) for r in merged.collect()} == {(1, "a", None), (2, " ", None)}
+
+
+def test_names_in_the_order_of_a_language(spark):
+    names = ["张伟", "Zoe", "Abel", "阿里", "abel", "Äpfel", "李娜", "émile", "eve"]
+    rows = [(i, None, n, "", "", "", "", "") for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "id long, user_id long, name string, platform string, email string, recent_video_link string, notes string, collaboration_progress string")
+    got = [r.talent_name for r in crm.top_todos(df, 9).collect()]
+    assert got == ["阿里", "李娜", "张伟", "abel", "Abel", "Äpfel", "émile", "eve", "Zoe"]
+
+
 def test_ids_of_a_long_row_of_names(spark):
     """A base and its numbered names, all uploaded: settled in two steps, however many there are."""
     rnd = random.Random(11)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import fixed
+from tidemark.functions import meta as M
 from tidemark.functions import talent as L
 from tidemark.functions import text as T
-from tidemark.operators.keyed import number_rows, replace_rows, top_k
+from tidemark.operators.keyed import last_per_key, number_rows, replace_rows, top_k
+from tidemark.session import cut_lineage
 
 USER_FIELDS = ["id", "name", "style_prompt", "few_shot"]
 PROFILE_TEXTS = ["name", "platform", "email", "recent_video_link", "notes", "collaboration_progress"]
@@ -174,9 +178,14 @@ def todos(profiles: DataFrame) -> DataFrame:
     )
 
 
+def todo_order(language: str = "zh") -> list[Column]:
+    """Priority, then the name as readers of a language sort names (accents and case last), then the id."""
+    return [F.col("priority_order"), F.collate("talent_name", language), F.col("talent_id")]
+
+
 def top_todos(profiles: DataFrame, most: int = 10) -> DataFrame:
     """The most urgent steps, by priority and name."""
-    return todos(profiles).orderBy("priority_order", "talent_name", "talent_id").limit(most)
+    return todos(profiles).orderBy(*todo_order()).limit(most)
 
 
 def import_rows(base: DataFrame, rows: DataFrame, keys: list[str], defaults: dict[str, str]) -> DataFrame:
@@ -187,8 +196,60 @@ def import_rows(base: DataFrame, rows: DataFrame, keys: list[str], defaults: dic
     return replace_rows(base, filled, keys)
 
 
+def _coerced(text: Column, kind: str, is_json: bool) -> tuple[Column, str]:
+    """A text as a value of the column's type (null where it cannot be read), and what it should have been."""
+    if is_json:
+        return F.when(M.json_object_or_empty(text) == text, text), "no JSON object"
+    if kind == "timestamp":
+        return M.parse_time(text), "no time"
+    if kind == "string":
+        return text, ""
+    return T.strip(text).try_cast(kind), f"no {kind}"
+
+
+def import_typed(
+    base: DataFrame,
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    defaults: dict[str, str] | None = None,
+    json: Sequence[str] = (),
+    strict: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(merged, problems): rows of texts merged into ``base`` by primary key, each column read by its type there.
+
+    Of several rows of a key the last by ``order`` counts. A blank value takes the column's default, else null; a
+    blank object is an empty one. A value that cannot be read counts as blank and is a problem: (row_no, column, value,
+    reason). Rows whose key cannot be read are never merged; with ``strict`` no row with a problem is. ``rows`` may lack
+    columns that are no keys: they become null, or their default.
+    """
+    defaults, kinds = defaults or {}, dict(base.dtypes)
+    values, faults = {}, []
+    for name, kind in kinds.items():
+        if name not in rows.columns:
+            values[name] = F.lit(defaults.get(name)).cast(kind)
+            continue
+        text = F.col(name).cast("string")
+        # white space is a text
+        blank = text.isNull() | ((text if kind == "string" and name not in json else T.strip(text)) == "")
+        value, reason = _coerced(text, kind, name in json)
+        wrong = ~blank & value.isNull() if reason else F.lit(False)
+        if name in keys:
+            wrong = wrong | blank
+        missing = F.lit("{}") if name in json else F.lit(defaults.get(name)).cast(kind)
+        values[name] = F.coalesce(F.when(~blank, value), missing)
+        faults.append(F.when(wrong, F.struct(F.lit(name).alias("column"), text.alias("value"), F.lit(reason or "no key").alias("reason"))))
+    found = F.filter(F.array(*faults), lambda x: x.isNotNull())
+    read = rows.select(F.col(order).alias("_order"), *[v.alias(k) for k, v in values.items()], found.alias("_problems"))
+    read = cut_lineage(read)
+    problems = read.select(F.col("_order").alias("row_no"), F.explode("_problems").alias("p")).select("row_no", "p.*")
+    no_key = F.exists("_problems", lambda p: p["column"].isin(*keys))
+    good = read.filter(F.size("_problems") == 0 if strict else ~no_key)
+    newest = last_per_key(good.drop("_problems"), keys, [F.col("_order")]).drop("_order")
+    return replace_rows(base, newest.select(*kinds), keys), problems
+
+
 def recent_todos_by(profiles: DataFrame, group: str, most: int = 10) -> DataFrame:
     """The most urgent steps per value of a profile column (say, per market)."""
     fields = profiles.select(F.col("id").alias("talent_id"), group)
-    order = [F.col("priority_order"), F.col("talent_name"), F.col("talent_id")]
-    return top_k(todos(profiles).join(fields, "talent_id"), [group], order, most)
+    return top_k(todos(profiles).join(fields, "talent_id"), [group], todo_order(), most)

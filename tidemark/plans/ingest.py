@@ -314,6 +314,82 @@ ORACLE["user_import"] = f"""WITH {O.USERS}, rows AS (SELECT id * 2 - 100000 AS i
 SELECT id, name, coalesce(nullif(style_prompt, ''), 'plain') AS style_prompt, coalesce(few_shot, '') AS few_shot FROM rows
 UNION ALL SELECT id, name, style_prompt, few_shot FROM users WHERE id NOT IN (SELECT id FROM rows)"""
 
+#: Names of several scripts, told apart by their letters without accents, and their order for readers of Chinese.
+LOCAL_NAMES = ["Zoë", "阿里", "abel", "张伟", "Änne", "李娜", "émile", "王芳", "Chloé"]
+LOCAL_ORDER = ["阿里", "李娜", "王芳", "张伟", "abel", "Änne", "Chloé", "émile", "Zoë"]
+
+
+@query
+def localized_todos(spark, folder):
+    """The ten most urgent steps of each nation, for creators with names of several scripts."""
+    local = F.expr(I.pick(I.whole("id", 7), LOCAL_NAMES))
+    talents = Q._talents(spark, folder).withColumn("name", F.concat(local, F.lit(" "), "name"))
+    return crm.recent_todos_by(talents, "nation").select("nation", "rank", "talent_id", "talent_name", "priority")
+
+
+_LOCAL = I.pick(I.whole("talent_id", 7), LOCAL_NAMES)
+_PLACE = "CASE " + _LOCAL + " " + " ".join(f"WHEN {text(n)} THEN {i}" for i, n in enumerate(LOCAL_ORDER)) + " END"
+ORACLE["localized_todos"] = f"""WITH {O.TODOS}
+SELECT nation, row_number() OVER (PARTITION BY nation ORDER BY priority_order, {_PLACE}, talent_name, talent_id) AS rank, talent_id, {_LOCAL} || ' ' || talent_name AS talent_name, priority
+FROM ordered QUALIFY rank <= 10"""
+
+_DAY = "lpad(CAST(event_id % 28 + 1 AS VARCHAR(20)), 2, '0')"
+IMPORTED = [
+    "event_id",
+    f"{I.pick('event_id', I.MODULES)} AS module_name",
+    "CASE WHEN event_id % 31 = 0 THEN '' ELSE 'scope ' || CAST(user_id AS VARCHAR(20)) END AS scope_key",
+    f"{I.pick('event_id', ['', 'x', '[1] '])} || CASE WHEN event_id % 7 = 0 THEN '' ELSE props END AS filters_json",
+    "props AS payload_json",
+    f"CASE event_id % 4 WHEN 0 THEN '2024-01-' || {_DAY} || 'T10:00:00Z' WHEN 1 THEN '2024-13-' || {_DAY} WHEN 2 THEN ' ' ELSE '2024-02-' || {_DAY} || ' 11:30:00' END AS updated_at",
+    "CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'many' ELSE CAST(user_id AS VARCHAR(20)) END AS views",
+]
+IMPORT_BASE = [
+    "'videos' AS module_name",
+    "'scope ' || CAST(user_id * 2 AS VARCHAR(20)) AS scope_key",
+    "'{}' AS filters_json",
+    "'{\"old\": 1}' AS payload_json",
+    "CAST('2020-01-01 00:00:00' AS TIMESTAMP) AS updated_at",
+    "CAST(7 AS BIGINT) AS views",
+]
+
+
+def _imported(spark, folder):
+    base = I.rows(spark, folder, "events", IMPORT_BASE).distinct()
+    rows = I.rows(spark, folder, "events", IMPORTED)
+    return crm.import_typed(base, rows, ["module_name", "scope_key"], "event_id", {"views": "0"}, json=["filters_json", "payload_json"])
+
+
+@query
+def table_import(spark, folder):
+    """Snapshots after an import of texts, each read by the type of its column."""
+    merged, _ = _imported(spark, folder)
+    return merged.select(
+        "module_name", "scope_key", "filters_json", "payload_json", F.unix_micros(F.col("updated_at").cast("timestamp")).alias("at_us"), "views"
+    )
+
+
+@query
+def import_problems(spark, folder):
+    """Values of the import that could not be read, with the reason."""
+    _, problems = _imported(spark, folder)
+    return problems
+
+
+_OBJECT = "json_valid({0}) AND json_type(CASE WHEN json_valid({0}) THEN {0} ELSE 'null' END) = 'OBJECT'"
+_TIME = "CASE event_id % 4 WHEN 0 THEN CAST(replace(replace(updated_at, 'T', ' '), 'Z', '') AS TIMESTAMP) WHEN 3 THEN CAST(updated_at AS TIMESTAMP) END"
+ORACLE["table_import"] = f"""WITH rows AS ({I.sql(IMPORTED, 'events')}), base AS (SELECT DISTINCT * FROM ({I.sql(IMPORT_BASE, 'events')})),
+good AS (SELECT module_name, scope_key, CASE WHEN {_OBJECT.format('filters_json')} THEN filters_json ELSE '{{}}' END AS filters_json,
+  CASE WHEN {_OBJECT.format('payload_json')} THEN payload_json ELSE '{{}}' END AS payload_json, epoch_us({_TIME}) AS at_us, coalesce(TRY_CAST(views AS BIGINT), 0) AS views
+  FROM rows WHERE scope_key <> '' QUALIFY row_number() OVER (PARTITION BY module_name, scope_key ORDER BY event_id DESC) = 1)
+SELECT * FROM good UNION ALL SELECT module_name, scope_key, filters_json, payload_json, epoch_us(updated_at), views FROM base
+WHERE (module_name, scope_key) NOT IN (SELECT (module_name, scope_key) FROM good)"""
+ORACLE["import_problems"] = f"""WITH rows AS ({I.sql(IMPORTED, 'events')})
+SELECT event_id AS row_no, 'scope_key' AS "column", scope_key AS value, 'no key' AS reason FROM rows WHERE scope_key = ''
+UNION ALL SELECT event_id, 'filters_json', filters_json, 'no JSON object' FROM rows WHERE trim(filters_json) <> '' AND NOT ({_OBJECT.format('filters_json')})
+UNION ALL SELECT event_id, 'payload_json', payload_json, 'no JSON object' FROM rows WHERE trim(payload_json) <> '' AND NOT ({_OBJECT.format('payload_json')})
+UNION ALL SELECT event_id, 'updated_at', updated_at, 'no time' FROM rows WHERE event_id % 4 = 1
+UNION ALL SELECT event_id, 'views', views, 'no bigint' FROM rows WHERE views = 'many'"""
+
 CITED = [
     "doc_id",
     f"CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'Doc ' || {ID} END AS source_title",

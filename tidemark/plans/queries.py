@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,8 @@ from tidemark.operators import trends as TR
 from tidemark.operators.keyed import last_per_key, rows_of, top_k
 from tidemark.operators.pruned import best_vectors
 from tidemark.plans import inputs as I
-from tidemark.session import cut_lineage, ship_package
+from tidemark.session import cut_lineage, ensure_checkpoint_dir, ship_package
+from tidemark.sources import writers
 from tidemark.sources.readers import event_texts as decode_events
 from tidemark.sources.readers import spread, table
 
@@ -238,10 +240,11 @@ def vector_blocks(spark, folder):
 
 
 def _retrieval(spark: SparkSession, folder: str) -> V.Retrieval:
-    """The index is written once and read by every stage."""
-    index = cut_lineage(E.with_vectors(_chunks(spark, folder), embedder=MD5))
+    """The index is written once, and each stage reads the files and columns of it that it needs."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    writers.index(E.with_vectors(_chunks(spark, folder), embedder=MD5), path, "")
     asked = cut_lineage(E.with_vectors(_requests(spark, folder), "query_text", MD5))
-    return V.Retrieval(asked, index)
+    return V.Retrieval(asked, writers.read_index(spark, path))
 
 
 @query

@@ -1,5 +1,6 @@
 """Keyed operators, creator tables and the document library."""
 
+import json
 import random
 
 import pytest
@@ -209,15 +210,35 @@ def test_crawl_totals(spark):
 
 
 def test_snapshot_matrix(spark):
-    asked = spark.createDataFrame([("a", "videos", "k", False), ("b", "videos", "k", True), ("c", "videos", "bad", True), ("d", "videos", "none", False)], "request_id string, module_name string, scope_key string, refresh boolean")
-    old = spark.createDataFrame([("videos", "k", "old", 1), ("videos", "bad", "stale", 2)], "module_name string, scope_key string, payload string, updated_at int")
-    loads = spark.createDataFrame([("videos", "k", "new", 9, None), ("videos", "bad", None, None, "boom")], "module_name string, scope_key string, payload string, loaded_at int, error string")
+    rows = [("a", "videos", "k", False), ("b", "videos", "k", True), ("c", "videos", "bad", True), ("d", "videos", "none", False), ("e", "other", "k", None)]
+    asked = spark.createDataFrame(rows, "request_id string, module_name string, scope_key string, refresh boolean")
+    kept = '{"items": [{"z": 1, "a": [null, 2.5]}], "more": {"x": {"y": "é"}}, "error": "kept"}'
+    old = spark.createDataFrame([("videos", "k", kept, 1), ("videos", "bad", kept, 2), ("other", "k", "[1]", 3)], "module_name string, scope_key string, payload string, updated_at int")
+    loads = spark.createDataFrame([("videos", "k", '{"items": null}', 9, None), ("videos", "bad", None, None, 'say "boom"')], "module_name string, scope_key string, payload string, loaded_at int, error string")
     served = R.serve_modules(asked, old, loads)
-    got = {r.request_id: (r.payload, r.error, r.from_cache, r.stale, r.cached_at) for r in served.collect()}
+    got = {r.request_id: (json.loads(r.payload), r.error, r.from_cache, r.stale, r.cached_at) for r in served.collect()}
+    whole = json.loads(kept)
     assert got == {
-        "a": ("old", "", True, False, 1), "b": ("new", "", False, False, 9), "c": ("stale", "boom", True, True, 2), "d": (None, "load failed", False, False, None),
+        "a": (whole, "kept", True, False, 1), "b": ({"items": None, "error": ""}, "", False, False, 9),
+        "c": ({**whole, "error": 'say "boom"'}, 'say "boom"', True, True, 2),
+        "d": ({"items": [], "error": "load failed"}, "load failed", False, False, None), "e": ({"error": ""}, "", True, False, 3),
     }
-    assert [(r.scope_key, r.payload) for r in R.stored_loads(served).collect()] == [("k", "new")]
+    assert [(r.scope_key, r.payload) for r in R.stored_loads(served).collect()] == [("k", '{"items": null}')]
+
+
+def test_trend_results_from_requests(spark):
+    schema = "request_id string, topic string, target_country string, target_platform string, distribution_mode string, product_category string, target_languages array<string>, refresh_videos boolean, refresh_industry boolean"
+    asked = R.module_requests(spark.createDataFrame([("r", 'a "b"', "US", "tiktok", "organic", "toys", ["en", "es"], False, True)], schema))
+    filters = {"topic": 'a "b"', "target_country": "US", "target_platform": "tiktok", "distribution_mode": "organic", "product_category": "toys", "target_languages": ["en", "es"]}
+    parts = {r.module_name: r for r in asked.collect()}
+    assert {m: json.loads(r.scope_key) for m, r in parts.items()} == {m: {**filters, "module": m} for m in ("videos", "industry_categories", "topic_brief")}
+    assert [parts[m].refresh for m in ("videos", "industry_categories", "topic_brief")] == [False, True, True]
+    old = spark.createDataFrame([("videos", parts["videos"].scope_key, '{"items": [{"n": 1}], "error": "own"}', 1)], "module_name string, scope_key string, payload string, updated_at int")
+    loads = spark.createDataFrame([("topic_brief", parts["topic_brief"].scope_key, '{"topic_brief": {"trend_data": "d"}}', 5, None)], "module_name string, scope_key string, payload string, loaded_at int, error string")
+    got = R.trend_result(R.serve_modules(asked, old, loads)).first()
+    assert json.loads(got.filters) == filters and got.benchmarks == '[{"n":1}]' and got.benchmarks_error == "own"
+    assert json.loads(got.trend_hunter) == {"trend_data": "d"} == json.loads(got.industry.topic_brief)
+    assert (got.industry.categories, got.industry.error, got.industry.from_cache, got.industry.cached_at) == ("[]", "load failed", False, 5)
 
 
 def test_platform_fallback_and_first_url(spark):

@@ -479,6 +479,14 @@ FALLBACK_ASSUMPTION = (
 NO_SIGNALS_LINE = "- Recent Signals: No reliable live search results were returned."
 EMPTY_TOPIC_BRIEF = "未填写主题时，这里只展示行业情报与热点视频缓存。"
 
+# what a module answers before anything is laid over it
+EMPTY_PAYLOADS = {
+    "videos": '{"error":"","items":[]}',
+    "industry_categories": '{"categories":[],"error":""}',
+    "topic_brief": '{"error":"","topic_brief":{"trend_data":"","trend_query":"","trend_sources":[]}}',
+}
+EMPTY_BRIEF = '{"trend_data":"","trend_query":"","trend_sources":[]}'
+
 # key, label, query template
 INDUSTRY_CATEGORIES = [
     (

@@ -206,6 +206,34 @@ def _json_value(x: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(x.alias("v")), {"ignoreNullFields": "false"}), r"(?s)^\{\"v\":(.*)\}$", 1)
 
 
+def members(payload: Column) -> Column:
+    """Members of a JSON object by key, of any nesting; a text that is no JSON object has none."""
+    found = F.try_variant_get(F.try_parse_json(payload), "$", "map<string,variant>")
+    return F.coalesce(found, F.create_map().cast("map<string,variant>"))
+
+
+def overlay(low: Column, high: Column) -> Column:
+    """Members of both, key by key: those of ``high`` hide those of ``low`` as a whole, a JSON null too."""
+    rest = F.map_filter(low, lambda k, _: ~F.map_contains_key(high, k))
+    return F.map_concat(rest, high)
+
+
+def object_text(found: Column) -> Column:
+    """Members as a JSON object, keys in alphabetical order."""
+    keys = F.array_sort(F.map_keys(found))
+    return F.to_json(F.map_from_entries(F.transform(keys, lambda k: F.struct(k, found[k]))))
+
+
+def member_text(found: Column, key: str) -> Column:
+    """One member as JSON; null where it is missing."""
+    return F.to_json(F.element_at(found, F.lit(key)))
+
+
+def member_string(found: Column, key: str) -> Column:
+    """One member as text; blank where it is missing or null."""
+    return F.coalesce(F.try_variant_get(F.element_at(found, F.lit(key)), "$", "string"), F.lit(""))
+
+
 def is_live(trend_sources: Column, trend_data: Column) -> Column:
     return (F.coalesce(F.size(trend_sources), F.lit(0)) > 0) | F.contains(
         F.coalesce(trend_data, F.lit("")), F.lit(fixed.LIVE_TREND_MARK)

@@ -173,12 +173,40 @@ def find_snapshots(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     return requests.join(snapshots, SNAPSHOT_KEYS, "left")
 
 
+TREND_FILTERS = ["topic", "target_country", "target_platform", "distribution_mode", "product_category", "target_languages"]
+
+
+def module_requests(requests: DataFrame) -> DataFrame:
+    """The three module requests of every trend request, with their scope keys and the filters they echo.
+
+    ``requests``: request_id, the filters (``TREND_FILTERS``), refresh_videos and refresh_industry.
+    """
+    fields = {n: F.col(n) for n in TREND_FILTERS}
+    parts = [
+        F.struct(F.lit(m).alias("module_name"), R.scope_key(fields, m).alias("scope_key"), F.col(flag).alias("refresh"))
+        for m, flag in (("videos", "refresh_videos"), ("industry_categories", "refresh_industry"), ("topic_brief", "refresh_industry"))
+    ]
+    return requests.select("request_id", R.scope_key(fields).alias("filters"), F.inline(F.array(*parts)))
+
+
+def empty_payload(module: Column) -> Column:
+    out = F.lit('{"error":""}')
+    for name, payload in fixed.EMPTY_PAYLOADS.items():
+        out = F.when(module == name, F.lit(payload)).otherwise(out)
+    return out
+
+
 def serve_modules(requests: DataFrame, snapshots: DataFrame, loads: DataFrame) -> DataFrame:
     """What each request gets: its snapshot, a fresh load, the stale snapshot, or nothing.
 
     ``requests``: request_id, module_name, scope_key, refresh. ``loads``: module_name,
     scope_key, payload, loaded_at, error (null when the load worked). A key without a load
     row counts as a failed load.
+
+    ``payload`` is a JSON object: the module's empty payload, over it the members of the snapshot or load,
+    over these the message of a failed load as ``error``. Members are taken whole, whatever lies in them; a payload
+    that is no JSON object adds none. ``error`` is that of the payload, its own where nothing failed.
+    ``load_payload`` is the load as it came, where it is to be stored.
     """
     old = snapshots.select(*SNAPSHOT_KEYS, F.col("payload").alias("_old"), F.col("updated_at").alias("_old_at"))
     new = loads.select(
@@ -190,24 +218,30 @@ def serve_modules(requests: DataFrame, snapshots: DataFrame, loads: DataFrame) -
     )
     joined = requests.join(old, SNAPSHOT_KEYS, "left").join(new, SNAPSHOT_KEYS, "left")
     cached = F.col("_old_at").isNotNull()
-    hit = cached & ~F.col("refresh")
+    hit = cached & ~F.coalesce("refresh", F.lit(False))
     fresh = ~hit & F.col("_loaded").isNotNull() & F.col("_error").isNull()
     stale = ~hit & ~fresh & cached
-    failed = F.coalesce("_error", F.lit("load failed"))
-    return joined.select(
+    message = F.to_variant_object(F.create_map(F.lit("error"), F.coalesce("_error", F.lit("load failed"))))
+    failed = F.try_variant_get(message, "$", "map<string,variant>")
+    laid = R.overlay(R.members(empty_payload(F.col("module_name"))), R.members(F.when(hit | stale, F.col("_old")).when(fresh, F.col("_new"))))
+    rows = joined.withColumn("_laid", laid).withColumn(
+        "_members", F.when(hit | fresh, F.col("_laid")).otherwise(R.overlay(F.col("_laid"), failed))
+    )
+    return rows.select(
         *requests.columns,
-        F.when(hit | stale, F.col("_old")).when(fresh, F.col("_new")).alias("payload"),
-        F.when(hit | fresh, F.lit("")).otherwise(failed).alias("error"),
+        R.object_text(F.col("_members")).alias("payload"),
+        R.member_string(F.col("_members"), "error").alias("error"),
         (hit | stale).alias("from_cache"),
         stale.alias("stale"),
         F.when(hit | stale, F.col("_old_at")).when(fresh, F.col("_new_at")).alias("cached_at"),
         fresh.alias("store"),
+        F.when(fresh, F.col("_new")).alias("load_payload"),
     )
 
 
 def stored_loads(served: DataFrame) -> DataFrame:
-    """The snapshot rows a serving run has to write back, one per key."""
-    rows = served.filter("store").select(*SNAPSHOT_KEYS, "payload", F.col("cached_at").alias("updated_at"))
+    """The snapshot rows a serving run has to write back, one per key: the loads as they came."""
+    rows = served.filter("store").select(*SNAPSHOT_KEYS, F.col("load_payload").alias("payload"), F.col("cached_at").alias("updated_at"))
     return rows.dropDuplicates(SNAPSHOT_KEYS)
 
 
@@ -222,22 +256,44 @@ def module_meta(modules: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def trend_result(served: DataFrame) -> DataFrame:
-    """One row per request from its three served modules (videos, industry_categories, topic_brief)."""
+    """One row per request from its three served modules (videos, industry_categories, topic_brief).
+
+    ``filters`` are echoed where the served rows carry them. A module that was not served counts as empty.
+    """
     modules = ["videos", "industry_categories", "topic_brief"]
     state = F.struct("payload", "error", "from_cache", "stale", "cached_at")
+    echoed = [F.max("filters").alias("filters")] if "filters" in served.columns else []
     wide = served.groupBy("request_id").agg(
         # of several rows of a module the newest counts
-        *[F.max_by(state, F.when(F.col("module_name") == m, F.struct("cached_at", "payload", "error"))).alias(m) for m in modules]
+        *[F.max_by(state, F.when(F.col("module_name") == m, F.struct("cached_at", "payload", "error"))).alias(m) for m in modules],
+        *echoed,
     )
     industry = module_meta(
         served.filter(F.col("module_name").isin("industry_categories", "topic_brief")), ["request_id"], "module_name"
-    ).select("request_id", F.struct("error", "from_cache", "stale", "cached_at").alias("industry"))
-    return wide.join(industry, "request_id", "left").select(
+    ).select("request_id", F.struct("error", "from_cache", "stale", "cached_at").alias("_meta"))
+
+    def part(module: str, key: str, empty: str) -> Column:
+        return F.coalesce(R.member_text(R.members(F.col(f"{module}.payload")), key), F.lit(empty))
+
+    rows = wide.join(industry, "request_id", "left").withColumns(
+        {
+            "_categories": part("industry_categories", "categories", "[]"),
+            "trend_hunter": part("topic_brief", "topic_brief", fixed.EMPTY_BRIEF),
+            "benchmarks": part("videos", "items", "[]"),
+        }
+    )
+    kept = ["error", "from_cache", "stale", "cached_at"]
+    return rows.select(
         "request_id",
-        F.col("topic_brief.payload").alias("trend_hunter"),
-        F.col("videos.payload").alias("benchmarks"),
-        F.col("videos.error").alias("benchmarks_error"),
+        *(["filters"] if echoed else []),
+        "trend_hunter",
+        "benchmarks",
+        F.coalesce("videos.error", F.lit("")).alias("benchmarks_error"),
         "videos",
         "industry_categories",
-        "industry",
+        F.struct(
+            *[F.col(f"_meta.{n}").alias(n) for n in kept],
+            F.col("_categories").alias("categories"),
+            F.col("trend_hunter").alias("topic_brief"),
+        ).alias("industry"),
     )

@@ -167,17 +167,30 @@ TREND_REQUESTS = [
 ]
 
 MODULES = ["videos", "industry_categories", "topic_brief"]
+def payloads(mark: str) -> str:
+    """Payloads of several shapes: nested members, an error of its own, nulls, nothing, no JSON, no object."""
+    n = "CAST(event_id AS VARCHAR(20))"
+    return f"""CASE event_id % 7
+      WHEN 0 THEN '{{"items": [{{"from": "{mark}", "props": ' || props || '}}, ' || {n} || '], "categories": [{{"key": "marketing", "summary": "' || event_type || '"}}], "topic_brief": {{"trend_data": "é ' || {n} || '", "trend_sources": [' || props || ']}}}}'
+      WHEN 1 THEN '{{"error": "own ' || {n} || '", "extra": {{"a": {{"b": [1, [2, {{}}]]}}}}, "items": [], "topic_brief": {{"trend_query": "q ' || {n} || '"}}}}'
+      WHEN 2 THEN '{{"categories": null, "error": null, "items": null, "topic_brief": null}}'
+      WHEN 3 THEN '{{}}'
+      WHEN 4 THEN '{mark} ' || props
+      WHEN 5 THEN '[' || props || ']'
+      ELSE props END"""
+
+
 SNAPSHOTS = [
     "event_id",
     f"{pick('event_id', MODULES)} AS module_name",
     "'scope ' || CAST(user_id AS VARCHAR(20)) AS scope_key",
-    "props AS payload",
+    f"{payloads('old')} AS payload",
     "ts AS updated_at",
 ]
 LOADS = [
     f"{pick('event_id', MODULES)} AS module_name",
     "'scope ' || CAST(user_id AS VARCHAR(20)) AS scope_key",
-    "'fresh ' || props AS payload",
+    f"{payloads('fresh')} AS payload",
     "ts AS loaded_at",
     "CASE WHEN event_type = 'error' THEN 'load ' || CAST(event_id % 9 AS VARCHAR(20)) END AS error",
     "event_id",
@@ -189,7 +202,10 @@ SERVED = [
     "event_type IN ('click', 'error') AS refresh",
 ]
 
-TREND_VISITS = [f"CAST({whole('event_id', 3)} AS VARCHAR(20)) AS request_id", *SERVED[1:]]
+TREND_VISITS = [
+    f"CAST({whole('event_id', 3)} AS VARCHAR(20)) AS request_id", *SERVED[1:],
+    f"'{{\"topic\": \"t ' || CAST({whole('event_id', 3)} AS VARCHAR(20)) || '\"}}' AS filters",
+]
 
 EVENTS = [
     "CAST(user_id AS VARCHAR(20)) AS run_id",

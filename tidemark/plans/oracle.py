@@ -541,6 +541,13 @@ SELECT request_id, trend_query, {viral_sql()} AS viral_queries, {INDUSTRY} AS in
   '{{"distribution_mode": "' || distribution_mode || '", "module": "videos", "product_category": "' || product_category || '", "target_country": "' || target_country
     || '", "target_languages": ["' || language_name || '"], "target_platform": "' || target_platform || '", "topic": "' || topic || '"}}' AS scope_key FROM queried"""
 
+MODULE_KEY = """{"distribution_mode": "' || distribution_mode || '", 'MODULE'"product_category": "' || product_category || '", "target_country": "' || target_country
+    || '", "target_languages": ["' || language_name || '"], "target_platform": "' || target_platform || '", "topic": "' || topic || '"}"""
+ORACLE["module_requests"] = f"""WITH {TREND_REQUESTS}, {NAMED}
+SELECT request_id, '{MODULE_KEY.replace("'MODULE'", '')}' AS filters, module_name,
+  '{MODULE_KEY.replace("'MODULE'", '"module": "' + "' || module_name || '" + '", ')}' AS scope_key, CASE module_name WHEN 'videos' THEN reason IS NULL ELSE topic = '' END AS refresh
+FROM queried CROSS JOIN (SELECT unnest([{', '.join(text(m) for m in I.MODULES)}]) AS module_name)"""
+
 ORACLE["trend_briefs"] = f"""WITH {HITS}, {TREND_REQUESTS}, {NAMED},
 firsts AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY event_id) AS n FROM hits QUALIFY n <= 5),
 lines AS (SELECT request_id, count(*) AS sources, string_agg('  ' || n || '. ' || CASE title WHEN '' THEN 'Signal ' || n ELSE title END
@@ -572,28 +579,45 @@ SELECT request_id, category_key, count(*) AS articles, string_agg(content, ' ' O
 FROM firsts GROUP BY ALL"""
 
 SNAPSHOTS = f"""snaps AS (SELECT * FROM ({I.sql(I.SNAPSHOTS, 'events')}) QUALIFY row_number() OVER (PARTITION BY module_name, scope_key ORDER BY updated_at DESC, event_id DESC) = 1)"""
+
+
+def member(json: str, key: str) -> str:
+    return f"""CAST(json_extract({json}, '$."' || {key} || '"') AS VARCHAR)"""
+
+
 SERVED = f"""{SNAPSHOTS},
 loads AS (SELECT * FROM ({I.sql(I.LOADS, 'events')}) QUALIFY row_number() OVER (PARTITION BY module_name, scope_key ORDER BY event_id DESC) = 1),
 joined AS (SELECT r.*, s.payload AS old, s.updated_at AS old_at, l.payload AS new, l.loaded_at AS new_at, l.error AS load_error, l.event_id IS NOT NULL AS loaded
   FROM ({I.sql(I.SERVED, 'events')}) r LEFT JOIN snaps s USING (module_name, scope_key) LEFT JOIN loads l USING (module_name, scope_key)),
 judged AS (SELECT *, old_at IS NOT NULL AND NOT refresh AS hit FROM joined),
 fresh AS (SELECT *, NOT hit AND loaded AND load_error IS NULL AS store FROM judged),
-served AS (SELECT request_id, module_name, scope_key, hit OR (NOT store AND old_at IS NOT NULL) AS from_cache, NOT hit AND NOT store AND old_at IS NOT NULL AS stale, store,
-  CASE WHEN store THEN new WHEN old_at IS NOT NULL THEN old END AS payload, CASE WHEN hit OR store THEN '' ELSE coalesce(load_error, 'load failed') END AS error,
-  epoch_us(CASE WHEN store THEN new_at ELSE old_at END) AS at_us FROM fresh)"""
+facts AS (SELECT * EXCLUDE (hit, store, old, new), hit OR (NOT store AND old_at IS NOT NULL) AS from_cache, NOT hit AND NOT store AND old_at IS NOT NULL AS stale, store,
+  {lookup('module_name', fixed.EMPTY_PAYLOADS, 'NULL')} AS low, CASE WHEN store THEN new ELSE old END AS found, CASE WHEN store THEN new END AS load_payload,
+  CASE WHEN NOT hit AND NOT store THEN CAST(to_json({{'error': coalesce(load_error, 'load failed')}}) AS VARCHAR) ELSE '{{}}' END AS top,
+  epoch_us(CASE WHEN store THEN new_at ELSE old_at END) AS at_us FROM fresh),
+layers AS (SELECT * REPLACE (CASE WHEN json_valid(found) AND json_type(CASE WHEN json_valid(found) THEN found END) = 'OBJECT' THEN found ELSE '{{}}' END AS found) FROM facts),
+served AS (SELECT *, '{{' || array_to_string(list_transform(list_sort(list_distinct(json_keys(low) || json_keys(found) || json_keys(top))),
+    lambda k: '"' || k || '":' || coalesce({member('top', "k")}, {member('found', "k")}, {member('low', "k")})), ',') || '}}' AS payload,
+  coalesce(CASE WHEN list_contains(json_keys(top), 'error') THEN top ->> '$.error' WHEN list_contains(json_keys(found), 'error') THEN found ->> '$.error' END, '') AS error
+  FROM layers)"""
 ORACLE["snapshot_latest"] = f"WITH {SNAPSHOTS} SELECT module_name, scope_key, payload, epoch_us(updated_at) AS at_us FROM snaps"
-ORACLE["snapshot_serve"] = f"WITH {SERVED} SELECT request_id, module_name, payload, error, from_cache, stale, store, at_us FROM served"
+ORACLE["snapshot_serve"] = f"WITH {SERVED} SELECT request_id, module_name, payload, error, from_cache, stale, store, load_payload, at_us FROM served"
 ORACLE["module_meta"] = f"""WITH {SERVED}
 SELECT scope_key, coalesce(min_by(error, CAST(request_id AS BIGINT)) FILTER (WHERE error <> ''), '') AS error, bool_and(from_cache) AS from_cache,
   bool_or(stale) AS stale, max(at_us) AS cached_at FROM served GROUP BY scope_key"""
 
 VISITS = SERVED.replace(I.sql(I.SERVED, "events"), I.sql(I.TREND_VISITS, "events"))
-ORACLE["trend_results"] = f"""WITH {VISITS}
-SELECT request_id, max(payload) FILTER (WHERE module_name = 'topic_brief') AS trend_hunter, max(payload) FILTER (WHERE module_name = 'videos') AS benchmarks,
-  max(error) FILTER (WHERE module_name = 'videos') AS benchmarks_error,
+ORACLE["trend_results"] = f"""WITH {VISITS},
+newest AS (SELECT *, row_number() OVER (PARTITION BY request_id, module_name ORDER BY at_us DESC NULLS LAST, payload DESC) AS n FROM served),
+parts AS (SELECT request_id, max(filters) AS filters, max(payload) FILTER (WHERE module_name = 'videos' AND n = 1) AS videos, max(error) FILTER (WHERE module_name = 'videos' AND n = 1) AS videos_error,
+  max(payload) FILTER (WHERE module_name = 'industry_categories' AND n = 1) AS industry, max(payload) FILTER (WHERE module_name = 'topic_brief' AND n = 1) AS brief,
   CASE WHEN bool_or(module_name <> 'videos') THEN coalesce(min_by(error, module_name) FILTER (WHERE module_name <> 'videos' AND error <> ''), '') END AS industry_error,
   bool_and(from_cache) FILTER (WHERE module_name <> 'videos') AS industry_cached, bool_or(stale) FILTER (WHERE module_name <> 'videos') AS industry_stale
-FROM served GROUP BY request_id"""
+  FROM newest GROUP BY request_id)
+SELECT request_id, filters, coalesce({member('brief', "'topic_brief'")}, {text(fixed.EMPTY_BRIEF)}) AS trend_hunter, coalesce({member('videos', "'items'")}, '[]') AS benchmarks,
+  coalesce(videos_error, '') AS benchmarks_error, videos, industry_error, industry_cached, industry_stale,
+  coalesce({member('industry', "'categories'")}, '[]') AS categories, coalesce({member('brief', "'topic_brief'")}, {text(fixed.EMPTY_BRIEF)}) AS topic_brief
+FROM parts"""
 
 # --- scripts as markdown ------------------------------------------------------------------
 

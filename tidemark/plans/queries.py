@@ -418,6 +418,13 @@ def _brief_hits(spark: SparkSession, folder: str) -> DataFrame:
     return hits.withColumn("hit_no", F.col("event_id"))
 
 
+@query
+def module_requests(spark, folder):
+    """The module requests of every trend request."""
+    r = _trend_requests(spark, folder).withColumns({"refresh_videos": F.col("reason").isNull(), "refresh_industry": F.col("topic") == ""})
+    return TR.module_requests(r)
+
+
 @query
 def trend_briefs(spark, folder):
     """Trend brief, its summary and sources per request."""
@@ -469,7 +476,7 @@ def snapshot_serve(spark, folder):
     """What every module request gets: cached, fresh, stale or nothing."""
     rows = _served(spark, folder)
     at = F.unix_micros(F.col("cached_at").cast("timestamp"))
-    return rows.select("request_id", "module_name", "payload", "error", "from_cache", "stale", "store", at.alias("at_us"))
+    return rows.select("request_id", "module_name", "payload", "error", "from_cache", "stale", "store", "load_payload", at.alias("at_us"))
 
 
 @query
@@ -485,8 +492,10 @@ def trend_results(spark, folder):
     """The three modules of a trend request in one row."""
     rows = TR.trend_result(_served(spark, folder, I.TREND_VISITS))
     return rows.select(
-        "request_id", "trend_hunter", "benchmarks", "benchmarks_error", F.col("industry.error").alias("industry_error"),
-        F.col("industry.from_cache").alias("industry_cached"), F.col("industry.stale").alias("industry_stale"),
+        "request_id", "filters", "trend_hunter", "benchmarks", "benchmarks_error", F.col("videos.payload").alias("videos"),
+        F.col("industry.error").alias("industry_error"), F.col("industry.from_cache").alias("industry_cached"),
+        F.col("industry.stale").alias("industry_stale"), F.col("industry.categories").alias("categories"),
+        F.col("industry.topic_brief").alias("topic_brief"),
     )
 
 

@@ -2,6 +2,7 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark import fixed
@@ -68,8 +69,9 @@ def test_a_late_event_does_not_revive_a_run(spark, tmp_path):
     assert kinds == ["complete"]
 
 
-def test_index_job_rebuilds_only_changes(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "index"))
+@pytest.mark.parametrize("keys", [None, ["doc_id"]])
+def test_index_job_rebuilds_only_changes(spark, tmp_path, keys):
+    table = VersionedTable(spark, str(tmp_path / "index"), keys)
 
     def docs(rows):
         df = spark.createDataFrame(rows, "id string, t string, size long, mtime long")
@@ -86,8 +88,38 @@ def test_index_job_rebuilds_only_changes(spark, tmp_path):
     assert table.versions() == [1, 2]
 
 
-def test_deltas_hold_changes_only(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "t"))
+def test_a_batch_reads_the_buckets_of_its_keys(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), ["k"], 32)
+    rows = spark.range(2000).selectExpr("concat('d', id) as k", "id as v")
+    table.apply(rows.select("k"), rows, 1)
+    few = rows.filter("v in (5, 900)")
+    table.apply(few.select("k"), few.withColumn("v", F.col("v") + 1), 2)
+    near = table.buckets_of(few)
+    got = table.read(buckets=near)
+    assert len(near) <= 2 and {tuple(r) for r in got.filter("k in ('d5', 'd900')").collect()} == {("d5", 6), ("d900", 901)}
+    assert got.count() < 400 and got.join(rows, ["k"], "left_anti").count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert scans and all("PartitionFilters" in line and "_bucket" in line.split("PartitionFilters")[1] for line in scans)
+    read = [p.split("_bucket=")[1].split("/")[0] for p in table._part("rows", [1, 2], near).select(F.col("_metadata.file_path")).toPandas().iloc[:, 0]]
+    assert {int(b) for b in read} == set(near)
+    table.compact()
+    assert table.read().count() == 2000 and table.read(buckets=near).count() == got.count()
+
+
+def test_a_version_without_rows_keeps_its_columns(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), ["k"])
+    rows = spark.createDataFrame([("a", 1), (None, 2)], "k string, v int")
+    table.apply(rows.select("k"), rows.limit(0), 1)
+    assert table.read().columns == ["k", "v"] and table.read().count() == 0
+    table.apply(rows.select("k"), rows, 2)
+    table.apply(rows.select("k").filter("k is null"), rows.filter("k is null").withColumn("v", F.lit(3)), 3)
+    assert {tuple(r) for r in table.read().collect()} == {("a", 1), (None, 3)}
+
+
+@pytest.mark.parametrize("keys", [None, ["k"]])
+def test_deltas_hold_changes_only(spark, tmp_path, keys):
+    table = VersionedTable(spark, str(tmp_path / "t"), keys)
     schema = "k string, v int"
 
     def change(version, keys, rows):
@@ -99,7 +131,7 @@ def test_deltas_hold_changes_only(spark, tmp_path):
     assert content() == []
     change(1, ["a", "b", "c"], [("a", 1), ("a", 2), ("b", 3), ("c", 4)])
     change(2, ["a", "c"], [("a", 5)])
-    assert spark.read.parquet(str(tmp_path / "t" / "v2" / "rows")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "t" / "rows" / "_version=2")).count() == 1
     assert content() == [("a", 5), ("b", 3)] and content(before=2) == [("a", 1), ("a", 2), ("b", 3), ("c", 4)]
     table.compact()
     assert content() == [("a", 5), ("b", 3)]
@@ -110,8 +142,9 @@ def test_deltas_hold_changes_only(spark, tmp_path):
     assert content() == [("a", 5), ("b", 7)]
 
 
-def test_snapshot_job(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "snaps"))
+@pytest.mark.parametrize("keys", [None, ["module_name", "scope_key"]])
+def test_snapshot_job(spark, tmp_path, keys):
+    table = VersionedTable(spark, str(tmp_path / "snaps"), keys)
     rows = [("videos", "k", "v1", datetime.datetime(2024, 1, 1)), ("videos", "k", "v2", datetime.datetime(2024, 1, 2))]
     for i, row in enumerate(rows):
         spark.createDataFrame([row], jobs.SNAPSHOT_SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / f"f={i}"))

@@ -42,7 +42,7 @@ def test_pages_come_back(pages, tmp_path, monkeypatch):
     shards = warc.write_index(captures, str(tmp_path), block_rows=16)
     got = warc.read_captures(pages.select("page_id", "url"), str(tmp_path), shards).collect()
     assert sorted(tuple(r)[:5] for r in got) == expected(pages.collect())
-    assert all(r.read_digest == r.payload_digest for r in got if r.record_type == "response")
+    assert warc.read_captures(pages.select("page_id", "url"), str(tmp_path), shards, 5).count() == len(got)
     # every archive is a row of gzip members, every index block sorted, and blocks follow each other
     files = glob.glob(f"{tmp_path}/*.warc.gz")
     assert len(files) > 4 and sum(gzip.open(f).read().count(b"WARC/1.1\r\n") for f in files) == pages.count()
@@ -75,9 +75,31 @@ def test_repeated_rows_and_empty_table(stored):
     assert warc.archive_pages(stored([], SCHEMA)).collect() == []
 
 
-def test_a_page_without_id_is_refused(stored):
-    with pytest.raises(Exception, match="a page has no id"):
-        warc.archive_pages(stored([(None, "http://a/", "x", None, None, None)], SCHEMA)).collect()
+def test_pages_without_id(stored, tmp_path):
+    rows = [(None, "http://a/", "x", None, None, None), (None, "http://a/", "x", None, None, None), (7, "http://a/", "x", None, None, None)]
+    rows += [(-5, "http://a/", "z", None, None, None), (None, None, "y", None, None, None), (None, "http://b/", "y", None, None, None), (None, None, None, None, None, None)]
+    pages = stored(rows, SCHEMA)
+    got = warc.archive_pages(pages, str(tmp_path)).collect()
+    assert sorted((r.page_id is not None, r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in got) == [
+        (False, 0, 0, "response", 0), (False, 0, 1, "response", 0), (False, 0, 1, "response", 0), (False, 0, 1, "revisit", 7), (False, 0, 1, "revisit", 7),
+        (True, -5, 1, "response", 0), (True, 7, 1, "response", 0),
+    ]
+
+
+def test_a_damaged_record_is_not_returned():
+    good = warc.record(3, "http://a/", b"payload", None)
+    assert warc.checked_record(good)[:2] == ("response", 7)
+    for old, new in ((b"payload", b"paYload"), (b"Content-Length: 7", b"Content-Length: 6")):
+        with pytest.raises(ValueError, match="urn:page:3"):
+            warc.checked_record(gzip.compress(gzip.decompress(good).replace(old, new)))
+
+
+def test_reads_are_dealt_by_the_size_of_records(spark):
+    def tasks(*lengths):
+        return warc.read_tasks(spark.createDataFrame([(n,) for n in lengths], "length long"))
+
+    cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks() == 1 and tasks(10) == 1 and tasks(3 << 20, 1) == min(cores, 4) and tasks(1 << 40) == 1 << 12
 
 
 def test_reversed_key():

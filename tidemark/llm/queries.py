@@ -107,7 +107,7 @@ from f
 
 @register
 def op10_warc_index(spark, folder):
-    return warc.archive_pages(table(spark, folder, "pages")).drop("read_digest")
+    return warc.archive_pages(table(spark, folder, "pages"))
 
 
 ORACLE["op10_warc_index"] = """

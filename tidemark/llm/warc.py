@@ -8,7 +8,7 @@ import hashlib
 import json
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -25,6 +25,8 @@ from tidemark.session import cut_lineage, ensure_checkpoint_dir
 BLOCK_ROWS = 1000
 DATE = "2024-01-01T00:00:00Z"
 BYTES_PER_FILE = 1 << 30
+#: Record bytes that one task reads back, and the least that are worth a task where there are fewer tasks than cores.
+READ_BYTES, LEAST_READ_BYTES = 1 << 28, 1 << 20
 
 CAPTURE = "key string, page_id long, file string, offset long, length long"
 
@@ -48,15 +50,16 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
     """One WARC/1.1 record as a gzip member: a response, or a revisit of an identical payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    name = "none" if page_id is None else page_id
     body = http + (payload if refers_to is None else b"")
     kind = "response" if refers_to is None else "revisit"
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{name}>",
         f"WARC-Target-URI: {' '.join(url.split())}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{digest_of(payload)}",
@@ -94,7 +97,8 @@ def fresh_folder(spark: SparkSession) -> str:
 def mark_revisits(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, refers_to): of pages with the same payload, all but that with the largest id refer to it.
 
-    Pages are compared by the SHA-256 of the payload. Of equal ids with the same payload one is the response.
+    Pages are compared by the SHA-256 of the payload. Of equal ids with the same payload one is the response. Nothing
+    can refer to a page without id: where no page with an id has its payload, each is a response.
     """
     # the numbers are joined on, so they are stored with the rows
     rows = pages.select(
@@ -193,6 +197,11 @@ def _put(out, block):
     return [block[0][0], block[0][1], at, out.tell() - at]
 
 
+def _place(key: str, page_id: int | None) -> tuple:
+    """Order of a capture in the index: by key, then by page id, none first."""
+    return key, page_id is not None, page_id or 0
+
+
 class CaptureIndex:
     """Finds captures by binary search: shard by first key, block by the shard's directory, line in the block.
 
@@ -200,10 +209,10 @@ class CaptureIndex:
     directory and a block are read when a search first needs them, by a range read, and the last ones are kept.
     """
 
-    def __init__(self, folder: str, top: list[tuple[str, int, str]]):
+    def __init__(self, folder: str, top: list[tuple[str, int | None, str]]):
         self.store, self.path = _open(folder)
-        self.top = sorted(top)
-        self.firsts = [t[:2] for t in self.top]
+        self.top = sorted(top, key=lambda t: _place(*t[:2]))
+        self.firsts = [_place(*t[:2]) for t in self.top]
         self.shard = self.block = self.blocks = None
         self.directory: list = []
         self.files: dict = {}
@@ -223,22 +232,22 @@ class CaptureIndex:
             at, length = self.directory[number][2:]
             lines = gzip.decompress(self.blocks.read_at(length, at)).decode().splitlines()
             rows = [tuple(json.loads(line)) for line in lines]
-            self.block = (number, rows, [r[:2] for r in rows])
+            self.block = (number, rows, [_place(*r[:2]) for r in rows])
         return self.block
 
-    def find(self, key: str, page_id: int) -> list[tuple]:
+    def find(self, key: str, page_id: int | None) -> list[tuple]:
         """All captures of a key and page id."""
-        wanted, found = (key, page_id), []
+        wanted, found = _place(key, page_id), []
         # equal keys may begin before the last first key at or below the wanted one
-        shard = max(0, bisect_right(self.firsts, (key, page_id - 1)) - 1)
+        shard = max(0, bisect_left(self.firsts, wanted) - 1)
         while shard < len(self.firsts) and self.firsts[shard] <= wanted:
             self._shard(shard)
-            starts = [tuple(d[:2]) for d in self.directory] if self.block is None else self.starts
+            starts = [_place(*d[:2]) for d in self.directory] if self.block is None else self.starts
             self.starts = starts
-            block = max(0, bisect_right(starts, (key, page_id - 1)) - 1)
+            block = max(0, bisect_left(starts, wanted) - 1)
             while block < len(starts) and starts[block] <= wanted:
                 _, rows, keys = self._block(block)
-                at = bisect_right(keys, (key, page_id - 1))
+                at = bisect_left(keys, wanted)
                 while at < len(keys) and keys[at] == wanted:
                     found.append(rows[at])
                     at += 1
@@ -256,10 +265,35 @@ class CaptureIndex:
         return self.files[name].read_at(length, at)
 
 
-def read_captures(wanted: DataFrame, folder: str, shards: DataFrame) -> DataFrame:
-    """Look up (page_id, url) rows in the index and read their records; one row per capture found.
+def checked_record(member: bytes) -> tuple[str, int, str, int | None]:
+    """(type, payload bytes, payload digest, page referred to) of a record.
 
-    Requests are sorted as the index is, so that a task opens few blocks and reads each once.
+    Size and digest of a response are those of the payload that was read; a response whose headers say otherwise is
+    damaged and raises. A revisit holds no payload, so its headers say what it refers to.
+    """
+    headers, payload, length = parse_record(member)
+    named = headers["warc-payload-digest"].removeprefix("sha1:")
+    refers = headers.get("warc-refers-to")
+    if refers:
+        return headers["warc-type"], length, named, int(refers.rpartition(":")[2].rstrip(">"))
+    found = digest_of(payload)
+    if (len(payload), found) != (length, named):
+        raise ValueError(f"{headers['warc-record-id']}: payload of {len(payload)} bytes, {found}; its headers say {length}, {named}")
+    return headers["warc-type"], len(payload), found, None
+
+
+def read_tasks(captures: DataFrame) -> int:
+    """How many tasks read the records back, by the bytes of the records."""
+    size = captures.agg(F.sum("length")).first()[0] or 0
+    cores = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-size // READ_BYTES), min(cores, -(-size // LEAST_READ_BYTES)))
+
+
+def read_captures(wanted: DataFrame, folder: str, shards: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Look up (page_id, url) rows in the index, read their records and check them; one row per capture found.
+
+    Requests are sorted as the index is, so that a task opens few blocks and reads each once. Their keys say nothing
+    of the size of their records, so the number of ``tasks`` is given.
     """
     top = [(r.key, r.page_id, r.shard) for r in shards.collect()]  # one entry per partition of the index
 
@@ -269,28 +303,16 @@ def read_captures(wanted: DataFrame, folder: str, shards: DataFrame) -> DataFram
             rows = []
             for key, page_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for capture in index.find(key, page_id):
-                    headers, payload, length = parse_record(index.read(capture))
-                    refers = headers.get("warc-refers-to")
-                    rows.append(
-                        (
-                            page_id,
-                            length,
-                            headers["warc-payload-digest"].removeprefix("sha1:"),
-                            headers["warc-type"],
-                            int(refers.rpartition(":")[2].rstrip(">")) if refers else None,
-                            digest_of(payload) if not refers else None,
-                        )
-                    )
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-            names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "read_digest"]
+                    kind, size, digest, refers = checked_record(index.read(capture))
+                    rows.append((page_id, size, digest, kind, refers))
+            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+            names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
     keyed = wanted.mapInArrow(_keys, "key string, page_id long").distinct()
-    dealt = keyed.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    schema = (
-        "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, read_digest string"
-    )
-    return dealt.mapInArrow(read, schema)
+    ranges = keyed.repartitionByRange(*[tasks] if tasks else [], "key", "page_id")
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    return ranges.sortWithinPartitions("key", "page_id").mapInArrow(read, schema)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,12 +325,13 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as WARC files with an index, and read every record back through it.
 
     The files go to ``folder``, by default a new one below ``spark.checkpoint.dir``. A null page is empty, a null
-    URL is the empty key, and a null page id cannot be named by a record and is refused. Repeated rows are records
-    of their own. An empty table gives no rows. Other columns are not read.
+    URL is the empty key. A page without id is a record too, found by its URL: a revisit of the page with an id that
+    has the same payload, else a response. Repeated rows are records of their own. An empty table gives no rows.
+    Other columns are not read.
     """
     spark = pages.sparkSession
     folder = folder or fresh_folder(spark)
-    checked = pages.withColumn("page_id", F.coalesce("page_id", F.raise_error(F.lit("a page has no id")).cast("long")))
-    captures = write_archives(mark_revisits(checked), folder)
+    captures = write_archives(mark_revisits(pages), folder)
     shards = write_index(captures, folder)
-    return read_captures(pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url")), folder, shards)
+    wanted = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"))
+    return read_captures(wanted, folder, shards, read_tasks(captures))

@@ -82,6 +82,24 @@ def test_one_document_follows_itself(stored):
     same(winnow.fingerprints(stored(docs, "doc_id long, text string")).collect(), expected(docs, winnow.GRAM, winnow.WINDOW))
 
 
+def test_least_greatest_and_close_ids(stored):
+    """Ids that a double cannot tell apart, at both ends of a long, and nulls before the least one."""
+    least, most = -(2**63), 2**63 - 1
+    rng = random.Random(3)
+    text = lambda: "".join(rng.choice("abcdef ") for _ in range(200))
+    docs = [(i, text()) for i in [*range(least, least + 60), *range(2**62, 2**62 + 60), *range(most - 60, most + 1)]]
+    docs += [(None, "b"), (None, "a" * 300)]
+    rng.shuffle(docs)
+    got = winnow.fingerprints(stored(docs, "doc_id long, text string")).collect()
+    ordered = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
+    following = dict(zip(ordered, [*ordered[1:], ordered[0]], strict=True))
+    want = []
+    for (i, t), (_, after) in following.items():
+        cut = len(t) // 4
+        want.append((i, hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()))
+    assert sorted(((r.doc_id, r.edited_sha256) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_shared_passage_shares_a_hash(spark):
     rng = random.Random(8)
     text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))

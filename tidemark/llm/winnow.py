@@ -17,6 +17,8 @@ BLOCK = 4096
 _LOW = 31
 _HASH = ((1 << 32) - 1) << _LOW
 _RUN = 64
+#: The place of a null id, which comes before an equal one.
+LEAST_ID = -(2**63)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -150,21 +152,27 @@ def slice_of(key: Column, cuts: list[int]) -> Column:
     return whole + below(F.slice(literal(cuts), whole + 1, F.lit(step)))
 
 
-def with_next(rows: DataFrame, key: str, carried: list[str], prepared: Callable[[DataFrame], DataFrame], slices: int) -> DataFrame:
+def with_next(
+    rows: DataFrame, key: str, carried: list[str], prepared: Callable[[DataFrame], DataFrame], slices: int, ties: list[str]
+) -> DataFrame:
     """Each row with ``next``, the ``carried`` columns of the row that follows by ``key``; the last is followed by the first.
 
+    Rows of one key follow each other by ``ties``.
+
     Sampled keys cut the order into slices; the row at a cut goes to the slice before as well. So a slice finds all
     followers within itself, and the order never meets in one task. ``prepared`` adds columns behind the shuffle.
     """
-    cuts, first = rows.agg(
-        F.percentile_approx(key, [i / slices for i in range(1, slices)] or [0.5], max(10_000, 20 * slices)), F.min(key)
-    ).first()
-    cuts = sorted(set(cuts or []) - {first})
+    near = rows.agg(
+        F.percentile_approx(key, [i / slices for i in range(1, slices)] or [0.5], max(10_000, 20 * slices))
+    ).first()[0]
+    # the sample rounds large keys, so the least key of each slice is the cut: never more than there are slices
+    found = rows.groupBy(slice_of(F.col(key), sorted(set(near or []))).alias("s")).agg(F.min(key).alias("least"))
+    first, *cuts = sorted(r.least for r in found.collect()) or [0]
     own = slice_of(F.col(key), cuts)
     ghost = F.struct((own - 1).alias("slice"), F.lit(1).alias("ghost"), F.lit(0).alias("wrap"))
     is_cut = F.lit(False)
     if cuts:
-        is_cut = slice_of(F.col(key), cuts) > slice_of(F.col(key) - 1, cuts)
+        is_cut = F.col(key).isin(cuts)
     wrap = F.struct(F.lit(len(cuts)).alias("slice"), F.lit(1).alias("ghost"), F.lit(1).alias("wrap"))
     real = F.struct(own.alias("slice"), F.lit(0).alias("ghost"), F.lit(0).alias("wrap"))
     places = F.concat(
@@ -175,7 +183,7 @@ def with_next(rows: DataFrame, key: str, carried: list[str], prepared: Callable[
         ),
     )
     dealt = rows.withColumn("_at", F.explode(places)).select("*", "_at.*").drop("_at").repartition("slice")
-    order = Window.partitionBy("slice").orderBy("wrap", key, "text")
+    order = Window.partitionBy("slice").orderBy("wrap", key, *ties)
     led = prepared(dealt).withColumn("next", F.lead(F.struct(*carried)).over(order))
     return led.filter("ghost = 0").drop("slice", "ghost", "wrap")
 
@@ -195,13 +203,14 @@ def fingerprints(
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**62))).alias("key"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("key"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     slices = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     paired = with_next(
-        rows, "key", ["text", "own"], lambda d: d.withColumn("own", winnow(F.col("text"), gram, window, block)), slices
-    )
+        rows, "key", ["text", "own"], lambda d: d.withColumn("own", winnow(F.col("text"), gram, window, block)), slices,
+        ["doc_id", "text"],
+    )
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = paired.withColumn("same", n - cut).withColumn(

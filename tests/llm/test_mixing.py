@@ -80,6 +80,13 @@ def test_odd_documents(odd_documents, no_documents):
     assert mixing.mix_sources(no_documents).collect() == [] and mixing.take_mix(no_documents).collect() == []
 
 
+def test_columns_named_as_the_operator_names_its_own(stored):
+    names = ["_taken_row", "_taken_copies", "_taken_copy", "_TAKEN_ROW_", "_row_number", "copies", "_part", "a.b"]
+    docs = stored([(i, "w " * (i + 1), "ab"[i % 2], *[i] * len(names)) for i in range(12)], ", ".join(["doc_id long, text string, source string", *[f"`{n}` int" for n in names]]))
+    mixed = mixing.take_mix(docs)
+    assert mixed.columns == docs.columns and all(set(r[3:]) == {r.doc_id} for r in mixed.collect())
+
+
 def test_empty_texts_only(stored):
     docs = stored([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert sorted((r.doc_id, r.target, r.taken) for r in mixing.mix_sources(docs).collect()) == [(1, 0.0, 0), (2, 0.0, 0)]

@@ -201,9 +201,16 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """The rows of ``docs``, each as often as the mix takes it; all its columns. Rows are numbered and stored once."""
     numbered, row = with_row_number(docs)
     quota = mix_sources(numbered, id_col, text_col, source_col, carry=(row,)).filter("copies > 0")
-    times = quota.select(F.col(row).alias("_taken_row"), F.col("copies").cast("int").alias("_taken_copies"))
-    # an array of one place per copy is exploded behind the columns of the table, which keep their names
-    joined = numbered.join(times, F.col(row) == F.col("_taken_row"))
-    return joined.select(*[joined[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "_taken_copies")).alias("_taken_copy")).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    # a place per copy is exploded behind the columns of the table, which keep their names
+    taken, copies, each = (unused(numbered.columns, n) for n in ("_taken_row", "_taken_copies", "_taken_copy"))
+    times = quota.select(F.col(row).alias(taken), F.col("copies").cast("int").alias(copies))
+    joined = numbered.join(times, F.col(row) == F.col(taken))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*names, F.explode(F.sequence(F.lit(1), copies)).alias(each)).select(*names)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or a longer one that no column has."""
+    while name.lower() in (c.lower() for c in columns):
+        name += "_"
+    return name

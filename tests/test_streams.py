@@ -9,6 +9,7 @@ from tidemark import fixed
 from tidemark.operators import chunk as K
 from tidemark.operators import embed as E
 from tidemark.operators import progress as PR
+from tidemark.plans import ingest
 from tidemark.plans import queries as Q
 from tidemark.plans import review as V
 from tidemark.sources import readers, writers
@@ -171,10 +172,35 @@ def test_review_job(spark, tmp_path):
     schema = "request_id long, script string"
     spark.createDataFrame([(1, "the best"), (2, "#ad fine")], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    jobs.start(stream, jobs.review_job(lambda: index, users, str(tmp_path / "out")), str(tmp_path / "ck")).awaitTermination()
+    table = VersionedTable(spark, str(tmp_path / "index"))
+    table.replace(index)
+    job = jobs.review_job(table, users, str(tmp_path / "out"))
+    jobs.start(stream, job, str(tmp_path / "ck")).awaitTermination()
     got = {r.request_id: r.overall_status for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {r.request_id: r.overall_status for r in V.review(spark.read.parquet(str(tmp_path / "in")), index, users).collect()}
     assert got == want == {"1": "needs_revision", "2": "approved"}
+    # a batch that runs again sees the index of its first run, a later one the newest
+    table.replace(index.limit(0))
+    job(spark.read.parquet(str(tmp_path / "in")), 0)
+    assert {r.request_id: r.overall_status for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+    job(spark.read.parquet(str(tmp_path / "in")), 1)
+    assert {r.evidence_count for r in spark.read.parquet(str(tmp_path / "out" / "batch=1")).collect()} == {0}
+
+
+def test_review_stream_as_in_batch(spark):
+    got = ingest.continuous_review(spark, FOLDER)
+    scripts, index, users = ingest.review_inputs(spark, FOLDER)
+    want = ingest.review_outcome(V.review(scripts, index, users, embedder=Q.MD5))
+    rows = {tuple(r) for r in got.collect()}
+    assert len(rows) == 200 and rows == {tuple(r) for r in want.collect()}
+
+
+def test_document_files_need_a_name(spark, tmp_path):
+    docs = spark.createDataFrame([("a/b", "x"), (None, "y")], "source_id string, body string").withColumn("metadata", F.struct("source_id"))
+    for row in ("source_id is null", "source_id is not null"):
+        with pytest.raises(Exception, match="no file name"):
+            writers.document_files(docs.filter(row), str(tmp_path / "files"))
+    writers.document_files(docs.filter("false"), str(tmp_path / "files"))
 
 
 def test_files_round_trip(spark, tmp_path):

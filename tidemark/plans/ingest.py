@@ -23,11 +23,14 @@ from tidemark.operators.keyed import number_rows
 from tidemark.plans import inputs as I
 from tidemark.plans import oracle as O
 from tidemark.plans import queries as Q
+from tidemark.plans import review as V
 from tidemark.plans.oracle import ORACLE, strip, text
 from tidemark.plans.queries import query
 from tidemark.session import ensure_checkpoint_dir
-from tidemark.sources import writers
+from tidemark.sources import readers, writers
 from tidemark.sources.readers import spread, table, token_documents
+from tidemark.sources.writers import VersionedTable
+from tidemark.streaming import jobs
 
 ID = "CAST(doc_id AS VARCHAR(20))"
 
@@ -106,6 +109,46 @@ def stored_round_trip(spark, folder):
 ORACLE["stored_round_trip"] = f"""SELECT doc_id, 'T "' || doc_id || '" \\ é' AS title, lang AS language, CAST(doc_id AS VARCHAR) AS n,
   md5({strip('text')}) AS digest FROM documents"""
 
+
+
+def _folder(spark, name):
+    """A new folder in the one that the driver and all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def document_files(spark, folder):
+    """Documents written as markdown files with sidecars, and read back from both."""
+    rows = I.rows(spark, folder, "documents", DIRECT)
+    names = ["title", "category", "market", "region", "platform", "language", "priority", "notes", "source_url"]
+    key = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+    docs = rows.select(key.alias("source_id"), M.upload_metadata({n: F.col(n) for n in names}, key, F.lit("2024-01-01")).alias("metadata"), "body")
+    path = _folder(spark, "files")
+    writers.document_files(docs, path)
+    texts = C.source_documents(readers.markdown_sources(spark, path))
+    side = readers.metadata_files(spark, path).select("source_id", F.col("title").alias("side_title"), "region", "priority")
+    return texts.join(side, F.col("doc_id") == F.col("source_id")).select(
+        "doc_id", "source_title", "side_title", "source_category", "platform", "region", side["priority"], F.md5("body").alias("digest")
+    )
+
+
+_CATEGORIES = ", ".join(text(c) for c in fixed.RELEVANT_CATEGORIES)
+
+
+@query
+def raw_file_pages(spark, folder):
+    """Raw html files, written and read as bytes: their pages, and the size of each file."""
+    path = _folder(spark, "raw")
+    pages = spread(table(spark, folder, "pages")).select("page_id", F.coalesce("html", F.lit("")).alias("html"))
+    writers.raw_files(pages.select(F.concat(F.lit("page_"), "page_id", F.lit(".html")).alias("name"), F.encode("html", "UTF-8").alias("content")), path)
+    files = readers.raw_files(spark, path)
+    got = readers.raw_pages(files).drop("page_id").join(files.select("source_id", "suffix", "size"), "source_id")
+    return got.select("source_id", "suffix", "size", F.md5("html").alias("digest"))
+
+
+ORACLE["raw_file_pages"] = """SELECT 'page_' || page_id AS source_id, '.html' AS suffix, octet_length(encode(coalesce(html, ''))) AS size,
+  md5(coalesce(html, '')) AS digest FROM pages"""
+
 # --- uploads ------------------------------------------------------------------------------
 
 UPLOADS = [
@@ -173,6 +216,12 @@ SELECT doc_id, CAST(doc_id AS VARCHAR) AS source_id, CASE platform WHEN '' THEN
   CASE upper(market) WHEN '' THEN '' WHEN 'GLOBAL' THEN '' WHEN 'EU' THEN '' WHEN 'UK' THEN 'GB' ELSE upper(market) END AS country_code, upper(market) IN ('GLOBAL', 'EU') AS is_global_fallback,
   md5(CASE WHEN doc_id % 3 = 0 THEN body ELSE '# ' || title || chr(10) || chr(10) || regexp_replace(body, '^\\s+', '') END) AS digest FROM u"""
 
+ORACLE["document_files"] = f"""WITH u AS ({I.sql(DIRECT, 'documents')})
+SELECT 'doc_' || doc_id AS doc_id, title AS source_title, title AS side_title, CASE category WHEN '' THEN 'platform_policy' ELSE lower(category) END AS source_category,
+  CASE platform WHEN '' THEN 'all' ELSE lower(platform) END AS platform, CASE market WHEN '' THEN 'GLOBAL' ELSE upper(market) END AS region,
+  CASE priority WHEN '' THEN 'P2' ELSE upper(priority) END AS priority, md5({strip('body')}) AS digest
+FROM u WHERE {strip('body')} <> '' AND (category = '' OR lower(category) IN ({_CATEGORIES}))"""
+
 # --- catalog, index, snapshots ------------------------------------------------------------
 
 RAW = [
@@ -227,6 +276,54 @@ def index_write(spark, folder):
 ORACLE["index_write"] = f"""WITH {O.CHUNKS} SELECT chunk_id, doc_id, source_category, '2024-01-01' AS built_at, md5(text) AS digest FROM chunks"""
 
 
+@query
+def incremental_index(spark, folder):
+    """The index after two batches of its stream job: all documents, some still without text, then all as they are now."""
+    docs = I.knowledge(spark, folder).withColumn("no", F.col("doc_id").cast("bigint"))
+    late = F.col("no") % 7 == 0
+    first = docs.withColumns({"body": F.when(late, F.lit("To be written.")).otherwise(F.col("body")), "mtime": F.lit(0)})
+    second = docs.withColumn("mtime", F.when(late, 1).otherwise(0))
+    chunks = VersionedTable(spark, _folder(spark, "versions"), ["doc_id"])
+    job = jobs.index_job(chunks, Q.MD5)
+    for batch, rows in enumerate((first, second)):
+        job(rows.withColumn("size", F.length("body").cast("bigint")).drop("no"), batch)
+    return chunks.read().select("chunk_id", "doc_id", "mtime", "size", F.md5("text").alias("digest"))
+
+
+ORACLE["incremental_index"] = f"""WITH {O.CHUNKS}, k AS ({I.sql(I.KNOWLEDGE, 'documents')})
+SELECT chunk_id, doc_id, CASE WHEN CAST(doc_id AS BIGINT) % 7 = 0 THEN 1 ELSE 0 END AS mtime, length(k.body) AS size, md5(text) AS digest
+FROM chunks JOIN k USING (doc_id)"""
+
+
+def review_inputs(spark, folder):
+    """(requests, index, users): every document as a script, against the chunks of all."""
+    scripts = spread(table(spark, folder, "documents")).select(
+        F.col("doc_id").alias("request_id"), F.col("text").alias("script"), (F.col("doc_id") % 40 + 100001).alias("user_id"),
+        F.expr(I.pick("doc_id", ["tiktok", "instagram", "youtube"])).alias("target_platform"),
+    )
+    return scripts, V.build_index(I.knowledge(spark, folder), Q.MD5), I.rows(spark, folder, "customer", I.USERS)
+
+
+@query
+def continuous_review(spark, folder):
+    """Every document reviewed as a script that arrives in a stream of files, against the index of its batch."""
+    scripts, index, users = review_inputs(spark, folder)
+    arriving, chunks, out = _folder(spark, "scripts"), VersionedTable(spark, _folder(spark, "versions")), _folder(spark, "reports")
+    chunks.replace(index)
+    scripts.write.parquet(arriving)
+    stream = spark.readStream.schema(scripts.schema).parquet(arriving)
+    jobs.start(stream, jobs.review_job(chunks, users, out, Q.MD5), _folder(spark, "stream")).awaitTermination()
+    return review_outcome(spark.read.parquet(out))
+
+
+def review_outcome(reports):
+    listed = F.transform("report_issues", lambda i: F.concat_ws("|", i["issue_type"], i["risk_level"], i["excerpt"]))
+    return reports.select(
+        "request_id", "overall_status", "evidence_count", "route", F.size("report_issues").alias("issues"),
+        F.md5(F.array_join(listed, "\n")).alias("digest"),
+    )
+
+
 @query
 def snapshot_upsert(spark, folder):
     """Snapshots after the fresh ones came in: the newest of each key."""

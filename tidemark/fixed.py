@@ -568,4 +568,5 @@ LIBRARY_DEFAULTS = {
 UPLOAD_EMPTY = "上传文件为空。"
 UPLOAD_SUFFIX = "仅支持上传 pdf、html、md、markdown、txt 文件。"
 UPLOAD_BLANK = "文本资料内容为空。"
+NO_CATALOG_ENTRY = "Missing source catalog entry for "
 CRAWL_STATUSES = ["downloaded", "manual_required", "failed", "blocked"]

@@ -210,7 +210,7 @@ def normalise_raw(raw: DataFrame, catalog: DataFrame, processed_at: Column) -> t
     entries = catalog.select(F.col("id").alias("source_id"), *[F.col(n).alias(f"c_{n}") for n in names])
     joined = keyed.join(entries.withColumn("_found", F.lit(True)), "source_id", "left")
     errors = joined.filter(F.col("_found").isNull()).select(
-        "path", "source_id", F.concat(F.lit("Missing source catalog entry for "), F.col("source_id")).alias("error")
+        "path", "source_id", F.concat(F.lit(fixed.NO_CATALOG_ENTRY), F.col("source_id")).alias("error")
     )
     e = {n: F.col(f"c_{n}") for n in names} | {"id": F.col("source_id")}
     found = joined.filter(F.col("_found"))

@@ -51,8 +51,11 @@ def viral_benchmarks(
     ``hits``: request_id, wanted (platform asked for), platform (searched), query_no,
     hit_no and the hit fields. A supported platform is searched alone; the others only
     count for a request whose own platform gave nothing. A URL counts once, at its first
-    accepted hit.
+    accepted hit. ``images`` are those of the whole answer that a hit came in; a hit's own stands at its ``hit_no``.
     """
+    # looked up in the scan, so that no list of images is shuffled
+    image = F.get("images", F.col("hit_no")) if "images" in hits.columns else F.lit("")
+    hits = hits.withColumn("image_url", F.coalesce(image, F.lit(""))).drop("images")
     good = viral_hits(hits, as_of, days, min_views)
     single = F.col("wanted").isin(*fixed.VIRAL_PLATFORMS)
     good = good.withColumn("_own", ~single | (F.col("platform") == F.col("wanted")))
@@ -64,7 +67,6 @@ def viral_benchmarks(
     best = top_k(unique, ["request_id", "_own"], [views.desc(), score.desc(), *turn, F.col("url")], most)
     served = F.max("_own").over(Window.partitionBy("request_id"))
     best = best.withColumn("_served", served).filter(F.col("_own") | ~F.col("_served"))
-    image = F.get("images", F.col("hit_no")) if "images" in hits.columns else F.lit("")
     title = F.when(F.coalesce("title", F.lit("")) == "", T.lookup(F.col("platform_key"), fixed.PLATFORM_LABELS, F.lit(fixed.VIRAL_TITLE_DEFAULT)))
     return best.select(
         "request_id",
@@ -77,7 +79,7 @@ def viral_benchmarks(
         F.when(views > 0, R.view_label(views)).otherwise(F.lit(fixed.VIEW_LABEL_LIVE)).alias("view_count_label"),
         T.compact("content", 140).alias("summary"),
         score.alias("score"),
-        F.coalesce(image, F.lit("")).alias("image_url"),
+        "image_url",
         (F.coalesce("favicon", F.lit("")) if "favicon" in hits.columns else F.lit("")).alias("favicon"),
     )
 

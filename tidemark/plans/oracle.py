@@ -504,7 +504,8 @@ firsts AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY request_id
 ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY coalesce(view_count, 0) DESC, score DESC, {TURN}, query_no, hit_no, url) AS rank FROM firsts QUALIFY rank <= 4)
 SELECT request_id, rank, {compact("CASE title WHEN '' THEN CASE platform_key WHEN 'tiktok' THEN 'TikTok' WHEN 'instagram' THEN 'Instagram Reels' WHEN 'x' THEN 'X' ELSE 'Viral video' END ELSE title END", 88)} AS title,
   url, platform_key, coalesce(view_count, 0) AS view_count,
-  CASE WHEN view_count > 0 THEN {view_label('view_count')} ELSE {text(fixed.VIEW_LABEL_LIVE)} END AS view_count_label, score FROM ranked"""
+  CASE WHEN view_count > 0 THEN {view_label('view_count')} ELSE {text(fixed.VIEW_LABEL_LIVE)} END AS view_count_label, score,
+  CASE WHEN event_id % 29 <> 0 AND hit_no <= event_id % 400 THEN 'https://img.example.com/' || hit_no ELSE '' END AS image_url FROM ranked"""
 
 TREND_REQUESTS = f"asked AS (SELECT DISTINCT * FROM ({I.sql(I.TREND_REQUESTS, 'events')}))"
 

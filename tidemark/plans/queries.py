@@ -385,8 +385,10 @@ def hit_signals(spark, folder):
 @query
 def viral_benchmarks(spark, folder):
     """Top hits per request, with platform fallback and URL deduplication."""
-    best = TR.viral_benchmarks(_hits(spark, folder), F.lit(I.AS_OF).cast("date"))
-    return best.select("request_id", "rank", "title", "url", "platform_key", "view_count", "view_count_label", "score")
+    images = F.transform(F.sequence(F.lit(0), F.col("event_id") % 400), lambda i: F.concat(F.lit("https://img.example.com/"), i.cast("string")))
+    hits = _hits(spark, folder).withColumn("images", F.when(F.col("event_id") % 29 != 0, images))
+    best = TR.viral_benchmarks(hits, F.lit(I.AS_OF).cast("date"))
+    return best.select("request_id", "rank", "title", "url", "platform_key", "view_count", "view_count_label", "score", "image_url")
 
 
 def _trend_requests(spark: SparkSession, folder: str) -> DataFrame:

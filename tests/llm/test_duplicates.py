@@ -7,6 +7,7 @@ import numpy as np
 
 from tidemark.llm import graph, jaccard, recipes, repeats
 from tidemark.llm.queries import QUERIES
+from tidemark.session import cut_lineage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -130,6 +131,81 @@ def test_near_duplicates_are_all_links(stored):
     assert sorted(r.doc_id for r in kept) == sorted({c for c, *_ in expected.values()})
 
 
+def boilerplate(count, seed=12):
+    """Texts of 120 words, half of them the same in all: near nobody, but often in one band with others."""
+    rng = random.Random(seed)
+    same = [f"s{i}" for i in range(60)]
+    return [" ".join(same + [f"u{rng.randrange(10**9)}" for _ in range(60)]) for _ in range(count)]
+
+
+def test_texts_that_share_a_half_are_verified_by_bucket(stored):
+    for count in (1000, 3000):
+        docs = stored(list(enumerate(boilerplate(count))), "doc_id long, text string")
+        bands, rows = jaccard.bands_and_rows(0.8, jaccard.RECALL, jaccard.MOST_HASHES)
+        signed = jaccard._signatures(docs.selectExpr("doc_id as row", "doc_id", "text"), 5, bands, rows)
+        signed = cut_lineage(signed)
+        seats = jaccard.seats_of(signed, signed.select("row"), 16).collect()
+        members = defaultdict(set)
+        blocks = 0
+        for r in seats:
+            for seat in r.seats:
+                members[seat.band, seat.group].add(r.row)
+                blocks += seat.blocks
+        # pairs of a common band sit in one group: in its first band, or together
+        by_row = {r.row: r for r in seats}
+        met = defaultdict(set)
+        for r in signed.collect():
+            for band, value in enumerate(r.bands):
+                met[band, value].add(r.row)
+        together = {seat.group: members[-1, seat.group] for r in seats for seat in r.seats if seat.band < 0}
+        for (band, value), bucket in met.items():
+            if len(bucket) < 2:
+                continue
+            for a, b in zip(sorted(bucket), sorted(bucket)[1:], strict=False):
+                first = min(i for i in range(bands) if by_row[a].bands[i] == by_row[b].bands[i])
+                value = by_row[a].bands[first]
+                assert {a, b} <= members[first, value] or any({a, b} <= t for t in together.values())
+        root = graph.components(docs.sparkSession.createDataFrame(
+            [(min(b), x) for b in met.values() if len(b) > 1 for x in b if x != min(b)], "u long, v long"
+        )).groupBy("label").count().collect()
+        whole = sum(r["count"] * -(-r["count"] // 16) for r in root)
+        assert blocks < whole / 3
+        got = jaccard.near_duplicates(docs, block=16).collect()
+        assert len(got) == count and all(r.n_links == 0 and r.class_id == r.doc_id for r in got)
+
+
+def test_ways_of_verifying_agree(stored, monkeypatch):
+    """Variants of one text among boilerplate, verified as a whole set, by bucket, and in blocks cut by length."""
+    rng = random.Random(3)
+    base = boilerplate(1, 5)[0].split()
+    texts = boilerplate(120)
+    for _ in range(60):
+        words = list(base)
+        for _ in range(rng.randint(1, 3)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(50)}"
+        texts.append(" ".join(words))
+    docs = stored(list(enumerate(texts)), "doc_id long, text string")
+    want = [(w[0], w[1]) for w in brute_links(texts)]
+    results = []
+    for block, unit in ((256, 2048), (16, 2048), (16, 40), (3, 2048)):
+        monkeypatch.setattr(jaccard, "UNIT", unit)
+        got = sorted(map(tuple, jaccard.near_duplicates(docs, block=block).drop("row", "root").collect()))
+        results.append(got)
+    assert results.count(results[0]) == len(results)
+    # a pair just at the similarity may share no band
+    links = {r[0]: r[2] for r in results[0]}
+    assert sum(abs(links[i] - w[1]) for i, w in enumerate(want)) <= 0.005 * sum(w[1] for w in want)
+
+
+def test_first_shared_band():
+    rng = np.random.default_rng(8)
+    left, right = rng.integers(0, 4, (9, 6)), rng.integers(0, 4, (7, 6))
+    got = jaccard.first_shared(left, right)
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            assert got[i, j] == next((k for k in range(6) if a[k] == b[k]), 6)
+
+
 def test_near_duplicates_of_odd_documents(odd_documents, no_documents):
     got = jaccard.near_duplicates(odd_documents).collect()
     assert len(got) == odd_documents.count()

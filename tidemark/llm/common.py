@@ -95,10 +95,18 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def number_in_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, rows: int, width: int = SLICE_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    name: str,
+    rows: int,
+    width: int = SLICE_ROWS,
+    weight: Column | None = None,
 ) -> DataFrame:
     """Adds ``name``: 0-based, gapless position of each row in its key, by ``order``.
 
+    With a ``weight``, the position is the sum of the weights of the rows before.
+
     ``order`` starts with a well spread 63-bit number (a hash). Its high bits cut a key into slices, which are
     numbered each on its own and shifted by the sizes of the slices before, so no task sees a whole key. ``rows``
     is the count of all rows. A key that held them all would get as many slices as rows in a slice, but no slices of
@@ -106,7 +114,8 @@ def number_in_key(
     """
     bits = min(40, max(0, int(np.ceil(np.log2(max(1, rows / max(width, rows**0.5)))))))
     sliced = df.withColumn("_slice", F.shiftright(order[0], 63 - bits) if bits else F.lit(0).cast("long"))
-    sizes = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+    size = F.count("*") if weight is None else F.sum(weight)
+    sizes = sliced.groupBy(*keys, "_slice").agg(size.alias("_n"))
     running = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
@@ -114,7 +123,8 @@ def number_in_key(
         F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"),
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    ranked = sliced.withColumn("_inside", F.row_number().over(inside) - 1)
+    upto = F.row_number().over(inside) if weight is None else F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = sliced.withColumn("_inside", upto - (F.lit(1) if weight is None else weight))
     same = F.col("_slice") == F.col("_s")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))

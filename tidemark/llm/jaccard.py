@@ -18,8 +18,11 @@ GRAM = 5
 SIMILARITY = 0.8
 RECALL = 0.9995
 MOST_HASHES = 128
-#: Texts of one side of a block that is verified by one task.
+#: Texts of one side of a block that is verified by one task; a longer text counts as one for each UNIT grams begun.
 BLOCK = 256
+UNIT = 2048
+#: Bytes of gram sets that a task hands on at once.
+BATCH_BYTES = 1 << 22
 
 
 def bands_and_rows(similarity: float, recall: float, most_hashes: int) -> tuple[int, int]:
@@ -146,47 +149,121 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return [(i, int(r)) for i, r in enumerate(root.tolist()) if r != i]
 
 
+def first_shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The first band in which two texts agree, for each of ``left`` and ``right``; the number of bands where in none."""
+    out = np.full((len(left), len(right)), left.shape[1])
+    for band in range(left.shape[1] - 1, -1, -1):
+        out[left[:, band, None] == right[None, :, band]] = band
+    return out
+
+
 def _verify(similarity: float):
-    """Streams sorted blocks: link counts per text, and edges that connect the same texts as all links do."""
+    """Streams sorted blocks: link counts per text, and edges that connect the same texts as all links do.
+
+    In the block of a bucket only pairs are looked at whose first common band this is, in that of a whole set
+    (band -1) those with any common band.
+    """
 
-    def flush(sides):
+    def flush(band, sides):
         left, right = sides.get(0, []), sides.get(1)
-        rows_l = [r for r, _ in left]
-        sets_l = [np.frombuffer(s, np.uint64) for _, s in left]
-        if right is None:
-            linked = links_within(sets_l, None, similarity)
-            counts = list(zip(rows_l, linked.sum(1).tolist(), strict=True))
-            edges = [(rows_l[a], rows_l[b]) for a, b in _forest(linked)]
+        if 0 not in sides:
+            return _links([])
+        alone = right is None
+        right = left if alone else right
+        bands = [np.array([b for _, b, _ in side], np.int64) for side in (left, right)]
+        met = first_shared(*bands)
+        met = met < bands[0].shape[1] if band < 0 else met == band
+        if alone:
+            np.fill_diagonal(met, False)
+        use_l, use_r = np.flatnonzero(met.any(1)), np.flatnonzero(met.any(0))
+        if not len(use_l):
+            return _links([])
+        rows_l, rows_r = [left[i][0] for i in use_l], [right[i][0] for i in use_r]
+        sets_l = [np.frombuffer(left[i][2], np.uint64) for i in use_l]
+        if alone:
+            # who meets whom is symmetric here, so both sides are the same texts
+            linked = links_within(sets_l, None, similarity) & met[np.ix_(use_l, use_r)]
+            rows, counts = rows_l, linked.sum(1).tolist()
         else:
-            rows_r = [r for r, _ in right]
-            part = links_within(sets_l, [np.frombuffer(s, np.uint64) for _, s in right], similarity)
-            counts = list(zip(rows_l, part.sum(1).tolist(), strict=True)) + list(zip(rows_r, part.sum(0).tolist(), strict=True))
-            n = len(rows_l)
-            linked = np.zeros((n + len(rows_r),) * 2, bool)
+            part = links_within(sets_l, [np.frombuffer(right[i][2], np.uint64) for i in use_r], similarity)
+            part &= met[np.ix_(use_l, use_r)]
+            rows, n = rows_l + rows_r, len(rows_l)
+            counts = part.sum(1).tolist() + part.sum(0).tolist()
+            linked = np.zeros((len(rows),) * 2, bool)
             linked[:n, n:], linked[n:, :n] = part, part.T
-            rows = rows_l + rows_r
-            edges = [(rows[a], rows[b]) for a, b in _forest(linked)]
-        out = [(u, None, n) for u, n in counts if n] + [(u, v, 0) for u, v in edges]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["u", "v", "n"]
-        )
+        out = [(u, None, n) for u, n in zip(rows, counts, strict=True) if n]
+        return _links(out + [(rows[a], rows[b], 0) for a, b in _forest(linked)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sides = None, {}
         for batch in batches:
-            got = [batch.column(i).to_pylist() for i in range(6)]
-            for comp, i, j, side, row, grams in zip(*got, strict=True):
-                if (comp, i, j) != key:
+            got = [batch.column(i).to_pylist() for i in range(len(_BLOCKS))]
+            for band, group, i, j, side, row, bands, grams in zip(*got, strict=True):
+                if (band, group, i, j) != key:
                     if sides:
-                        yield flush(sides)
-                    key, sides = (comp, i, j), {}
-                sides.setdefault(side, []).append((row, grams))
+                        yield flush(key[0], sides)
+                    key, sides = (band, group, i, j), {}
+                sides.setdefault(side, []).append((row, bands, grams))
         if sides:
-            yield flush(sides)
+            yield flush(key[0], sides)
 
     return run
 
 
+def _links(rows):
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(3)], ["u", "v", "n"])
+
+
+def seats_of(signed: DataFrame, reps: DataFrame, block: int) -> DataFrame:
+    """Where each text is verified: (row, bands, seats), a seat being (band, group, mine, blocks).
+
+    Texts that share a band value are a bucket. A group is a bucket, verified for the pairs that meet first in its
+    band; or, where that copies fewer texts, the whole set of texts that buckets connect, verified for all pairs that
+    share a band (band -1): the variants of one text meet in nearly every band. Both ways look at the same pairs.
+    ``blocks`` is the number of blocks of the group, ``mine`` the one the text lies in.
+    """
+    weight = F.least(F.lit(block), F.ceil(F.col("n_grams") / UNIT)).cast("long")
+    alone = cut_lineage(signed.join(reps, "row", "left_semi").select("row", "bands", weight.alias("weight")))
+    values = alone.select("row", "weight", F.posexplode("bands").alias("band", "value"))
+    # kept apart, so that the joins have a shuffle of their own on either side and can split a hot bucket
+    buckets = values.groupBy("value", "band").agg(
+        F.min("row").alias("first"),
+        F.count("*").alias("n"),
+        F.sum("weight").alias("size"),
+        F.sum(hash63("row").cast("decimal(38,0)")).alias("sum"),
+        F.bit_xor(F.xxhash64("row")).alias("mixed"),
+    )
+    buckets = cut_lineage(buckets.filter("n > 1"))
+    met = values.join(buckets.select("value", "first"), "value")
+    members = components(met.filter("row <> first").select(F.col("row").alias("u"), F.col("first").alias("v")))
+    members = members.join(alone.select(F.col("row").alias("node"), "weight"), "node")
+    members = cut_lineage(members.withColumnRenamed("node", "row"))
+
+    # buckets of the same texts are one, that of their first band: no pair of theirs meets earlier
+    buckets = buckets.groupBy("first", "n", "sum", "mixed").agg(
+        F.min(F.struct("band", "value")).alias("b"), F.first("size").alias("size")
+    )
+    buckets = buckets.join(members.select(F.col("row").alias("first"), "label"), "first").select("b.*", "size", "label")
+    buckets = cut_lineage(buckets)
+    copies = F.sum(F.col("size") * F.ceil(F.col("size") / block))
+    whole = members.groupBy("label").agg(F.sum("weight").alias("size"))
+    whole = whole.withColumn("whole", F.col("size") * F.ceil(F.col("size") / block)).drop("size")
+    ways = whole.join(buckets.groupBy("label").agg(copies.alias("apart")), "label")
+    ways = cut_lineage(ways.select("label", (F.col("whole") <= F.col("apart")).alias("together")))
+    apart = cut_lineage(buckets.join(ways.filter("not together"), "label", "left_semi").select("value"))
+    seats = members.join(ways.filter("together"), "label").select("row", "weight", F.lit(-1).alias("band"), F.col("label").alias("group"))
+    seats = seats.unionByName(values.join(apart, "value").select("row", "weight", "band", F.col("value").alias("group")))
+    seats = cut_lineage(seats.withColumn("_order", hash63("row")))
+    order = [F.col("_order"), F.col("row")]
+    numbered = number_in_key(seats, ["band", "group"], order, "place", seats.count(), weight=F.col("weight"))
+    numbered = numbered.select("row", "band", "group", F.floor(F.col("place") / block).cast("int").alias("mine"))
+    numbered = cut_lineage(numbered)
+    widths = cut_lineage(numbered.groupBy("band", "group").agg((F.max("mine") + 1).alias("blocks")))
+    placed = numbered.join(widths, ["band", "group"])
+    placed = placed.groupBy("row").agg(F.collect_list(F.struct("band", "group", "mine", "blocks")).alias("seats"))
+    return alone.select("row", "bands").join(placed, "row")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -201,8 +278,8 @@ def near_duplicates(
     """One row per row of ``docs``: its class, the set it shares, and how many other sets it is linked to.
 
     Texts with the same n-gram set are copies (``set_id``: their smallest id); one of them stands for all. Two sets
-    that share a band value are candidates; sets connected by candidates are verified against each other, each pair
-    on the full sets, in blocks of ``block`` by ``block`` texts, so that no task holds a whole group and no pair
+    that share a band value are candidates; each such pair is verified once on the full sets, in blocks of ``block``
+    by ``block`` texts, fewer of long ones (see :func:`seats_of`), so that no task holds a whole group and no pair
     becomes a row. ``n_links`` is the number of other sets at or above ``similarity``, ``class_id`` the smallest id
     of all texts that are connected by links, ``copies`` the number of rows with the same set.
 
@@ -218,46 +295,38 @@ def near_duplicates(
         F.min("row").alias("rep"), F.min("doc_id").alias("set_id"), F.count("*").alias("copies")
     )
     sets = cut_lineage(sets)
-    values = signed.join(sets.select(F.col("rep").alias("row")), "row", "left_semi")
-    values = values.select("row", F.explode("bands").alias("band"))
-    # kept apart, so that the join has a shuffle of its own on either side and can split a hot band
-    buckets = values.groupBy("band").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    buckets = cut_lineage(buckets)
-    edges = values.join(buckets, "band").filter("row <> first").select(F.col("row").alias("u"), F.col("first").alias("v"))
-    members = components(edges)
-
-    members = cut_lineage(members.withColumn("_order", hash63("node")))
-    count = members.count()
-    numbered = number_in_key(members, ["label"], [F.col("_order"), F.col("node")], "place", count)
-    numbered = numbered.withColumn("mine", F.floor(F.col("place") / block).cast("int"))
-    widths = numbered.groupBy("label").agg((F.max("mine") + 1).alias("blocks"))
-    placed = numbered.join(widths, "label").select(F.col("node").alias("row"), "label", "mine", "blocks")
-    texts = read.select("row", "text").join(placed, "row")
+    seats = seats_of(signed, sets.select(F.col("rep").alias("row")), block)
+    texts = read.select("row", "text").join(seats, "row")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
             grams, ends = gram_sets(part.column(1), n)
-            out = []
-            got = [part.column(i).to_pylist() for i in (0, 2, 3, 4)]
-            for k, (row, label, mine, blocks) in enumerate(zip(*got, strict=True)):
+            out, size = [], 0
+            got = [part.column(i).to_pylist() for i in (0, 2, 3)]
+            for k, (row, values, places) in enumerate(zip(*got, strict=True)):
                 data = grams[ends[k] : ends[k + 1]].tobytes()
-                for other in range(blocks):
-                    out.append((label, min(mine, other), max(mine, other), int(mine > other), row, data))
-                    if len(out) >= 500:
-                        yield _block_rows(out)
-                        out = []
+                for place in places:
+                    mine = place["mine"]
+                    for other in range(place["blocks"]):
+                        i, j = min(mine, other), max(mine, other)
+                        out.append((place["band"], place["group"], i, j, int(mine > other), row, values, data))
+                        size += len(data) + 256
+                        if size >= BATCH_BYTES:
+                            yield _block_rows(out)
+                            out, size = [], 0
             if out:
                 yield _block_rows(out)
 
-    schema = "label long, i int, j int, side int, row long, grams binary"
-    spread = texts.mapInArrow(fill, schema).repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "side")
+    keys = ["band", "group", "i", "j"]
+    schema = "band int, group long, i int, j int, side int, row long, bands array<long>, grams binary"
+    spread = texts.mapInArrow(fill, schema).repartition(*keys).sortWithinPartitions(*keys, "side")
     found = cut_lineage(spread.mapInArrow(_verify(similarity), "u long, v long, n long"))
     links = found.filter("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n_links"))
     joined = components(found.filter("v is not null").select("u", "v"))
     named = joined.withColumnsRenamed({"node": "rep", "label": "root"})
     reps = sets.join(links, "rep", "left").join(named, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     reps = cut_lineage(reps)
-    ids = reps.groupBy("root").agg(F.min("set_id").alias("class_id"))
+    ids = cut_lineage(reps.groupBy("root").agg(F.min("set_id").alias("class_id")))
     reps = reps.join(ids, "root").select(
         F.col("d1").alias("s1"), F.col("d2").alias("s2"), F.col("n_grams").alias("s3"), "set_id", "copies", "n_links", "class_id", "root", "rep"
     )
@@ -274,11 +343,20 @@ def near_duplicates(
     )
 
 
+_BLOCKS = {
+    "band": pa.int32(),
+    "group": pa.int64(),
+    "i": pa.int32(),
+    "j": pa.int32(),
+    "side": pa.int32(),
+    "row": pa.int64(),
+    "bands": pa.list_(pa.int64()),
+    "grams": pa.binary(),
+}
+
+
 def _block_rows(rows):
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["label", "i", "j", "side", "row", "grams"]
-    )
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_BLOCKS.values())], list(_BLOCKS))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -286,6 +364,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     numbered, row = with_row_number(docs)
     classes = near_duplicates(numbered, id_col, text_col, row_col=row, **options).select("row", "root", "doc_id")
     classes = cut_lineage(classes)
-    first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    first = cut_lineage(classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")))
     gone = classes.join(first, "root").filter("row <> first.row").select(F.col("row").alias(row))
     return numbered.join(gone, row, "left_anti").drop(row)

@@ -230,8 +230,8 @@ def seats_of(signed: DataFrame, reps: DataFrame, block: int) -> DataFrame:
         F.min("row").alias("first"),
         F.count("*").alias("n"),
         F.sum("weight").alias("size"),
-        F.sum(hash63("row").cast("decimal(38,0)")).alias("sum"),
-        F.bit_xor(F.xxhash64("row")).alias("mixed"),
+        F.bit_xor(F.xxhash64("row")).alias("x1"),
+        F.bit_xor(F.xxhash64("row", F.lit(1))).alias("x2"),
     )
     buckets = cut_lineage(buckets.filter("n > 1"))
     met = values.join(buckets.select("value", "first"), "value")
@@ -240,26 +240,22 @@ def seats_of(signed: DataFrame, reps: DataFrame, block: int) -> DataFrame:
     members = cut_lineage(members.withColumnRenamed("node", "row"))
 
     # buckets of the same texts are one, that of their first band: no pair of theirs meets earlier
-    buckets = buckets.groupBy("first", "n", "sum", "mixed").agg(
-        F.min(F.struct("band", "value")).alias("b"), F.first("size").alias("size")
+    buckets = buckets.groupBy("first", "n", "x1", "x2").agg(
+        F.min(F.struct("band", "value")).alias("b"), F.first(F.ceil(F.col("size") / block)).alias("blocks"), F.first("size").alias("size")
     )
-    buckets = buckets.join(members.select(F.col("row").alias("first"), "label"), "first").select("b.*", "size", "label")
+    buckets = buckets.join(members.select(F.col("row").alias("first"), "label"), "first").select("b.*", "size", "blocks", "label")
     buckets = cut_lineage(buckets)
-    copies = F.sum(F.col("size") * F.ceil(F.col("size") / block))
-    whole = members.groupBy("label").agg(F.sum("weight").alias("size"))
-    whole = whole.withColumn("whole", F.col("size") * F.ceil(F.col("size") / block)).drop("size")
-    ways = whole.join(buckets.groupBy("label").agg(copies.alias("apart")), "label")
-    ways = cut_lineage(ways.select("label", (F.col("whole") <= F.col("apart")).alias("together")))
-    apart = cut_lineage(buckets.join(ways.filter("not together"), "label", "left_semi").select("value"))
-    seats = members.join(ways.filter("together"), "label").select("row", "weight", F.lit(-1).alias("band"), F.col("label").alias("group"))
-    seats = seats.unionByName(values.join(apart, "value").select("row", "weight", "band", F.col("value").alias("group")))
-    seats = cut_lineage(seats.withColumn("_order", hash63("row")))
+    whole = members.groupBy("label").agg(F.sum("weight").alias("all")).withColumn("blocks", F.ceil(F.col("all") / block))
+    ways = whole.join(buckets.groupBy("label").agg(F.sum(F.col("size") * F.col("blocks")).alias("apart")), "label")
+    ways = cut_lineage(ways.select("label", "blocks", (F.col("all") * F.col("blocks") <= F.col("apart")).alias("together")))
+    apart = buckets.join(ways.filter("not together").select("label"), "label", "left_semi").select("value", "blocks")
+    seats = members.join(ways.filter("together"), "label").select("row", "weight", F.lit(-1).alias("band"), F.col("label").alias("group"), "blocks")
+    seats = seats.unionByName(values.join(apart, "value").select("row", "weight", "band", F.col("value").alias("group"), "blocks"))
+    seats = cut_lineage(seats.withColumn("blocks", F.col("blocks").cast("int")).withColumn("_order", hash63("row")))
     order = [F.col("_order"), F.col("row")]
-    numbered = number_in_key(seats, ["band", "group"], order, "place", seats.count(), weight=F.col("weight"))
-    numbered = numbered.select("row", "band", "group", F.floor(F.col("place") / block).cast("int").alias("mine"))
-    numbered = cut_lineage(numbered)
-    widths = cut_lineage(numbered.groupBy("band", "group").agg((F.max("mine") + 1).alias("blocks")))
-    placed = numbered.join(widths, ["band", "group"])
+    placed = number_in_key(seats, ["band", "group"], order, "place", seats.count(), weight=F.col("weight"))
+    # a text lies in the block where it ends, so that no block before the last is empty
+    placed = placed.withColumn("mine", F.floor((F.col("place") + F.col("weight") - 1) / block).cast("int"))
     placed = placed.groupBy("row").agg(F.collect_list(F.struct("band", "group", "mine", "blocks")).alias("seats"))
     return alone.select("row", "bands").join(placed, "row")
 

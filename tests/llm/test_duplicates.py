@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from tidemark.llm import graph, jaccard, recipes, repeats
 from tidemark.llm.queries import QUERIES
@@ -284,6 +285,30 @@ def test_repeats(stored):
         assert got == want
 
 
+def test_words_with_one_hash_are_told_apart(stored, monkeypatch):
+    """Two words whose first hashes collide make two passages."""
+    texts = [" ".join(["left"] + [f"w{i}" for i in range(34)]), " ".join(["right"] + [f"w{i}" for i in range(34)])]
+    got = {}
+    for extra in ([], texts[:1]):
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(range(len(texts + extra))), pa.array(texts + extra), pa.array([[0]] * len(texts + extra), pa.list_(pa.int64())), pa.array([True] * len(texts + extra))],
+            ["row", "text", "anchors", "single"],
+        )
+        hashes = repeats.word_hashes
+
+        def colliding(words, seed=0, hashes=hashes):
+            out = hashes(words, seed)
+            same = [w.as_py() in ("left", "right") for w in words]
+            return np.where(same, np.uint64(9), out) if not seed else out
+
+        monkeypatch.setattr(repeats, "word_hashes", colliding)
+        monkeypatch.setattr(repeats.np, "isin", lambda a, b: np.ones(len(a), bool))
+        rows = pa.Table.from_batches(repeats._extend(35, 8)(iter([batch]))).to_pylist()
+        monkeypatch.undo()
+        got[len(extra)] = [(r["h"], r["check"]) for r in rows]
+    assert len({h for h, _ in got[1]}) == 1 and len(set(got[0])) == 2 and len(set(got[1])) == 2 and len(got[1]) == 3
+
+
 def test_repeats_of_odd_documents(odd_documents, no_documents):
     got = key(tuple(r) for r in repeats.remove_repeats(odd_documents).collect())
     assert got == key(brute_repeats(odd_documents.collect()))

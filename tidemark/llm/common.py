@@ -60,10 +60,10 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return codes, offsets, coded.dictionary
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word."""
+def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word; seeds give hashes that have nothing to do with each other."""
     return np.fromiter(
-        (xxhash.xxh3_64_intdigest(w) for w in words.cast(pa.binary()).to_pylist()), dtype=np.uint64, count=len(words)
+        (xxhash.xxh3_64_intdigest(w, seed) for w in words.cast(pa.binary()).to_pylist()), dtype=np.uint64, count=len(words)
     )
 
 

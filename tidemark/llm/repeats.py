@@ -100,7 +100,8 @@ def _extend(length: int, seed: int):
             mine = w.seeds[place] ^ mix64(w.text[w.real].astype(np.uint64))
             starts = w.real[np.isin(mine, wanted)]
             full = gram_hashes(w.hashes, length)
-            check = gram_hashes(mix64(w.hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), length)
+            # from the bytes of the words anew, so that words that share the first hash do not share this one
+            check = gram_hashes(word_hashes(w.words, 1)[w.codes], length)
             text = w.text[starts]
             yield pa.RecordBatch.from_arrays(
                 [

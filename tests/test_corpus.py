@@ -199,6 +199,16 @@ def test_two_columns_and_tables(spark):
 def test_paragraph_lines(spark):
     row = spark.createDataFrame([(["An ex-", "ample (", "here", "• one", "two", ""],)], "l array<string>")
     assert row.select(Y.merged_paragraph(F.col("l")).alias("x")).first().x == "An example (here\n• one two"
+    cases = [
+        (["--", ""], "--"),
+        (["f--", "(", None, "-", "a", "f--"], "f(a f--"),
+        (["abc", "--", "next"], "abc next"),
+        (["a/", "b", "- c-", "d"], "a/b\n- cd"),
+        ([], ""),
+    ]
+    got = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, l array<string>")
+    got = got.select("i", Y.merged_paragraph(F.col("l")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in got] == [c[1] for c in cases]
 
 
 def test_small_tables_are_not_real(spark):

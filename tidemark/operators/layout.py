@@ -159,16 +159,20 @@ def merged_paragraph(lines: Column) -> Column:
     """Lines of a text block joined; a list mark starts a new line, a hyphen at the end is closed up."""
     clean = F.filter(F.transform(lines, T.clean_line), lambda s: s != "")
 
-    def add(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        glue = F.when(last.rlike(r"[/(\[\-]$"), F.lit("")).otherwise(F.lit(" "))
-        joined = F.concat(F.regexp_replace(last, "-+$", ""), glue, s)
-        fresh = (F.size(acc) == 0) | T.matches(s, fixed.LIST_MARK_PATTERN)
-        return F.when(fresh, F.concat(acc, F.array(s))).otherwise(
-            F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))
-        )
-
-    return F.array_join(F.aggregate(clean, F.array().cast("array<string>"), add), "\n")
+    def fresh(x: Column) -> Column:
+        return x.isNull() | T.matches(x, fixed.LIST_MARK_PATTERN)
+
+    def part(x: Column) -> Column:
+        before, now, after = x["before"], x["now"], x["after"]
+        glue = F.when(before.isNull(), F.lit("")).when(fresh(now), F.lit("\n")).when(before.rlike(r"[/(\[\-]$"), F.lit(""))
+        closed = F.when(fresh(after), now).otherwise(F.regexp_replace(now, "-+$", ""))
+        return F.concat(glue.otherwise(F.lit(" ")), closed)
+
+    # each line next to its neighbours; the pair behind the last line joins to nothing
+    none = F.array(F.lit(None).cast("string"))
+    rest = F.slice(clean, F.lit(2), F.greatest(F.size(clean), F.lit(1)))
+    near = F.arrays_zip(F.concat(none, clean).alias("before"), clean.alias("now"), rest.alias("after"))
+    return F.array_join(F.transform(near, part), "")
 
 
 def document_lines(elements: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed
 from tidemark.functions import text as T
 from tidemark.operators.keyed import rows_of
+from tidemark.operators.pieces import in_pieces
 
 NODE_TYPE = (
     "array<struct<node_no int, last_no int, parent_no int, block_no int, cell_no int, table_no int, tag string, attrs string, role string, "
@@ -165,7 +166,7 @@ def page_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
     def nodes(texts: pd.Series) -> pd.Series:
         return pd.Series([scan_nodes(t or "") for t in texts])
 
-    return pages.select(*rest, F.pandas_udf(nodes, NODE_TYPE)(F.col(html)).alias("nodes"))
+    return pages.select(*rest, in_pieces(nodes, NODE_TYPE)(F.col(html)).alias("nodes"))
 
 
 def html_nodes(pages: DataFrame, html: str = "html") -> DataFrame:

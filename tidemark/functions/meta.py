@@ -14,45 +14,58 @@ _FENCE = r"(?s)^\s*```json\s*(\{.*?\})\s*```\s*"
 def json_header(x: str | Column) -> Column:
     """(metadata map, body) of a text that opens with a fenced JSON object."""
     raw = T.col(x)
-    found = F.regexp_extract(raw, _FENCE, 1)
-    parsed = F.from_json(found, "map<string,string>")
-    ok = (found != "") & F.try_parse_json(found).isNotNull() & parsed.isNotNull()
-    return F.struct(
-        F.when(ok, parsed).otherwise(_empty_map()).alias("metadata"),
-        F.when(ok, T.strip(F.regexp_replace(raw, _FENCE, ""))).otherwise(raw).alias("body"),
-    )
+
+    def parsed(found: Column) -> Column:
+        return F.when((found != "") & F.try_parse_json(found).isNotNull(), F.from_json(found, "map<string,string>"))
+
+    def header(fields: Column) -> Column:
+        return F.struct(
+            F.coalesce(fields, _empty_map()).alias("metadata"),
+            F.when(fields.isNotNull(), T.strip(F.regexp_replace(raw, _FENCE, ""))).otherwise(raw).alias("body"),
+        )
+
+    return T.let(F.regexp_extract(raw, _FENCE, 1), lambda found: T.let(parsed(found), header))
 
 
 def front_matter(x: str | Column) -> Column:
     """(metadata map, body) of a text that opens with ``---`` and key: value lines."""
     raw = T.col(x)
-    lines = T.split_lines(raw)
-    rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1)))
-    end = F.array_position(F.transform(rest, lambda s: T.strip(s) == "---"), F.lit(True)).cast("int")
-    head = F.when(end > 0, F.slice(rest, F.lit(1), F.greatest(end - 1, F.lit(0)))).otherwise(rest)
-    pairs = F.transform(
-        F.filter(head, lambda s: F.contains(s, F.lit(":"))),
-        lambda s: F.struct(
-            T.strip(F.regexp_extract(s, r"(?s)^([^:]*):(.*)$", 1)).alias("key"),
-            T.strip(F.regexp_extract(s, r"(?s)^([^:]*):(.*)$", 2)).alias("value"),
-        ),
-    )
-    last = F.filter(
-        pairs,
-        lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["key"] == p["key"]),
-    )
-    body = F.when(end > 0, F.slice(rest, end + 1, F.greatest(F.size(rest), F.lit(1)))).otherwise(lines)
-    opens = raw.startswith("---\n")
-    return F.struct(
-        F.when(opens, F.map_from_entries(last)).otherwise(_empty_map()).alias("metadata"),
-        F.when(opens, T.strip(F.array_join(body, "\n"))).otherwise(raw).alias("body"),
-    )
+
+    def fields(lines: Column, rest: Column, end: Column) -> Column:
+        head = F.when(end > 0, F.slice(rest, F.lit(1), F.greatest(end - 1, F.lit(0)))).otherwise(rest)
+        pairs = F.transform(
+            F.filter(head, lambda s: F.contains(s, F.lit(":"))),
+            lambda s: F.struct(
+                T.strip(F.regexp_extract(s, r"(?s)^([^:]*):(.*)$", 1)).alias("key"),
+                T.strip(F.regexp_extract(s, r"(?s)^([^:]*):(.*)$", 2)).alias("value"),
+            ),
+        )
+
+        def last(pairs: Column) -> Column:
+            return F.filter(
+                pairs,
+                lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["key"] == p["key"]),
+            )
+
+        body = F.when(end > 0, F.slice(rest, end + 1, F.greatest(F.size(rest), F.lit(1)))).otherwise(lines)
+        return F.struct(F.map_from_entries(T.let(pairs, last)).alias("metadata"), T.strip(F.array_join(body, "\n")).alias("body"))
+
+    def parts(lines: Column) -> Column:
+        after = F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1)))
+
+        def ended(rest: Column) -> Column:
+            end = F.array_position(F.transform(rest, lambda s: T.strip(s) == "---"), F.lit(True)).cast("int")
+            return T.let(end, lambda e: fields(lines, rest, e))
+
+        return T.let(after, ended)
+
+    none = F.struct(_empty_map().alias("metadata"), raw.alias("body"))
+    return F.when(raw.startswith("---\n"), T.let(T.split_lines(raw), parts)).otherwise(none)
 
 
 def any_header(x: str | Column) -> Column:
     """Front matter where it yields a field, else a JSON header."""
-    fm = front_matter(x)
-    return F.when(F.size(fm["metadata"]) > 0, fm).otherwise(json_header(x))
+    return T.let(front_matter(x), lambda fm: F.when(F.size(fm["metadata"]) > 0, fm).otherwise(json_header(x)))
 
 
 def _empty_map() -> Column:

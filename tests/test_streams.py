@@ -217,3 +217,35 @@ def test_files_round_trip(spark, tmp_path):
     writers.index(rows, str(tmp_path / "index"), "2024-01-01")
     back = writers.read_index(spark, str(tmp_path / "index"))
     assert back.count() == 1 and "source_category" in back.columns
+
+
+def test_written_files_are_read_by_their_names(spark, tmp_path):
+    docs = spark.createDataFrame([("a b", "x"), ("b", None), ("ü", "y\nz")], "source_id string, body string")
+    docs = docs.withColumn("metadata", F.struct("source_id", F.concat(F.lit('T "'), "source_id").alias("title")))
+    names = writers.document_files(docs, str(tmp_path / "files"))
+    assert {r.name for r in names.collect()} == {"a b.md", "a b.json", "b.md", "b.json", "ü.md", "ü.json"}
+    texts = readers.markdown_sources(spark, str(tmp_path / "files"), names=names)
+    side = readers.metadata_files(spark, str(tmp_path / "files"), names)
+    for rows in (texts, side):
+        # of the files the driver has listed none
+        assert all("/_names/" in f for f in rows.inputFiles())
+    listed = readers.markdown_sources(spark, str(tmp_path / "files"))
+    assert {tuple(r) for r in texts.select("text", "size").collect()} == {tuple(r) for r in listed.select("text", "size").collect()}
+    assert sorted((r.source_id, r.title, r.region) for r in side.collect()) == [("a b", 'T "a b', None), ("b", 'T "b', None), ("ü", 'T "ü', None)]
+    found = readers.metadata_files(spark, str(tmp_path / "files"))
+    assert {tuple(r) for r in side.select(*readers.METADATA_COLUMNS).collect()} == {tuple(r) for r in found.select(*readers.METADATA_COLUMNS).collect()}
+
+
+def test_listed_sidecars_of_any_content(spark, tmp_path):
+    files = {"o.json": '{"source_id": "o1"}', "l.json": '[{"source_id": "l1"}, {"source_id": "l2"}]', "e.json": "", "n.json": "[]", "x.json": "{broken", "manifest.json": "[]"}
+    table = spark.createDataFrame([(n, bytearray(t.encode())) for n, t in files.items()], "name string, content binary")
+    names = writers.raw_files(table, str(tmp_path / "files"))
+    got = [sorted(r.source_id for r in readers.metadata_files(spark, str(tmp_path / "files"), n).collect()) for n in (names, None)]
+    assert got[0] == got[1] == ["l1", "l2", "o1", "x"]
+
+
+def test_listed_raw_files(spark, tmp_path):
+    table = spark.createDataFrame([("a.html", bytearray(b"<p>")), ("b.pdf", bytearray()), ("c.txt", bytearray(b"x"))], "name string, content binary")
+    names = writers.raw_files(table, str(tmp_path / "files"))
+    got, want = (readers.raw_files(spark, str(tmp_path / "files"), n).select("source_id", "suffix", "content", "size").collect() for n in (names, None))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) == [("a", ".html", b"<p>", 3)]

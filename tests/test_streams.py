@@ -249,3 +249,17 @@ def test_listed_raw_files(spark, tmp_path):
     names = writers.raw_files(table, str(tmp_path / "files"))
     got, want = (readers.raw_files(spark, str(tmp_path / "files"), n).select("source_id", "suffix", "content", "size").collect() for n in (names, None))
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) == [("a", ".html", b"<p>", 3)]
+
+
+def test_vectors_of_an_index_batch_are_not_shuffled(spark, tmp_path, monkeypatch):
+    written = []
+    plain = VersionedTable.apply
+    monkeypatch.setattr(VersionedTable, "apply", lambda self, keys, rows, *a, **k: (written.append(rows), plain(self, keys, rows, *a, **k)))
+    docs = spark.createDataFrame([("d1", "One."), ("d2", "Two."), (None, "Three.")], "id string, t string")
+    rows = K.plain_source(docs, F.col("id"), F.col("id"), F.col("t")).withColumns({"size": F.lit(4).cast("bigint"), "mtime": F.lit(0)})
+    table = VersionedTable(spark, str(tmp_path / "index"), ["doc_id"])
+    jobs.index_job(table)(rows, 0)
+    assert [(r.doc_id, r.size, r.mtime) for r in table.read().orderBy("doc_id").collect()] == [("d1", 4, 0), ("d2", 4, 0)]
+    plan = written[0]._jdf.queryExecution().executedPlan().toString().splitlines()
+    vectors = max(i for i, line in enumerate(plan) if "ArrowEvalPython" in line)
+    assert vectors < min(i for i, line in enumerate(plan) if "Exchange" in line)

@@ -247,3 +247,14 @@ def test_tables_become_rows(spark):
     pages = spark.createDataFrame([(1, f"<html><body>{body}</body></html>")], "page_id long, html string")
     text = H.page_markdown(pages).first().markdown
     assert "\n\n| Name | Rule \\| text |\n| --- | --- |\n| a b | c |\n|  | d |\n\n- one\n- two" in text
+
+
+def test_key_of_a_line_is_made_once_a_stage(spark, capsys):
+    """Of the regular expressions that a line goes through most are for its key: one for repeats, one for the tidy text."""
+    kinds = "doc long, page int, element_no long, kind string, x0 double, y0 double, x1 double, y1 double, text string, font_size double"
+    rows = [(1, p, p * 10 + i, "text", 50.0, 40.0 * i, 90.0, 40.0 * i + 9, t, 11.0) for p in range(4) for i, t in enumerate(["Head 7", "body", f"x{p}"])]
+    bodies = Y.document_bodies(spark.createDataFrame(rows, kinds))
+    assert "Head" not in bodies.first().markdown
+    bodies.explain("extended")
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert plan.count(r"\p{Nd}+$") <= 2

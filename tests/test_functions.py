@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,21 @@ def test_fixed_digits_as_python(spark, value):
     assert got == f"{value:.1f}"
 
 
+def test_rounded_is_the_double_next_to_the_fixed_decimals(spark):
+    rng = random.Random(2)
+    values = [None, 0.0, -0.0, 0.05, 0.15, 0.25, -0.25, 0.35, -0.04, 1e-300, 2.5, 1e9 + 0.25, 2.0**31 + 0.75, 1e15, 123456789.65]
+    values += [rng.uniform(-500, 500) for _ in range(300)] + [rng.randrange(-9999, 9999) / 20 for _ in range(300)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    got = rows.select(T.rounded(F.col("v"), 1).alias("a"), T.to_fixed(F.col("v"), 1).cast("double").alias("b")).collect()
+    assert [str(r.a) for r in got] == [str(r.b) for r in got]
+
+
+def test_collapse_knows_the_same_spaces(spark):
+    rows = spark.createDataFrame([(i, f"a{chr(i)}{chr(i)}b") for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000], "i int, t string")
+    got = {r.i for r in rows.filter(T.collapse("t") == "a b").collect()}
+    assert got == {ord(c) for c in T.SPACES}
+
+
 def test_word_edges(one):
     best, percent = (p for p, _ in fixed.ABSOLUTE_PATTERNS[:2])
     for text, hit in [("the best.", True), ("ébest", False), ("BEST", True), ("it is #1", False), ("x#1 ok", True), ("no.1", True)]:

@@ -255,6 +255,14 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+def test_components_keep_the_size_estimate_small(spark, capsys):
+    """A long path takes many rounds; the estimate of their plans must not grow with each, as all its digits are kept."""
+    graph.components(spark.range(300).selectExpr("id AS u", "id + 1 AS v")).explain("cost")
+    said = capsys.readouterr().out
+    powers = [int(x) for x in re.findall(r"E\+(\d+) B", said)]
+    assert "sizeInBytes" in said and max(powers, default=0) < 100
+
+
 def brute_repeats(rows, length=35):
     words = [WORD.findall(r.text or "") for r in rows]
     seen = defaultdict(list)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import stored
 from tidemark.session import cut_lineage
 
 
@@ -13,9 +14,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds of large-star and small-star joins; the rounds grow with the logarithm of the longest path. Minima per
     node combine before the shuffle, and a node with very many edges is split by the skew join.
+
+    The edges of a round are a stored table, whose size Spark knows. A checkpoint keeps the estimate of its plan, a join
+    multiplies those of its sides, and so the estimate's digits, all held in the driver, would grow with each round by
+    a factor.
     """
     big, small = F.greatest("u", "v"), F.least("u", "v")
-    now = cut_lineage(edges.filter("u <> v").select(big.alias("u"), small.alias("v")).distinct())
+    now = stored(edges.filter("u <> v").select(big.alias("u"), small.alias("v")).distinct())
     before = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -32,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # a node's least neighbour found above its own edges is kept as an edge as well
         own = least.select("u", F.col("m").alias("v"))
-        now = cut_lineage(moved.unionByName(own).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        now = stored(moved.unionByName(own).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     roots = now.select(F.col("v").alias("node")).distinct()
     roots = roots.join(now.select(F.col("u").alias("node")), "node", "left_anti")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.withColumn("label", F.col("node")))

@@ -142,8 +142,7 @@ def raw_file_pages(spark, folder):
     pages = spread(table(spark, folder, "pages")).select("page_id", F.coalesce("html", F.lit("")).alias("html"))
     named = pages.select(F.concat(F.lit("page_"), "page_id", F.lit(".html")).alias("name"), F.encode("html", "UTF-8").alias("content"))
     files = readers.raw_files(spark, path, writers.raw_files(named, path))
-    got = readers.raw_pages(files).drop("page_id").join(files.select("source_id", "suffix", "size"), "source_id")
-    return got.select("source_id", "suffix", "size", F.md5("html").alias("digest"))
+    return readers.raw_pages(files, "suffix", "size").select("source_id", "suffix", "size", F.md5("html").alias("digest"))
 
 
 ORACLE["raw_file_pages"] = """SELECT 'page_' || page_id AS source_id, '.html' AS suffix, octet_length(encode(coalesce(html, ''))) AS size,

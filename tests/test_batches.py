@@ -28,7 +28,19 @@ def test_batches_of_wide_rows_are_small(spark):
     assert spark.conf.get(BATCH_KEY) == before
     assert sum(r.n for r in got) == 4000 and max(r.size for r in got) < 1 << 21
     with small_batches(spark, 1 << 30):
-        assert spark.conf.get(BATCH_KEY) == before or int(before.rstrip("b")) <= 0
+        assert spark.conf.get(BATCH_KEY) == before
+
+
+@pytest.mark.parametrize("given,held", [("64m", 1 << 22), ("2m", 1 << 21), ("1000", 1000)])
+def test_a_given_bound_is_read_with_its_unit(spark, given, held):
+    before = spark.conf.get(BATCH_KEY)
+    spark.conf.set(BATCH_KEY, given)
+    try:
+        with small_batches(spark):
+            assert spark.conf.get(BATCH_KEY) == f"{held}b"
+        assert spark.conf.get(BATCH_KEY) == given
+    finally:
+        spark.conf.set(BATCH_KEY, before)
 
 
 @pytest.mark.parametrize("name", ["citations", "evidence_digest", "hybrid_evidence"])
